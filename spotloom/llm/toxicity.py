@@ -26,8 +26,9 @@ from spotloom.llm import frames
 from spotloom.llm.samples import per_class
 
 BITS, FACTORS = 20, 8
-#: FTRL step, damping and penalties of the weights; AdaGrad step and penalty of the factors; passes; least rows a term is in.
-ALPHA, BETA, L1, L2, RATE, DECAY, EPOCHS, LEAST = 0.3, 1.0, 1.0, 0.05, 0.05, 0.002, 4, 3
+#: FTRL step, damping and penalties of the weights (L1 by the root of the sample's size, as noise in the sums grows so);
+#: AdaGrad step and penalty of the factors; passes; least rows a term is in.
+ALPHA, BETA, L1, L2, RATE, DECAY, EPOCHS, LEAST = 0.3, 1.0, 0.1, 0.05, 0.05, 0.02, 4, 3
 PREFIXES = (4, 6)
 
 
@@ -63,7 +64,7 @@ class Model:
 
 def train(rows: list[tuple[int, np.ndarray]]) -> Model:
     """A model from (label, distinct buckets) rows."""
-    size = 1 << BITS
+    size, l1 = 1 << BITS, L1 * len(rows) ** 0.5
     z, n = np.zeros(size), np.zeros(size)
     place = np.full(size, -1, np.int64)
     rng = np.random.default_rng(11)
@@ -73,7 +74,7 @@ def train(rows: list[tuple[int, np.ndarray]]) -> Model:
     for epoch in range(EPOCHS):
         for y, b in rows:
             zz = z[b]
-            w = np.where(np.abs(zz) > L1, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(n[b])) / ALPHA + L2), 0.0)
+            w = np.where(np.abs(zz) > l1, -(zz - np.sign(zz) * l1) / ((BETA + np.sqrt(n[b])) / ALPHA + L2), 0.0)
             live = b[w != 0]
             logit = bias + w.sum()
             if epoch:
@@ -96,7 +97,7 @@ def train(rows: list[tuple[int, np.ndarray]]) -> Model:
                 grad = e * (total[None, :] - own) + DECAY * own
                 g2[at] += grad * grad
                 v[at] -= RATE * grad / np.sqrt(g2[at])
-    w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
+    w = np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
     held = np.flatnonzero(w)
     factors, where = np.zeros((len(held), FACTORS)), np.full(size, -1, np.int64)
     where[held] = np.arange(len(held))
