@@ -1,4 +1,9 @@
 """Queries by name and the SQL that should give the same rows."""
 
+from spotloom.plans import spot_queries, trajectory_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for part in (trajectory_queries, spot_queries):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
