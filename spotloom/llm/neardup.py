@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = shared.groupBy("rep").agg(F.sum("c").alias("near"))
     buckets = scratch.keep(shared.drop("c").join(near, "rep"), "buckets")
     live = buckets.select(F.col("rep").alias("live")).distinct()
-    texts = scratch.keep(df.join(live, F.col("id") == F.col("live"), "left_semi").distinct(), "texts")
+    # The live ones grow with the input, so they are never broadcast; the plan is alike at every size.
+    texts = scratch.keep(df.join(live.hint("merge"), F.col("id") == F.col("live"), "left_semi").distinct(), "texts")
 
     def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
         # Rows come in runs of one star, whose set is made once.
