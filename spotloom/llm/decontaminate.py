@@ -249,19 +249,45 @@ def _by_join(df: DataFrame, bench: DataFrame, kind: str, scratch: frames.Scratch
     return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", empty[0]).alias("items"), F.coalesce("spans", empty[1]).alias("spans"))
 
 
+def _benchmark(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, float]:
+    """Items with id and text, and a bound on their windows: an item has at most half as many words as bytes and one more."""
+    bench = frames.pick(benchmark, id=item_id, text=item_text).where("id is not null and text is not null")
+    return bench, bench.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """A row for each document: id, n_words, n_hit, items (ids as sorted strings) and the hit spans in words."""
     df = frames.pick(docs, id=id_col, text=text_col)
-    bench = frames.pick(benchmark, id=item_id, text=item_text).where("id is not null and text is not null")
+    bench, bound = _benchmark(benchmark, item_id, item_text)
     kind = df.schema["id"].dataType.simpleString()
-    # An item has at most half as many words as bytes, and a window a word.
-    bound = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if bound / 2 <= broadcast_windows:
+    if bound <= broadcast_windows:
         out = _by_index(df, bench, kind)
     else:
         out = _by_join(df, bench, kind, frames.Scratch(df.sparkSession))
     return out.withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of docs without a hit, all columns as they are.
+
+    While the benchmark's windows are within the bound this is one pass without a shuffle; beyond it, documents whose
+    id has a hit are joined out.
+    """
+    bench, bound = _benchmark(benchmark, item_id, item_text)
+    if bound > broadcast_windows:
+        hit = find_overlaps(docs, benchmark, id_col, text_col, item_id=item_id, item_text=item_text, broadcast_windows=broadcast_windows).where("n_hit > 0")
+        gone = hit.select(F.col(id_col).alias("_gone")).distinct()
+        return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    at = docs.columns.index(text_col)
+    rows = bench.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(Index(rows.column(0).to_pylist(), rows.column(1).combine_chunks()))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, hits, _, _ = judge(batch.column(at), shared.value, _filters(shared.value))
+        return batch.filter(pa.array([n == 0 for n in hits]))
+
+    return frames.map_batches(docs, one, docs.schema)
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()

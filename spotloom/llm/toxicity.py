@@ -144,3 +144,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["id", "score"])
 
     return frames.map_batches(df, one, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score under limit, all columns as they are, in one pass without a shuffle."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        logit = shared.value.logits(*terms(batch.column(at)))
+        return batch.filter(pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))) < limit))
+
+    return frames.map_batches(docs, one, docs.schema)
