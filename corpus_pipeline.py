@@ -18,12 +18,6 @@ TOXIC_FROM = 0.3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not in gone (column doc_id)."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
-
-
 def _columns(docs: DataFrame) -> DataFrame:
     return frames.pick(docs, **{c: c for c in COLUMNS})
 
@@ -32,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _columns(docs)
     labels = frames.table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(frames.crc_mod(F.col("doc_id"), 4) != 2))
-    return _without(docs, toxicity.score(docs, model).where(F.col("score") >= TOXIC_FROM))
+    return toxicity.keep_below(docs, model, TOXIC_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _columns(docs)
-    return _without(docs, decontaminate.find_overlaps(docs, frames.table(spark, sf_dir, "benchmark")).where("n_hit > 0"))
+    return decontaminate.keep_clean(_columns(docs), frames.table(spark, sf_dir, "benchmark"))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
