@@ -75,7 +75,7 @@ def golden(f, a: float, b: float, tol: float = 1e-7) -> float:
 
 def invert_rho(target: float, d: float, r: float, k: float, sigma: float) -> float:
     """H whose location is target, by bisection; the nearer end if there is none."""
-    lo, hi = 0.01, 0.99
+    lo, hi = 0.02, 0.98
     a, b = float(_rho(lo, d, r, k, sigma)) - target, float(_rho(hi, d, r, k, sigma)) - target
     if a * b > 0:
         return lo if abs(a) < abs(b) else hi

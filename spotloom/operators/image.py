@@ -105,16 +105,17 @@ def suppress(peaks: DataFrame, k: int = 2) -> DataFrame:
     """Greedy non-maximum suppression by frame: highest score first, none within k before or k - 1 after it."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "r", "c"], ascending=[False, True, True], kind="stable")
-        rows, cols, keep = [], [], []
-        for i, (r, c) in enumerate(zip(g.r, g.c, strict=True)):
-            if not any(a - k <= r < a + k and b - k <= c < b + k for a, b in zip(rows, cols, strict=True)):
-                rows.append(r)
-                cols.append(c)
-                keep.append(i)
-        return g.iloc[keep]
-
-    return peaks.groupBy(*FRAME).applyInPandas(run, peaks.schema)
+        g = g.sort_values(["frame", "score", "r", "c"], ascending=[True, False, True, True], kind="stable")
+        taken: dict = {}
+        keep = np.zeros(len(g), bool)
+        for i, (frame, r, c) in enumerate(zip(g.frame, g.r, g.c, strict=True)):
+            held = taken.setdefault(frame, [])
+            if not any(a - k <= r < a + k and b - k <= c < b + k for a, b in held):
+                held.append((r, c))
+                keep[i] = True
+        return g[keep]
+
+    return peaks.groupBy("video", F.floor(F.col("frame") / 64)).applyInPandas(run, peaks.schema)
 
 
 def annulus_stats(px: DataFrame, spots: DataFrame, inner: float = 3.0, outer: int = 6, window: int = 7, least: int = 10) -> DataFrame:

@@ -8,6 +8,8 @@ from spotloom.operators import trajectory as T
 from spotloom.plans import adapters as A
 
 R = 4
+#: Added before rounding where means of short decimals end in a five, so that both engines round up.
+TIE = 1e-9
 
 
 def _runs(spark, d):
@@ -45,7 +47,7 @@ QUERIES = {
     "ta_ea_sd": lambda s, d: T.ta_ea_sd(_runs(s, d)).select("state", "lag", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), "n"),
     "pooled_msd_sem": lambda s, d: T.pooled_msd(A.traces(s, d)).select("lag", F.round("msd", 3).alias("msd"), F.round("sem", 3).alias("sem"), "n"),
     "max_duration": lambda s, d: T.max_duration(A.traces(s, d)),
-    "centroids": lambda s, d: rounded(T.centroids(A.traces(s, d)), "cx", "cy"),
+    "centroids": lambda s, d: T.centroids(A.traces(s, d)).withColumns({c: F.round(F.col(c) + TIE, R) for c in ("cx", "cy")}),
     "state_rank_by_k": lambda s, d: rounded(T.state_rank(T.with_diffusion(A.traces(s, d), A.diffusion(s, d)).where("K is not null")), "mean_k"),
     "merge_offset": lambda s, d: T.merge_offset(A.traces(s, d)).groupBy("video", "traj_idx", "merged_idx").agg(F.count(F.lit(1)).alias("points")),
     "traces_left_diffusion": lambda s, d: rounded(T.with_diffusion(A.traces(s, d), A.diffusion(s, d)).select("video", "traj_idx", "frame", "state", "H", "K"), "H", "K"),
@@ -122,7 +124,7 @@ SQL = {
     + " union all ".join(f"select {n} as lag, (lead({c}, {n}) over (partition by video, traj_idx order by frame) - {c}) ** 2 as sd from tr" for n in range(1, 6) for c in "xy")
     + ") select lag, round(avg(sd), 3) as msd, round(stddev_samp(sd) / sqrt(count(*)), 3) as sem, count(*) as n from q where sd is not null group by 1",
     "max_duration": _P + " select max(d) as max_duration from (select max(frame) - min(frame) as d from tr group by video, traj_idx)",
-    "centroids": _P + " select video, traj_idx, round(avg(x), 4) as cx, round(avg(y), 4) as cy, count(*) as points from tr group by 1, 2",
+    "centroids": _P + " select video, traj_idx, round(avg(x) + 1e-9, 4) as cx, round(avg(y) + 1e-9, 4) as cy, count(*) as points from tr group by 1, 2",
     "state_rank_by_k": _P + ", " + A.DIFFUSION_SQL + " select state, cast(dense_rank() over (order by avg(K)) - 1 as integer) as rank, round(avg(K), 4) as mean_k from tr join df using (video, traj_idx) group by 1",
     "merge_offset": _P + """, v as (select video, max(traj_idx) + 1 as size from tr group by 1), o as (select video, coalesce(sum(size) over (order by video rows between unbounded preceding and 1 preceding), 0) as o from v)
   select video, traj_idx, cast(traj_idx + o as bigint) as merged_idx, count(*) as points from tr join o using (video) group by 1, 2, 3""",
