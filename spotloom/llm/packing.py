@@ -152,19 +152,14 @@ class Placement:
         rows.sort()
         self.sequences = base
         self.table = np.array(rows, np.int64).reshape(len(rows), 5)
-        self.first = np.searchsorted(self.table[:, 0], np.arange(capacity + 2))
+        self.keys = (self.table[:, 0] << 48) + self.table[:, 1]
 
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces by length and number within it."""
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        for one in np.unique(length).tolist():
-            at = np.flatnonzero(length == one)
-            own = self.table[self.first[one] : self.first[one + 1]]
-            row = own[np.searchsorted(own[:, 1], number[at], "right") - 1]
-            t = number[at] - row[:, 1]
-            sequence[at] = row[:, 2] + t // row[:, 3]
-            offset[at] = row[:, 4] + t % row[:, 3] * one
-        return sequence, offset
+        length = length.astype(np.int64)
+        row = self.table[np.searchsorted(self.keys, (length << 48) + number, "right") - 1]
+        t = number - row[:, 1]
+        return row[:, 2] + t // row[:, 3], row[:, 4] + t % row[:, 3] * length
 
 
 def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -216,6 +211,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         sequence, offset = shared.value.place(batch.column(3).to_numpy(), batch.column(5).to_numpy())
         return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     out = numbered.mapInArrow(lambda batches: map(one, batches), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
