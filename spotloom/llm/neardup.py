@@ -232,5 +232,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of docs that stand for their group, with all columns. Rows that repeat both id and text all stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    # Ids that go are as many as the input has copies, so they are never broadcast.
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
