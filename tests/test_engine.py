@@ -263,3 +263,44 @@ def test_nothing_else_imports_the_text_operators():
             for n in names:
                 if n.endswith(".py"):
                     assert "spotloom.llm" not in open(os.path.join(where, n)).read()
+
+
+def test_look_ahead_keeps_crossing_particles_apart(spark):
+    from spotloom.operators import forecast
+
+    rows = []
+    for f in range(1, 22):
+        rows += [("v", f, 0, 2.0 * f, 2.0 * f, 0.0), ("v", f, 1, 2.0 * f, 44.5 - 2.0 * f, 0.0)]
+    loc = spark.createDataFrame([r for r in rows if not (r[1] == 5 and r[2] == 0)], "video string, frame int, spot_idx int, x double, y double, z double")
+    got = {}
+    for r in forecast.track(loc, 8.0, 2, 3, alpha=lambda p: 1.9).collect():
+        got.setdefault(r.traj_idx, []).append((r.frame, r.y - 2 * r.frame if r.y == 2 * r.frame else None))
+    assert sorted(map(len, got.values())) == [20, 21]
+    assert sorted({b is None for _, b in t} == {True} or {b is None for _, b in t} == {False} for t in got.values()) == [True, True]
+
+
+def test_look_ahead_costs_equal_the_expressions(spark):
+    from spotloom.operators import forecast
+
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        a, b = rng.normal(0, 3, 3), rng.normal(0, 3, 3)
+        cost, odd = tracking.step_cost((F.lit(float(a[0])), F.lit(float(a[1]))), (F.lit(float(b[0])), F.lit(float(b[1]))), F.lit(0.7), F.lit(1), F.lit(0))
+        r = spark.range(1).select(cost.alias("c"), odd.alias("o")).first()
+        want = forecast.step_cost(a, b, 0.7, 1, 0)
+        assert r.c == pytest.approx(want[0]) and r.o == want[1]
+
+
+def test_look_ahead_uses_each_spot_once_within_reach(spark):
+    from spotloom.operators import forecast
+
+    rng = np.random.default_rng(6)
+    rows = [("v", f, i, float(x), float(y), 0.0) for f in range(1, 21) for i, (x, y) in enumerate(rng.uniform(0, 40, (8, 2)))]
+    loc = spark.createDataFrame(rows, "video string, frame int, spot_idx int, x double, y double, z double")
+    got = forecast.track(loc, 5.0, 2, 2).collect()
+    assert len({(r.frame, r.x, r.y) for r in got}) == len(got)
+    by = {}
+    for r in sorted(got, key=lambda r: r.frame):
+        by.setdefault(r.traj_idx, []).append(r)
+    for t in by.values():
+        assert all(1 <= b.frame - a.frame <= 3 and math.hypot(b.x - a.x, b.y - a.y) < 5 for a, b in zip(t[:-1], t[1:]))
