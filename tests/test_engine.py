@@ -304,3 +304,29 @@ def test_look_ahead_uses_each_spot_once_within_reach(spark):
         by.setdefault(r.traj_idx, []).append(r)
     for t in by.values():
         assert all(1 <= b.frame - a.frame <= 3 and math.hypot(b.x - a.x, b.y - a.y) < 5 for a, b in zip(t[:-1], t[1:]))
+
+
+def decode_png(data):
+    import struct
+    import zlib
+
+    width, height = struct.unpack(">II", data[16:24])
+    at, body = 8, b""
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]
+        body += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    return np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + 3 * width)[:, 1:].reshape(height, width, 3)
+
+
+def test_pictures(spark):
+    from spotloom.sources import pictures
+
+    df = spark.createDataFrame([("v", 7, f, float(x), float(y), 0.0, 0) for f, x, y in ((1, 1, 1), (2, 8, 1), (4, 8, 6))], schemas.TRACES)
+    got = decode_png(pictures.trajectory_picture(pictures.segments(df), 10, 12, 1))
+    lit = {tuple(p) for p in np.argwhere(got.any(2)).tolist()}
+    assert lit == {(1, x) for x in range(1, 9)} | {(y, 8) for y in range(1, 7)}
+    loc = df.select("video", "frame", F.lit(0).alias("spot_idx"), "x", "y", "z")
+    dens = decode_png(pictures.density_picture(image.density_raster(loc, 1.0), 10, 12, 1.0))
+    assert dens.shape == (10, 12, 3) and (dens[1, 1] == 255).all() and not dens[9, 0].any()
