@@ -330,3 +330,32 @@ def test_pictures(spark):
     loc = df.select("video", "frame", F.lit(0).alias("spot_idx"), "x", "y", "z")
     dens = decode_png(pictures.density_picture(image.density_raster(loc, 1.0), 10, 12, 1.0))
     assert dens.shape == (10, 12, 3) and (dens[1, 1] == 255).all() and not dens[9, 0].any()
+
+
+def test_nd2_frames(spark, tmp_path):
+    import struct
+
+    from spotloom.sources import nd2
+
+    stack = np.random.default_rng(0).integers(0, 60000, (12, 5, 7, 2)).astype("<u2")
+    out, places = bytearray(), {}
+
+    def put(name, body):
+        places[name] = len(out)
+        out.extend(struct.pack("<IIQ", nd2.MAGIC, len(name), len(body)) + name + body)
+
+    number = lambda key, v: b"\x03" + bytes([len(key) + 1]) + (key + "\0").encode("utf-16-le") + struct.pack("<I", v)
+    put(nd2.ATTRIBUTES, number("uiWidth", 7) + number("uiWidthBytes", 32) + number("uiHeight", 5) + number("uiComp", 2) + number("uiBpcInMemory", 16) + number("eCompression", 2))
+    for i, page in enumerate(stack):
+        rows = b"".join(r.tobytes().ljust(32, b"\0") for r in page)
+        put(nd2.PICTURE + str(i).encode() + b"!", struct.pack("<d", 10.0 * i) + rows)
+    body = b"".join(n + struct.pack("<QQ", at, 0) for n, at in places.items()) + nd2.SIGNATURE + bytes(8)
+    at = len(out)
+    put(b"ND2 FILEMAP SIGNATURE NAME 0001!", body)
+    out.extend(nd2.SIGNATURE + struct.pack("<Q", at))
+    (tmp_path / "a.nd2").write_bytes(bytes(out))
+    (tmp_path / "b.nd2").write_bytes(nd2.JPEG2000 + bytes(100))
+    got = nd2.read_stacks(spark, str(tmp_path)).collect()
+    assert [r.error for r in got if r.video == "b"][0].startswith("ND2 of the older")
+    pages = sorted((r for r in got if r.video == "a"), key=lambda r: r.frame)
+    assert len(pages) == 12 and all((np.array(r.pixels).reshape(5, 7) == stack[i, :, :, 0]).all() for i, r in enumerate(pages))
