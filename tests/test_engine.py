@@ -359,3 +359,18 @@ def test_nd2_frames(spark, tmp_path):
     assert [r.error for r in got if r.video == "b"][0].startswith("ND2 of the older")
     pages = sorted((r for r in got if r.video == "a"), key=lambda r: r.frame)
     assert len(pages) == 12 and all((np.array(r.pixels).reshape(5, 7) == stack[i, :, :, 0]).all() for i, r in enumerate(pages))
+
+
+def test_hops_are_cut_where_places_are_tight(spark):
+    from spotloom.operators import postprocess
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for t in range(6):
+        for f in range(30):
+            x = 0.0 if f < 15 else 20.0
+            rows.append(("tight", t, f, x + rng.normal(0, 0.2), rng.normal(0, 0.2), 0.0, 0))
+            rows.append(("loose", t, f, x + rng.normal(0, 4), rng.normal(0, 4), 0.0, 0))
+    df = spark.createDataFrame([(v, t, f, float(x), float(y), z, s) for v, t, f, x, y, z, s in rows], schemas.TRACES)
+    got = postprocess.split_hops(postprocess.place_labels(df)).groupBy("video", "traj_idx").agg(F.countDistinct("part").alias("n"), F.min(F.when(F.col("part") > 0, F.col("frame"))).alias("first")).collect()
+    assert all((r.n, r["first"]) == ((2, 15) if r.video == "tight" else (1, None)) for r in got) and len(got) == 12
