@@ -71,7 +71,7 @@ QUERIES = {
     "ratio_counts": lambda s, d: diffusion.ratio_counts(A.traces(s, d), 8),
     "h_grid_mle": lambda s, d: diffusion.h_grid(diffusion.stride_ratios(A.traces(s, d), 2)).select("state", "delta", F.round("h", 4).alias("h"), F.round("ll", 2).alias("ll"), "n"),
     "h_fit": lambda s, d: diffusion.h_fit(diffusion.stride_ratios(A.traces(s, d), 4)),
-    "snr_by_state": lambda s, d: diffusion.snr_by_state(A.traces(s, d), 0.2).select("state", F.round("msd1", 3).alias("msd1"), "floor", F.round("snr", 2).alias("snr")),
+    "snr_by_state": lambda s, d: diffusion.snr_by_state(A.traces(s, d), 0.2).select("state", F.round(F.col("msd1") + 1e-9, 3).alias("msd1"), "floor", F.round("snr", 2).alias("snr")),
     "rho_gamma_table": lambda s, d: _table(s).select("h", "delta", F.round(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO), 6).alias("rho"), F.round(C.gamma(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO)), 6).alias("gamma"), F.round(C.rho_free(F.col("h")), 6).alias("free")),
     "crlb_table": lambda s, d: _table(s).select("h", "delta", F.round(C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), *RHO), F.col("n")), 4).alias("se")),
     "trust_bands": lambda s, d: diffusion.trust(_table(s), *RHO, 0.05).select("h", "delta", F.round("spread", 4).alias("spread"), "trusted"),
@@ -182,7 +182,7 @@ SQL = {
   ll as (select state, delta, h, sum(0.5 * ln(1 - p * p) - ln(pi()) - ln((ratio - p) * (ratio - p) + 1 - p * p)) as ll, count(*) as n from (select *, (pow(2, 2 * h) - 2) / 2 as p from ra, g where ratio is not null and delta <= 2) group by 1, 2, 3)
   select state, delta, round(max_by(h, ll), 4) as h, round(max(ll), 2) as ll, max(n) as n from ll group by 1, 2 having max(n) >= 5""",
     "snr_by_state": _TR + """, q as (select state, pow(lead(x) over w - x, 2) as x2, pow(lead(y) over w - y, 2) as y2 from tr window w as (partition by video, traj_idx order by frame))
-  select state, round((avg(x2) + avg(y2)) / 2, 3) as msd1, 0.08000000000000002::double as floor, round((avg(x2) + avg(y2)) / 2 / 0.08, 2) as snr from q where x2 is not null group by 1""",
+  select state, round((avg(x2) + avg(y2)) / 2 + 1e-9, 3) as msd1, 0.08000000000000002::double as floor, round((avg(x2) + avg(y2)) / 2 / 0.08, 2) as snr from q where x2 is not null group by 1""",
     "rho_gamma_table": _T + f" select h, delta, round({_sql_rho('h', 'delta::double')}, 6) as rho, round(sqrt(1 - pow({_sql_rho('h', 'delta::double')}, 2)), 6) as gamma, round(pow(2, 2 * h - 1) - 1, 6) as free from tb",
     "crlb_table": _T + f" select h, delta, round({_SE}, 4) as se from tb",
     "trust_bands": _T + f" select h, delta, round(abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r}, 4) as spread, {_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05 as trusted from tb",
