@@ -42,10 +42,10 @@ QUERIES = {
     "polar_rose": lambda s, d: rounded(T.histogram(T.angles(_runs(s, d)).withColumn("polar", F.round("polar", 6)), "polar", 36, 0.0, 360.0, ["state"]), "share"),
     "log_k_hist": lambda s, d: T.geometric_histogram(A.diffusion(s, d), "K", 20, ["video"]).select("video", "bin", "n"),
     "density_1d": lambda s, d: T.histogram(T.displacements_1d(_runs(s, d)), "d", 80, -400.0, 400.0, ["axis"], True).select("axis", "bin", "n", F.round("share", 7).alias("share")),
-    "ea_sd": lambda s, d: T.ea_sd(_runs(s, d)).select("state", F.col("t").cast("int").alias("t"), F.round(F.col("mean") + TIE, 3).alias("mean"), F.round("std", 3).alias("std"), "n"),
+    "ea_sd": lambda s, d: T.ea_sd(_runs(s, d)).select("state", F.col("t").cast("int").alias("t"), F.round(F.col("mean") + TIE, 3).alias("mean"), F.round(F.col("std") + TIE, 3).alias("std"), "n"),
     "ea_sd_strict": lambda s, d: T.ea_sd(_runs(s, d), 1.0, True).select("state", "t", F.round(F.col("mean") + TIE, 3).alias("mean"), "n"),
-    "ta_ea_sd": lambda s, d: T.ta_ea_sd(_runs(s, d)).select("state", "lag", F.round(F.col("mean") + TIE, 3).alias("mean"), F.round("std", 3).alias("std"), "n"),
-    "pooled_msd_sem": lambda s, d: T.pooled_msd(A.traces(s, d)).select("lag", F.round(F.col("msd") + TIE, 3).alias("msd"), F.round("sem", 3).alias("sem"), "n"),
+    "ta_ea_sd": lambda s, d: T.ta_ea_sd(_runs(s, d)).select("state", "lag", F.round(F.col("mean") + TIE, 3).alias("mean"), F.round(F.col("std") + TIE, 3).alias("std"), "n"),
+    "pooled_msd_sem": lambda s, d: T.pooled_msd(A.traces(s, d)).select("lag", F.round(F.col("msd") + TIE, 3).alias("msd"), F.round(F.col("sem") + TIE, 3).alias("sem"), "n"),
     "max_duration": lambda s, d: T.max_duration(A.traces(s, d)),
     "centroids": lambda s, d: T.centroids(A.traces(s, d)).withColumns({c: F.round(F.col(c) + TIE, R) for c in ("cx", "cy")}),
     "state_rank_by_k": lambda s, d: rounded(T.state_rank(T.with_diffusion(A.traces(s, d), A.diffusion(s, d)).where("K is not null")), "mean_k"),
@@ -113,16 +113,16 @@ SQL = {
     "density_1d": _D1 + ", " + _hist("d", "d", 80, -400.0, 400.0, "axis") + " select axis, bin, n, round(n / (sum(n) over (partition by axis) * 10.0), 7) as share from h",
     "ea_sd": _SHIFT + """, g as (select video, traj_idx, run, list(t) as there from o group by 1, 2, 3),
   q as (select state, pos as t, (rx * rx + ry * ry) / 4 as sd from o join g using (video, traj_idx, run) where pos < last and list_contains(there, pos))
-  select state, cast(t as integer) as t, round(avg(sd) + 1e-9, 3) as mean, round(stddev_pop(sd), 3) as std, count(*) as n from q group by 1, 2""",
+  select state, cast(t as integer) as t, round(avg(sd) + 1e-9, 3) as mean, round(stddev_pop(sd) + 1e-9, 3) as std, count(*) as n from q group by 1, 2""",
     "ea_sd_strict": _SHIFT + " select state, cast(t as integer) as t, round(avg((rx * rx + ry * ry) / 4) + 1e-9, 3) as mean, count(*) as n from o group by 1, 2",
     "ta_ea_sd": _RUNS + """, n as (select *, row_number() over (partition by video, traj_idx, run order by frame) as pos from r),
   q as (select a.video, a.traj_idx, a.run, a.state, b.frame - a.frame as lag, avg(((b.x - a.x) ** 2 + (b.y - a.y) ** 2) / 4) as sd from n a join n b
     on a.video = b.video and a.traj_idx = b.traj_idx and a.run = b.run and b.pos > a.pos and b.frame - a.frame = b.pos - a.pos group by 1, 2, 3, 4, 5)
-  select state, lag, round(avg(sd) + 1e-9, 3) as mean, round(stddev_pop(sd), 3) as std, count(*) as n from q group by 1, 2""",
+  select state, lag, round(avg(sd) + 1e-9, 3) as mean, round(stddev_pop(sd) + 1e-9, 3) as std, count(*) as n from q group by 1, 2""",
     "pooled_msd_sem": _P
     + ", q as ("
     + " union all ".join(f"select {n} as lag, (lead({c}, {n}) over (partition by video, traj_idx order by frame) - {c}) ** 2 as sd from tr" for n in range(1, 6) for c in "xy")
-    + ") select lag, round(avg(sd) + 1e-9, 3) as msd, round(stddev_samp(sd) / sqrt(count(*)), 3) as sem, count(*) as n from q where sd is not null group by 1",
+    + ") select lag, round(avg(sd) + 1e-9, 3) as msd, round(stddev_samp(sd) / sqrt(count(*)) + 1e-9, 3) as sem, count(*) as n from q where sd is not null group by 1",
     "max_duration": _P + " select max(d) as max_duration from (select max(frame) - min(frame) as d from tr group by video, traj_idx)",
     "centroids": _P + " select video, traj_idx, round(avg(x) + 1e-9, 4) as cx, round(avg(y) + 1e-9, 4) as cy, count(*) as points from tr group by 1, 2",
     "state_rank_by_k": _P + ", " + A.DIFFUSION_SQL + " select state, cast(dense_rank() over (order by avg(K)) - 1 as integer) as rank, round(avg(K), 4) as mean_k from tr join df using (video, traj_idx) group by 1",
