@@ -153,31 +153,69 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: list[float], step: floa
     return pts[int(np.argmin(val))]
 
 
+def _own_histogram(values: DataFrame, column: str, bins: int, by: list[str]) -> DataFrame:
+    """Counts by bin between the least and greatest value of each group, whose ends, size, mean and spread come along."""
+    ends = values.groupBy(*by).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n_all"), F.avg(column).alias("mu"), F.stddev_pop(column).alias("sd"))
+    at = F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    in_bin = F.when(F.col("hi") > F.col("lo"), F.least(at, F.lit(bins - 1))).otherwise(0).cast("int")
+    return values.join(ends, by).groupBy(*by, "lo", "hi", "n_all", "mu", "sd", in_bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _density(g: pd.DataFrame, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Middles of bins and the density there."""
+    lo, hi = float(g.lo.iloc[0]), float(g.hi.iloc[0])
+    width = max(hi - lo, 1e-12) / bins
+    y = np.zeros(bins)
+    y[g.bin.to_numpy()] = g.n.to_numpy() / (g.n.sum() * width)
+    return lo + (np.arange(bins) + 0.5) * width, y
+
+
 def ratio_histogram_fit(runs: DataFrame, bins: int = 100, top: float = 10.0, least: int = 10) -> DataFrame:
-    """H of the Cauchy law nearest (by absolute differences) to the density of ratios within top, by state."""
-    r = T.ratios_1d(runs).withColumn("r", F.greatest(F.lit(-top), F.least(F.lit(top), F.col("r"))))
-    hist = T.histogram(r, "r", bins, -top, top, ["state"], True)
+    """H and amplitude of the Cauchy law nearest (by absolute differences) to the density of ratios within top, by state.
+
+    States with fewer than `least` such ratios have null.
+    """
+    hist = _own_histogram(T.ratios_1d(runs).where(F.abs("r") < top), "r", bins, ["state"])
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         n = int(g.n.sum())
         h = a = float("nan")
         if n >= least:
-            mid = -top + (np.arange(bins) + 0.5) * 2 * top / bins
-            y = np.zeros(bins)
-            y[g.bin.to_numpy()] = g.share.to_numpy()
+            mid, y = _density(g, bins)
 
             def loss(p: np.ndarray) -> float:
-                loc = 2 ** (2 * np.clip(p[0], 0.01, 0.99) - 1) - 1
+                if not 0 < p[0] < 1:
+                    return math.inf
+                loc = 2 ** (2 * p[0] - 1) - 1
                 s = math.sqrt(1 - loc * loc)
                 return float(np.abs(y - p[1] / (np.pi * s * (1 + ((mid - loc) / s) ** 2))).sum())
 
             h, a = nelder_mead(loss, [0.5, 1.0])
-            h = float(np.clip(h, 0.01, 0.99))
-        return pd.DataFrame({"state": [int(g.state.iloc[0])], "h": [h], "alpha": [float(a)], "n": [n]})
+            h, a = float(np.clip(h, 0.01, 0.99)), max(float(a), 0.01)
+        return pd.DataFrame({"state": [int(g.state.iloc[0])], "h": [h], "alpha": [a], "n": [n]})
 
     return hist.groupBy("state").applyInPandas(fit, "state int, h double, alpha double, n bigint")
 
 
+def displacement_histogram_fit(runs: DataFrame, bins: int = 80, least: int = 10) -> DataFrame:
+    """Mean, spread and amplitude of the normal law nearest (by absolute differences) to the density of each axis, by state."""
+    hist = _own_histogram(T.displacements_1d(runs), "d", bins, ["state", "axis"])
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        mu = sigma = a = float("nan")
+        if g.n.sum() >= least:
+            mid, y = _density(g, bins)
+
+            def loss(p: np.ndarray) -> float:
+                return float(np.abs(y - p[2] / (p[1] * math.sqrt(2 * math.pi)) * np.exp(-0.5 * ((mid - p[0]) / p[1]) ** 2)).sum()) if p[1] > 0 else math.inf
+
+            mu, sigma, a = nelder_mead(loss, [float(g.mu.iloc[0]), max(float(g.sd.iloc[0]), 1e-6), 1.0])
+            mu, sigma, a = float(mu), max(float(sigma), 1e-8), max(float(a), 0.01)
+        return pd.DataFrame({"state": [int(g.state.iloc[0])], "axis": [g.axis.iloc[0]], "mu": [mu], "sigma": [sigma], "alpha": [a], "n": [int(g.n.sum())]})
+
+    return hist.groupBy("state", "axis").applyInPandas(fit, "state int, axis string, mu double, sigma double, alpha double, n bigint")
+
+
 def mixture_1d(x: np.ndarray, weights: np.ndarray, k: int, steps: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Weights, means, variances and log likelihood of a normal mixture of a weighted sample, by EM."""
     q = (np.cumsum(weights) - weights / 2) / weights.sum()
@@ -201,28 +239,3 @@ def mixture_1d(x: np.ndarray, weights: np.ndarray, k: int, steps: int = 200, tol
             break
         last = ll
     return share, mean, var, ll
-
-
-def select_mixture(x: np.ndarray, weights: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The mixture of 1 to most components with the lowest Bayesian information criterion."""
-    found = [mixture_1d(x, weights, k) for k in range(1, most + 1)]
-    bic = [(3 * k - 1) * math.log(max(2, weights.sum())) - 2 * f[3] for k, f in enumerate(found, 1)]
-    return found[int(np.argmin(bic))][:3]
-
-
-def gmm_jump_threshold(pairs: DataFrame, axes: tuple[str, ...] = ("dx", "dy"), bins: int = 400, floor: float = 5.0) -> float:
-    """The jump threshold from mixtures of each axis's displacements between their 2.5 and 97.5 percentiles.
-
-    The widest component near zero gives an axis's share; a histogram of fixed size is what comes to the driver.
-    """
-    total = 0.0
-    for c in axes:
-        lo, hi = pairs.agg(F.percentile(c, F.lit(0.025)), F.percentile(c, F.lit(0.975))).first()
-        if lo is None or hi <= lo:
-            continue
-        hist = T.histogram(pairs, c, bins, float(lo), float(hi)).orderBy("bin").collect()
-        x = lo + (np.array([h.bin for h in hist]) + 0.5) * (hi - lo) / bins
-        share, mean, var = select_mixture(x, np.array([h.n for h in hist], float))
-        near = (np.abs(mean) < 1) & (share > 0.05)
-        total += (2.5**2) * float(var[near].max() if near.any() else var.max())
-    return max(floor, math.sqrt(total))

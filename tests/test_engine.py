@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spotloom import schemas
 from spotloom.functions import cauchy, tracking
-from spotloom.operators import classify, diffusion, estimators, graph, image, linking
+from spotloom.operators import classify, diffusion, estimators, graph, image, linking, mixtures
 from spotloom.operators import trajectory as T
 from spotloom.plans import catalogue
 from spotloom.sources import shapes, stacks, tables
@@ -128,8 +128,15 @@ def test_precision_of_spots_follows_photons(spark):
 def test_mixture_finds_two_groups():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, 3000), rng.normal(8, 2, 1000)])
-    share, mean, var = estimators.select_mixture(x, np.ones(len(x)))
-    assert len(mean) == 2 and sorted(mean.round()) == [0, 8]
+    edges = np.linspace(x.min(), x.max(), 201)
+    folds = np.array([np.histogram(x[i::5], edges)[0] for i in range(5)], float)
+    mid = (edges[1:] + edges[:-1]) / 2
+    k = mixtures.components_by_folds(mid, folds)
+    assert k >= 2
+    assert sorted(estimators.mixture_1d(mid, folds.sum(0), 2)[1].round()) == [0, 8]
+    share, mean, var = mixtures.variational_mixture(mid, folds.sum(0), 2)
+    assert share.sum() == pytest.approx(1) and np.abs(mean).max() < 0.1 and var.min() == pytest.approx(1, rel=0.2)
+    assert mixtures.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525891])
 
 
 def spots(spark):
