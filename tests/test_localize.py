@@ -135,3 +135,35 @@ def test_jump_threshold_by_mixture(spark):
     assert 5900 < kept.count() <= 6000
     assert mixtures.gmm_jump_threshold(kept) == pytest.approx(2.5 * np.sqrt(2) * 3 * 0.871, rel=0.05)  # a normal law cut at 1.96 deviations keeps 0.871 of its spread
     assert mixtures.gmm_jump_threshold(kept.where("dx > 1e9")) == 5.0
+
+
+def test_tracker_places_every_spot_once_and_does_not_depend_on_alternatives_where_paths_are_clear(spark):
+    from spotloom.operators import forecast
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k, (x, y) in enumerate([(0, 0), (40, 0), (0, 40), (40, 40)]):
+        walk = rng.normal(0, 1, (30, 2)).cumsum(0) + (x, y)
+        rows += [("v", f + 1, k, float(a), float(b), 0.0) for f, (a, b) in enumerate(walk) if (f + k) % 9]
+    loc = spark.createDataFrame(rows, "video string, frame int, spot_idx int, x double, y double, z double")
+    kept = [sorted((r.traj_idx, r.frame, r.x) for r in forecast.track(loc, 8.0, 2, 1, alternatives=n).collect()) for n in (1, 4)]
+    assert len(kept[0]) == len(rows) and len({t for t, _, _ in kept[1]}) == 4
+    assert kept[0] == kept[1]
+
+
+def test_tracker_cuts_a_path_at_an_abnormal_step(spark):
+    from spotloom.operators import forecast
+
+    rows = [("v", f, 0, 0.5 * f, 0.0, 0.0) for f in range(1, 9)] + [("v", f, 0, 4.0 + 9.0 * (f - 8), 9.0 * (f - 8), 0.0) for f in range(9, 12)]
+    loc = spark.createDataFrame(rows, "video string, frame int, spot_idx int, x double, y double, z double")
+    whole = forecast.track(loc, 20.0, 3, 1).groupBy("traj_idx").count().collect()
+    assert sum(r["count"] for r in whole) == 11 and len(whole) >= 1
+    assert forecast.track(loc.where("false"), 20.0).count() == 0
+    zigzag = [(9, 0), (10, 0), (11, 0), (12, 0), (13, 0)]
+    x = np.cumsum([4.5, 9.0, -0.3, 9.0, -0.3])
+    far = pd.DataFrame([("v", f, 0, float(a), 0.0, 0.0) for (f, _), a in zip(zigzag, x, strict=True)], columns=loc.columns)
+    v = forecast._Video(pd.concat([loc.where("frame < 9").toPandas(), far]), 20.0, 3, 8, forecast.brownian, forecast.exponential_jumps())
+    v.tracks = [[(f, 0) for f in range(1, 9)]]
+    total, at = v.score(0, zigzag, 1.0)
+    assert total > forecast.CUT and at == 1
+    assert v.score(0, zigzag[:1], 1.0)[1] is None
