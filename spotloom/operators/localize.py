@@ -106,29 +106,42 @@ def maxima(score: np.ndarray, limit: float, window: int, shift: int) -> list[tup
     return found
 
 
-def fit(patch: np.ndarray, mean: float, repeat: int = 5) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Centre, covariance and amplitude of a spot in a patch above its background; None if no spot fits."""
-    half = patch.shape[0] // 2
+def fit(patches: np.ndarray, mean: float, repeat: int = 5) -> list[tuple[np.ndarray, np.ndarray, float] | None]:
+    """Centre, covariance and amplitude of a spot in each patch above its background; None where no spot fits.
+
+    Weighted least squares of log intensity on a quadratic, with the squares of the model before as weights, until the
+    coefficients of a patch rest. All patches are solved together, each as a system of six equations.
+    """
+    half = patches.shape[1] // 2
     y, x = np.mgrid[-half : half + 1, -half : half + 1].reshape(2, -1).astype(float)
     design = np.stack([x * x, x, y * y, y, x * y, np.ones_like(x)], 1)
-    v = (patch - mean).ravel()
-    v = v - v.min() + 0.01
-    target, w, last = np.log(v), v * v, None
+    products = (design[:, :, None] * design[:, None, :]).reshape(len(x), 36)
+    v = (patches - mean).reshape(len(patches), -1)
+    v = v - v.min(1, keepdims=True) + 0.01
+    target, w = np.log(v), v * v
+    coef, moving = np.full((len(v), 6), np.nan), np.ones(len(v), bool)
     for _ in range(repeat):
-        coef = np.linalg.lstsq(design * np.sqrt(w)[:, None], target * np.sqrt(w), rcond=None)[0]
-        w = np.exp(np.clip(2 * (design @ coef), -50, 50))
-        if last is not None and np.allclose(coef, last, rtol=1e-7, atol=0):
+        inverse = np.linalg.pinv((w[moving] @ products).reshape(-1, 6, 6), rcond=1e-12, hermitian=True)
+        new = np.einsum("nij,nj->ni", inverse, (w[moving] * target[moving]) @ design)
+        rest = np.isclose(new, coef[moving], rtol=1e-7, atol=0).all(1)
+        coef[moving] = new
+        w[moving] = np.exp(np.clip(2 * (new @ design.T), -50, 50))
+        moving[moving] = ~rest
+        if not moving.any():
             break
-        last = coef
+    return [_spot(c, half) for c in coef]
+
+
+def _spot(coef: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, float] | None:
     a, b, c, d, e, f = coef
     h = np.array([[-2 * a, -e], [-e, -2 * c]])
-    if h[0, 0] <= 0 or np.linalg.det(h) <= 1e-12:
+    if not (h[0, 0] > 0 and (det := h[0, 0] * h[1, 1] - e * e) > 1e-12):
         return None
-    cov = np.linalg.inv(h)
+    cov = np.array([[h[1, 1], e], [e, h[0, 0]]]) / det
     centre = cov @ (b, d)
-    if max(cov[0, 0], cov[1, 1]) > 3 * patch.shape[0] or np.abs(centre).max() > half + 1:
+    if max(cov[0, 0], cov[1, 1]) > 3 * (2 * half + 1) or np.abs(centre).max() > half + 1:
         return None
-    return centre, cov, float(np.exp(np.clip(f + 0.5 * np.dot((b, d), centre), -50, 50)))
+    return centre, cov, float(np.exp(np.clip(f + 0.5 * (b * centre[0] + d * centre[1]), -50, 50)))
 
 
 def _bell(window: int, centre: np.ndarray, cov: np.ndarray, amp: float) -> np.ndarray:
@@ -156,9 +169,10 @@ def find_spots(picture: np.ndarray, options: Options, frame: int = 0) -> tuple[l
             scale = several[0][0] ** 2 / window**2 if n else 1.0
             half = window // 2
             taken = []
-            for r, c in maxima(scores(wide, border, (h, w), window, rad, mean) * scale, limit, window, options.shift):
-                box = (slice(r + border - half, r + border + half + 1), slice(c + border - half, c + border + half + 1))
-                got = fit(wide[box], mean)
+            peaks = maxima(scores(wide, border, (h, w), window, rad, mean) * scale, limit, window, options.shift)
+            boxes = [(slice(r + border - half, r + border + half + 1), slice(c + border - half, c + border + half + 1)) for r, c in peaks]
+            fits = fit(np.array([wide[box] for box in boxes]), mean) if peaks else []
+            for (r, c), box, got in zip(peaks, boxes, fits, strict=True):
                 if got is None or not (-1 < r + got[0][1] < h and -1 < c + got[0][0] < w):
                     continue
                 centre, cov, amp = got

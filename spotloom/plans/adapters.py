@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,24 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.conform(e.select(F.lit("emb").alias("video"), F.col("vec_id").cast("int").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("pixels")), schemas.FRAMES)
 
 
+def rendered(spark: SparkSession, sf_dir: str, side: int = 48) -> DataFrame:
+    """A picture of each frame with spots: a bell for each spot, wrapped into the picture, over an even background."""
+    spots = loc(spark, sf_dir).groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.array("x", "y"))).alias("at"))
+
+    def run(batches):
+        y, x = np.mgrid[:side, :side]
+        for b in batches:
+            out = []
+            for at in b["at"]:
+                p = 100 + 5 * np.sin(1.7 * x + 2.3 * y)
+                for u, v in at:
+                    p = p + 900 * np.exp(-((x - 4 - u % (side - 8)) ** 2 + (y - 4 - v % (side - 8)) ** 2) / 4)
+                out.append(p.ravel().astype(np.float32))
+            yield pd.DataFrame({"video": b.video, "frame": b.frame, "height": side, "width": side, "pixels": out})
+
+    return schemas.conform(spots.mapInPandas(run, "video string, frame int, height int, width int, pixels array<float>"), schemas.FRAMES)
+
+
 EVENTS_SQL = """ev as (select event_id, user_id, 'v' || (user_id % 3) as video, date_diff('day', date '2024-01-01', cast(ts as date)) as day,
   extract(hour from ts) as hour, value as x, coalesce(try_cast(regexp_extract(props, '(-?[0-9]+)', 1) as double), 0) as y, length(event_type) % 2 as state from events)"""
 TRACES_SQL = EVENTS_SQL + """, tr as (select video, user_id as traj_idx, cast(day as integer) as frame, x, y, 0.0 as z, state from ev

@@ -160,7 +160,7 @@ def test_tracker_cuts_a_path_at_an_abnormal_step(spark):
     assert sum(r["count"] for r in whole) == 11 and len(whole) >= 1
     assert forecast.track(loc.where("false"), 20.0).count() == 0
     zigzag = [(9, 0), (10, 0), (11, 0), (12, 0), (13, 0)]
-    x = np.cumsum([4.5, 9.0, -0.3, 9.0, -0.3])
+    x = np.cumsum([4.5, 19.0, -0.3, 19.0, -0.3])
     far = pd.DataFrame([("v", f, 0, float(a), 0.0, 0.0) for (f, _), a in zip(zigzag, x, strict=True)], columns=loc.columns)
     v = forecast._Video(pd.concat([loc.where("frame < 9").toPandas(), far]), 20.0, 3, 8, forecast.brownian, forecast.exponential_jumps())
     v.tracks = [[(f, 0) for f in range(1, 9)]]
