@@ -10,12 +10,14 @@
    in one task), and a piece's number says its sequence and its place.
 
 Defined cases: a null or empty text is the end id alone; rows are packed one by one, so repeated ids repeat pieces; an
-empty table gives no rows; texts of any length are encoded whole. Strings of special tokens are ordinary text.
+empty table gives no rows; texts of any length are encoded whole. Added tokens of the file are found in texts as
+`tokenizers` finds them, and have their own ids.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -46,6 +48,47 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Texts up to this length can't hold a run of white space too long for the pattern's search, which steps back in it.
+SAFE = 100_000
+#: White space as the pattern has it; a run of two or more is one piece, but for its last character where text follows.
+_RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+class Encoder:
+    """The ids that a tokenizers file gives a text with add_special_tokens=False."""
+
+    def __init__(self, bpe: tiktoken.Encoding, added: dict[str, int]) -> None:
+        self.bpe, self.added = bpe, added
+        self.split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def _plain(self, text: str) -> list[np.ndarray]:
+        out, at = [], 0
+        if len(text) > SAFE:
+            for m in _RUNS.finditer(text):
+                end = m.end() if m.end() == len(text) else m.end() - 1
+                out += [self.bpe.encode_to_numpy(text[at : m.start()], disallowed_special=()), np.array(self.bpe._encode_single_piece(text[m.start() : end]), np.uint32)]
+                at = end
+        return [*out, self.bpe.encode_to_numpy(text[at:], disallowed_special=())]
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) <= SAFE and not any(t in text for t in self.added):
+            return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        out, at = [], 0
+        for m in self.split.finditer(text) if self.split else ():
+            out += [*self._plain(text[at : m.start()]), np.array([self.added[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, *self._plain(text[at:])]).astype("<u4")
+
+
+@cache
+def whole_encoder(path: str) -> Encoder:
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", ())
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return Encoder(encoder(path), {t["content"]: t["id"] for t in added})
+
+
 def best_configuration(prices: np.ndarray, capacity: int) -> np.ndarray:
     """How often each length (index) is used by the configuration of highest price. Prices below 0 are not used."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
@@ -169,12 +212,12 @@ def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: i
     frames.arrow_ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(tokenizer).encode_to_numpy, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = whole_encoder(tokenizer).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for batch in batches:
             row, piece, start, length, crc, nth = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = np.append(encode(text.as_py(), disallowed_special=()).astype("<u4") if text.is_valid else end[:0], end)
+                ids = np.append(encode(text.as_py()) if text.is_valid else end[:0], end)
                 a, b, n = 0, len(ids) % capacity or capacity, 0
                 while a < len(ids):
                     row.append(i)

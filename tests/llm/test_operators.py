@@ -299,6 +299,20 @@ def test_packing_is_gapless_and_tight(spark, sf_dir, odd_docs, no_docs):
     assert packing.pack(no_docs, tokenizer=path).count() == 0
 
 
+def test_ids_are_those_of_an_unchanged_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.whole_encoder(path)
+    parts = ["a", " ", "\n", "\x1c", "\u3000", "<|endoftext|>", "<|endoftext", "é's 12"]
+    texts = [x + y + z for x in parts for y in parts for z in parts]
+    gap = 1_200_000
+    texts += [" " * gap, "a" + "\n" * gap, " " * gap + "b", "a" + "\u2003 " * (gap // 2) + "<|endoftext|>" + " \n" * gap + "\x1d", "a" * gap, ("x" + " " * 999 + "y" + " " * 1000) * 60]
+    for text in texts:
+        assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 500)), min_size=1, max_size=12))
 def test_plans_use_each_piece_once(lengths):
