@@ -50,8 +50,8 @@ QUERIES = {
     "greedy_jump_threshold": lambda s, d: s.createDataFrame([(mixtures.gmm_jump_threshold(graph.cut_lineage(mixtures.trim_jumps(graph.cut_lineage(linking.greedy_matches_with_parts(A.loc(s, d)).select("dx", "dy"))))),)], "threshold double"),
     "displacement_fit": lambda s, d: estimators.displacement_histogram_fit(_runs(s, d)),
     "ratio_fit": lambda s, d: estimators.ratio_histogram_fit(_runs(s, d)),
-    "multi_delta_scan": lambda s, d: estimators.multi_delta_scan(A.traces(s, d), most=10),
-    "noise_sensitivity": lambda s, d: estimators.sensitivity(estimators.multi_delta_scan(A.traces(s, d), most=10), 0.1, 0.2, 0.5),
+    "multi_delta_scan": lambda s, d: estimators.multi_delta_scan(A.traces(s, d)),
+    "noise_sensitivity": lambda s, d: estimators.sensitivity(estimators.multi_delta_scan(A.traces(s, d)), 0.1, 0.2, 0.5),
 }
 
 _P = "with " + A.TRACES_SQL

@@ -13,7 +13,7 @@ from spotloom import schemas
 from spotloom.functions import cauchy, tracking
 from spotloom.operators import classify, diffusion, estimators, graph, image, linking, mixtures
 from spotloom.operators import trajectory as T
-from spotloom.plans import catalogue
+from spotloom.plans import adapters, catalogue
 from spotloom.sources import shapes, stacks, tables
 from spotloom.streaming import linker
 
@@ -274,6 +274,13 @@ def test_nothing_else_imports_the_text_operators():
                     assert "spotloom.llm" not in open(os.path.join(where, n)).read()
 
 
+def test_scans_reach_the_longest_stride(spark):
+    d = "/root/testdata/sf0.01"
+    longest = estimators.longest_stride(adapters.traces(spark, d))
+    for name in ("multi_delta_scan", "noise_sensitivity"):
+        assert {r.delta for r in catalogue.QUERIES[name](spark, d).collect()} >= {11, 12, 13} and longest >= 13
+
+
 def test_look_ahead_keeps_crossing_particles_apart(spark):
     from spotloom.operators import forecast
 
