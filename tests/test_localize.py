@@ -151,6 +151,20 @@ def test_tracker_places_every_spot_once_and_does_not_depend_on_alternatives_wher
     assert kept[0] == kept[1]
 
 
+@pytest.mark.parametrize("horizon", [1, 2, 3])
+@pytest.mark.parametrize("seed", range(3))
+def test_crowded_paths_equal_those_of_the_whole_list(monkeypatch, seed, horizon):
+    from spotloom.operators import forecast
+
+    at = np.random.default_rng(seed).uniform(0, 12, (8, 5, 2))
+    loc = pd.DataFrame([("v", f, i, *at[f, i], 0.0) for f in range(8) for i in range(5)], columns=["video", "frame", "spot_idx", "x", "y", "z"])
+    tracks = []
+    for crowd in (10**9, 0):
+        monkeypatch.setattr(forecast, "CROWD", crowd)
+        tracks.append(forecast._Video(loc, 7.0, horizon, 2**horizon, lambda p: 1.3 if len(p) > 3 else 1.0, forecast.exponential_jumps()).run())
+    assert tracks[0] == tracks[1]
+
+
 def test_tracker_cuts_a_path_at_an_abnormal_step(spark):
     from spotloom.operators import forecast
 
