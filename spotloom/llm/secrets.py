@@ -3,7 +3,8 @@
 One Aho-Corasick automaton passes once over the lower-cased text. Only where a keyword begins is a pattern tried, and
 only at that place. Kinds without a keyword of their own (hex strings) have their first four characters as keywords.
 Tokens that carry a checksum (40-character "gh?_" and "npm_" tokens: the CRC-32 of the body in base 62) count only if
-it is right; those of "eyJ" form must hold a JSON header with "alg".
+it is right; those of "eyJ" form must hold a JSON header with "alg". A private key reaches from its header to the line
+that ends it; where another key begins before that or none comes, over the armour and base64 lines that follow.
 
 Defined cases: null and empty texts have no spans; texts are searched whole, whatever their length; offsets count code
 points, ends are exclusive. Matches of one kind do not overlap and are the leftmost; different kinds may overlap.
@@ -39,7 +40,15 @@ _HEX = re.compile(r"[0-9a-f]+")
 _GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
+_PEM = re.compile(
+    r"""-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY(?:\x20BLOCK)?-----
+    (?: (?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+ -----END\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY(?:\x20BLOCK)?-*+   # up to the line that ends it, or
+    | (?: (?:\s|\\[nrt]|["'+,>\#*|])*+                                                                         # over the lines that can be of a key
+        (?: (?:Proc-Type|DEK-Info|Key-Info|Version|Comment|Hash|Charset|MessageID):(?:[^\r\n\\]|\\[^nr])*+
+          | [A-Za-z0-9+/]{16,}+={0,2}
+          | [A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n"']|\\[nr]|\Z)) ) )*+ )""",
+    re.X,
+)
 
 
 def base62_crc(body: str) -> str:

@@ -1,7 +1,9 @@
 """Each operator against brute force, and on the odd table and the empty one."""
 
+import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -180,6 +182,28 @@ def test_checksums_decide_over_tokens():
     assert ("github", 4, 44) in secrets.find("my: " + good) and not [s for s in secrets.find(bad) if s[0] == "github"]
 
 
+@pytest.mark.parametrize("label", ["PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", '\\n" +\n  "'])
+def test_private_keys_are_cut_whole(label, end):
+    body = [base64.b64encode(bytes((i * k) % 251 for i in range(48))).decode() for k in range(3, 9)] + ["Zm9vYg==", "=njUN"]
+    head, foot = f"-----BEGIN {label}-----", f"-----END {label}-----"
+    armour = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,7F0A", ""]
+    clean = lambda text: secrets.redact(text, secrets.find(text))
+    for lines in (body, armour + body):
+        key = end.join([head, *lines])
+        assert clean(f"a {key}{end}{foot}{end}b") == f"a [redacted]{end}b"
+        assert clean(f"a {key}") == "a [redacted]" and clean(f"a {key}{end}so it goes on") == f"a [redacted]{end}so it goes on"
+        twice = clean(f"{key}{end}{key}{end}{foot}")
+        assert not any(line in twice for line in lines if line)
+    assert clean(f"a line {head} is no key, {'x ' * 50}") == f"a line [redacted] is no key, {'x ' * 50}"
+
+
+def test_private_key_headers_without_end_take_linear_time():
+    text = "-----BEGIN PRIVATE KEY-----\nno key here - at all\n" * 20_000
+    start = time.process_time()
+    assert len(secrets.find(text)) == 20_000 and time.process_time() - start < 20
+
+
 def test_secrets_of_odd_rows_and_redaction(spark, odd_docs, no_docs):
     assert secrets.scan_secrets(odd_docs).count() == 12 and secrets.scan_secrets(no_docs).count() == 0
     text = "é password=hunter22 and deadbeefdeadbeefdeadbeef0."
