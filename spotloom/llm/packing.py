@@ -163,7 +163,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
         out.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
     for _ in range(ROUNDS):
-        if left.sum() < 4 * capacity:
+        if not left.any():
             break
         taken = 0
         for c, x in configuration_program(left, capacity):

@@ -357,6 +357,12 @@ def test_plans_use_each_piece_once(lengths):
     assert len(np.unique(cells)) == len(cells)
 
 
+def test_few_pieces_are_planned_by_the_program_too():
+    counts = np.zeros(65, np.int64)
+    counts[[15, 16, 21, 34]] = 51, 49, 8, 22
+    assert sum(m for _, m in packing.best_fit(counts, 64)) == 44 and sum(m for _, m in packing.plan(counts, 64)) == 39
+
+
 # classifiers
 
 
