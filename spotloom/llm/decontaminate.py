@@ -7,7 +7,8 @@ that hold it are compared, which extends the hit to the whole shared span. Items
 window of their own length and are looked up by it.
 
 The benchmark's windows are handed to the tasks while they number at most `BROADCAST_WINDOWS` (a proven bound: they
-are counted first). A larger benchmark is joined: fingerprints meet in a shuffle, and only windows around hits go on.
+are counted first). A larger benchmark is joined: fingerprints meet in a shuffle, and only documents with a known one,
+and windows around it, go on.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has no window; an item with a
 null id is left out; items with equal texts are all found; an empty benchmark leaves all documents clean. Documents
@@ -16,11 +17,9 @@ that repeat an id are judged by row. Texts are taken whole. Other columns are no
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.llm import bytewords as W
@@ -180,9 +179,12 @@ def _filters(index: Index) -> dict:
     return index.filters
 
 
-def _by_join(df: DataFrame, bench: DataFrame, kind: str, scratch: frames.Scratch) -> DataFrame:
-    """The same by joins, for a benchmark of any size: rows are told apart by a number of their own."""
-    numbered = scratch.keep(df.withColumn("row", F.monotonically_increasing_id()), "numbered")
+def _by_join(df: DataFrame, bench: DataFrame, scratch: frames.Scratch) -> DataFrame:
+    """row, n_hit, items and spans of the documents with a hit, by joins, for a benchmark of any size.
+
+    df has row (a number of its own for each document) and text, and is a written table. Documents go on only if a
+    print of theirs is known, and windows only if they hold such a print.
+    """
     text = bench.select(F.col("id").cast("string").alias("id"), "text")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -196,57 +198,74 @@ def _by_join(df: DataFrame, bench: DataFrame, kind: str, scratch: frames.Scratch
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*item_prints(batch.column(1)), np.zeros(0, np.uint64)]).view(np.int64))], ["p"])
 
     held = scratch.keep(frames.map_batches(text, windows, "item string, len int, w bigint"), "windows")
-    known = frames.map_batches(text.select("id", "text"), prints, "p bigint").distinct()
-    lengths = sorted(r[0] for r in held.select("len").distinct().collect() if r[0] < SPAN)
+    lengths = sorted(r[0] for r in held.select("len").distinct().collect() if r[0] < SPAN)  # at most nine
+    # An item of fewer words than a span is looked up by its one window.
+    known = frames.map_batches(text.select("id", "text"), prints, "p bigint").select(F.lit(SPAN).alias("len"), "p")
+    known = scratch.keep(known.unionByName(held.where(F.col("len") < SPAN).select("len", F.col("w").alias("p"))).distinct(), "known")
 
     def doc_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """row, start, len, print and the windows around it; a short window is its own print."""
+        """Each document's places of kept prints, with the prints: row, at, len and p."""
         h, offs = W.word_hashes(batch.column(1), W.ALNUM)
-        fives, tens = W.ngrams(h, K), W.ngrams(h, SPAN)
-        short = {n: W.ngrams(h, n) for n in lengths}
-        out: dict[str, list] = {"row": [], "start": [], "len": [], "p": [], "w": []}
-
-        def add(row: int, start: np.ndarray, n: int, p: np.ndarray, w: np.ndarray) -> None:
-            out["row"].append(np.full(len(start), row))
-            out["start"].append(start)
-            out["len"].append(np.full(len(start), n, np.int32))
-            out["p"].append(p)
-            out["w"].append(w)
-
-        ids = batch.column(2).to_numpy(zero_copy_only=False)
+        fives, short = W.ngrams(h, K), {n: W.ngrams(h, n) for n in lengths}
+        rows, at, size, p = [], [], [], []
         for r, a, b in W.rows(offs):
+            found = [(n, np.arange(b - a - n + 1), short[n][a : b - n + 1]) for n in lengths if b - a >= n]
             if b - a >= SPAN:
-                at = np.flatnonzero(winnow(fives[a : b - K + 1]))
-                s = (at[:, None] - np.arange(WINDOW)[None, :]).ravel()
-                p = np.repeat(fives[a + at], WINDOW)
-                ok = (s >= 0) & (s + SPAN <= b - a)
-                add(ids[r], s[ok], SPAN, p[ok], tens[a + s[ok]])
-            for n in lengths:
-                if b - a >= n:
-                    g = short[n][a : b - n + 1]
-                    add(ids[r], np.arange(len(g)), n, g, g)
-        flat = {k: np.concatenate([*v, np.zeros(0, np.uint64 if k in "pw" else np.int32 if k == "len" else np.int64)]) for k, v in out.items()}
-        return pa.RecordBatch.from_arrays([pa.array(flat["row"]), pa.array(flat["start"]), pa.array(flat["len"]), pa.array(flat["p"].view(np.int64)), pa.array(flat["w"].view(np.int64))], ["row", "start", "len", "p", "w"])
-
-    spots = frames.map_batches(numbered.select("id", "text", "row"), doc_prints, "row bigint, start bigint, len int, p bigint, w bigint")
-    near = spots.where(F.col("len") == SPAN).join(known, "p", "left_semi").unionByName(spots.where(F.col("len") < SPAN)).select("row", "start", "len", "w").distinct()
+                kept = np.flatnonzero(winnow(fives[a : b - K + 1]))
+                found.append((SPAN, kept, fives[a + kept]))
+            for n, places, hashes in found:
+                rows.append(np.full(len(places), r))
+                at.append(places)
+                size.append(np.full(len(places), n, np.int32))
+                p.append(hashes)
+        flat = [np.concatenate([*v, np.zeros(0, t)]) for v, t in ((rows, np.int64), (at, np.int64), (size, np.int32), (p, np.uint64))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(flat[0])), pa.array(flat[1]), pa.array(flat[2]), pa.array(flat[3].view(np.int64))], ["row", "at", "len", "p"])
+
+    spots = frames.map_batches(df.select("row", "text"), doc_prints, "row bigint, at bigint, len int, p bigint")
+    spots = scratch.keep(spots.join(known, ["len", "p"], "left_semi").select("row", "at", "len"), "spots")
+    live = df.select("row", "text").join(spots.groupBy("row").agg(F.collect_set(F.struct("len", "at")).alias("at")), "row")
+
+    def around(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The windows that hold a known print: row, start, len and w."""
+        h, offs = W.word_hashes(batch.column(1), W.ALNUM)
+        grams = {n: W.ngrams(h, n) for n in (*lengths, SPAN)}
+        rows, starts, size, hashes = [], [], [], []
+        for r, a, b in W.rows(offs):
+            for n, s in _starts(batch.column(2)[r].as_py(), b - a):
+                rows.append(np.full(len(s), r))
+                starts.append(s)
+                size.append(np.full(len(s), n, np.int32))
+                hashes.append(grams[n][a + s])
+        flat = [np.concatenate([*v, np.zeros(0, t)]) for v, t in ((rows, np.int64), (starts, np.int64), (size, np.int32), (hashes, np.uint64))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(flat[0])), pa.array(flat[1]), pa.array(flat[2]), pa.array(flat[3].view(np.int64))], ["row", "start", "len", "w"])
+
+    near = frames.map_batches(live, around, "row bigint, start bigint, len int, w bigint")
     matched = scratch.keep(near.join(held.select("len", "w").distinct(), ["len", "w"], "left_semi"), "matched")
     items = matched.select("row", "len", "w").distinct().join(held, ["len", "w"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # Spans that touch or overlap are one: a new one begins past the furthest end so far.
+    order = Window.partitionBy("row").orderBy("start", "len")
+    furthest = F.max(F.col("start") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = matched.withColumn("new", F.coalesce((F.col("start") > furthest).cast("int"), F.lit(1)))
+    apart = apart.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = apart.groupBy("row", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"))
+    spans = spans.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return spans.join(items, "row")
 
-    def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, offs = W.word_hashes(batch.column(1), W.ALNUM)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), batch.column(2)], ["id", "n_words", "row"])
 
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))),
-        F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    spans = matched.groupBy("row").agg(merged.alias("spans")).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"]))
-    base = frames.map_batches(numbered.select("id", "text", "row"), count_words, f"id {kind}, n_words bigint, row bigint")
-    out = base.join(spans, "row", "left").join(items, "row", "left")
-    empty = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", empty[0]).alias("items"), F.coalesce("spans", empty[1]).alias("spans"))
+def _starts(spots: list[dict], words: int) -> list[tuple[int, np.ndarray]]:
+    """By window length, where the windows begin that hold a print at one of the spots; words is the text's number."""
+    by: dict[int, list[int]] = {}
+    for s in spots:
+        by.setdefault(s["len"], []).append(s["at"])
+    if SPAN in by:
+        starts = np.unique((np.array(by[SPAN])[:, None] - np.arange(WINDOW)[None, :]).ravel())
+        by[SPAN] = starts[(starts >= 0) & (starts + SPAN <= words)]
+    return [(n, np.unique(s)) for n, s in by.items()]
+
+
+def _numbered(df: DataFrame, scratch: frames.Scratch) -> DataFrame:
+    """df, written with row, a number for each row. Ids may repeat or be null, so they don't tell rows apart."""
+    return scratch.keep(df.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def _benchmark(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, float]:
@@ -261,24 +280,34 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench, bound = _benchmark(benchmark, item_id, item_text)
     kind = df.schema["id"].dataType.simpleString()
     if bound <= broadcast_windows:
-        out = _by_index(df, bench, kind)
-    else:
-        out = _by_join(df, bench, kind, frames.Scratch(df.sparkSession))
+        return _by_index(df, bench, kind).withColumnRenamed("id", id_col)
+    scratch = frames.Scratch(df.sparkSession)
+    numbered = _numbered(df, scratch)
+
+    def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, offs = W.word_hashes(batch.column(1), W.ALNUM)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), batch.column(2)], ["id", "n_words", "row"])
+
+    out = frames.map_batches(numbered.select("id", "text", "row"), count_words, f"id {kind}, n_words bigint, row bigint").join(_by_join(numbered, bench, scratch), "row", "left")
+    empty = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", empty[0]).alias("items"), F.coalesce("spans", empty[1]).alias("spans"))
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The rows of docs without a hit, all columns as they are.
+    """The rows of docs without a hit, all columns as they are, whatever their ids.
 
-    While the benchmark's windows are within the bound this is one pass without a shuffle; beyond it, documents whose
-    id has a hit are joined out.
+    While the benchmark's windows are within the bound this is one pass without a shuffle; beyond it, rows with a hit
+    are joined out by numbers of their own.
     """
     bench, bound = _benchmark(benchmark, item_id, item_text)
+    at = frames.place(docs.columns, text_col)
     if bound > broadcast_windows:
-        hit = find_overlaps(docs, benchmark, id_col, text_col, item_id=item_id, item_text=item_text, broadcast_windows=broadcast_windows).where("n_hit > 0")
-        gone = hit.select(F.col(id_col).alias("_gone")).distinct()
-        return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    at = docs.columns.index(text_col)
+        scratch = frames.Scratch(docs.sparkSession)
+        names = [f"c{i}" for i in range(len(docs.columns))]
+        numbered = _numbered(docs.toDF(*names), scratch)
+        hit = _by_join(numbered.select("row", F.col(names[at]).alias("text")), bench, scratch).select("row")
+        return numbered.join(hit, "row", "left_anti").select(*names).toDF(*docs.columns)
     rows = bench.toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(Index(rows.column(0).to_pylist(), rows.column(1).combine_chunks()))
 
@@ -287,7 +316,3 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return batch.filter(pa.array([n == 0 for n in hits]))
 
     return frames.map_batches(docs, one, docs.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

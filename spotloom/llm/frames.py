@@ -1,7 +1,8 @@
-"""Tables, scratch space and Arrow settings that the operators of this subpackage share."""
+"""Tables, scratch space, batches and hot keys: what the operators of this subpackage share."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -12,27 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch; documents can be long, so a batch stays small.
-ARROW_ROWS = 256
+#: Rows handed to a function together; documents can be long, so they are few. Spark bounds a batch to 64 MB by itself.
+ROWS = 256
+#: Rows of one key from which it counts as hot, and the most hot keys that are broadcast.
+HOT_ROWS, HOT_KEYS = 20_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(columns: list[str], name: str) -> int:
+    """Where a column is: by its exact name first, then regardless of case."""
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Columns of df under new names: pick(df, doc_id="id", text="body") has doc_id and text.
 
-    Columns are found by their exact name first, then regardless of case, and by position, so other columns
-    of any name, also ones that differ only in case, do no harm.
+    Columns are found by `place`, so other columns of any name, also ones that differ only in case, do no harm.
     """
     places = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    folded = [c.lower() for c in df.columns]
-    out = []
-    for new, old in wanted.items():
-        at = df.columns.index(old) if old in df.columns else folded.index(old.lower())
-        out.append(F.col(f"_{at}").alias(new))
-    return places.select(*out)
+    return places.select(*[F.col(f"_{place(df.columns, old)}").alias(new) for new, old in wanted.items()])
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
@@ -40,20 +42,24 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def arrow_ready(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, without a copy."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-    arrow_ready(df.sparkSession)
+    """mapInArrow with a function of one small batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
 
+    if len({c.lower() for c in df.columns}) < len(df.columns):  # names that differ only in case can't be looked up
+        df = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return df.mapInArrow(run, schema)
 
 
@@ -61,16 +67,32 @@ def crc_remainder(value: object, n: int) -> int:
     return zlib.crc32(str(value).encode()) % n
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session in one process may go without, with one of its own."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spotloom-")
+    return _own[app]
+
+
+_watched: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables written to the cluster's shared folder, which cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="spotloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base}/spotloom-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/spotloom-{uuid.uuid4().hex}"
+        for made in _watched:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -80,7 +102,54 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *names: str) -> None:
         for name in names:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Removes all tables; DataFrames that read them are of no use any more."""
+        self._delete(self.root)
+
+
+@contextlib.contextmanager
+def tidy() -> Iterator[None]:
+    """Within, results must be used up; at the end, the tables that operators made in the meantime are removed."""
+    made: list[Scratch] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+        for scratch in made:
+            scratch.close()
+
+
+def hot_keys(counts: DataFrame, n: str = "n", rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
+    """Of counted keys, those with many rows: at least `rows`, or so many more that there are at most `most` such keys.
+
+    Their number is thus bounded, whatever the input, and they may be broadcast.
+    """
+    while counts.where(F.col(n) >= rows).count() > most:
+        rows *= 2
+    return counts.where(F.col(n) >= rows).withColumn("parts", F.ceil(F.col(n) / rows).cast("int"))
+
+
+def deal(left: DataFrame, key: str, scratch: Scratch, name: str, rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """left with _part, which deals the rows of each hot key into parts of about `rows`, and the hot keys.
+
+    A join on (key, _part) with `copies` then gives no task a hot key whole. left must read the same twice, as a
+    written table does, and its rows must differ from each other.
+    """
+    hot = scratch.keep(hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), rows=rows).select(F.col(key).alias("_hot"), "parts"), name)
+    part = F.pmod(F.xxhash64(*left.columns), F.coalesce("parts", F.lit(1))).cast("int")
+    return left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", part).drop("_hot", "parts"), hot
+
+
+def copies(right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """right with a copy of each row for every part of its key."""
+    both = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    return both.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_hot", "parts")

@@ -2,8 +2,8 @@
 
 Features are hashed n-grams of 1 to 3 lower-cased characters, weighted by the inverse document frequency over all
 rows that may be learned from, and divided by the text's length. Weights are trained by follow-the-regularised-leader
-(proximal) with an elastic-net penalty, which keeps them sparse, on at most about `fit_per_class` rows of each
-language; a fifth of these rows is kept out and sets the temperature by which scores are calibrated.
+(proximal) with an elastic-net penalty, which keeps them sparse, on at most `fit_per_class` rows of each language
+(those of the smallest hashes); a fifth of these rows is kept out and sets the temperature by which scores are calibrated.
 
 Defined cases: texts without any letter (also null and empty ones) are "und" with score 0; rows without a language
 teach nothing; without any labelled row all texts are "und". Whole texts are read, in pieces, however long. Rows are
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.llm import frames
-from spotloom.llm.samples import per_class
+from spotloom.llm.samples import per_class, row_hash
 
 BITS = 17
 BUCKETS = 1 << BITS
@@ -63,11 +63,9 @@ def grams(codes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of the texts (column text) each bucket occurs, over all of them, and how many texts there are."""
-    frames.arrow_ready(texts.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, stamp, rows = np.zeros(BUCKETS + 1, np.int64), np.full(BUCKETS + 1, -1, np.int64), 0
-        for batch in batches:
+        for batch in frames.small(batches):
             codes, offs = _codes(batch.column(0))
             rows += batch.num_rows
             found = list(grams(codes, offs))
@@ -94,8 +92,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """lang, buckets and their shares of a text, as bytes."""
-    codes, offs = _codes(batch.column(1))
+    """lang, hash, and the buckets and their shares of a text, as bytes."""
+    codes, offs = _codes(batch.column(2))
     found = list(grams(codes, offs))
     buckets, shares = [], []
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
@@ -103,7 +101,7 @@ def _sample(batch: pa.RecordBatch) -> pa.RecordBatch:
         u, n = np.unique(own[own < BUCKETS], return_counts=True)
         buckets.append(u.astype("<i4").tobytes())
         shares.append((n / max(1, n.sum())).astype("<f4").tobytes())
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["lang", "b", "x"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["lang", "h", "b", "x"])
 
 
 @dataclass
@@ -144,18 +142,24 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int) -> tuple
     return w[:BUCKETS], w[BUCKETS]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_per_class: int = 1000) -> Model:
-    """Learns from all rows of docs: frequencies from every text with a language, weights from a bounded sample."""
-    df = frames.pick(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null")
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_per_class: int = 1000, languages: int = 100) -> Model:
+    """Learns from all rows of docs: frequencies from every text with a language, weights from a bounded sample.
+
+    The `languages` most frequent ones are learned, from at most fit_per_class rows each.
+    """
+    df = frames.pick(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null").withColumn("lang", F.col("lang").cast("string"))
     freq, n = document_frequencies(df.select("text"))
-    drawn, _ = per_class(df, "lang", "id", fit_per_class)
-    got = frames.map_batches(drawn.select("lang", "text"), _sample, "lang string, b binary, x binary").toArrow()
+    drawn, _ = per_class(df, "lang", ("id", "text"), fit_per_class, languages)
+    # At most languages * fit_per_class hashes; rows that agree in one are equal.
+    hashed = df.select("lang", row_hash("id", "text").alias("h"), "text").join(F.broadcast(drawn), ["lang", "h"], "left_semi")
+    texts = hashed.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    got = frames.map_batches(texts, _sample, "lang string, h bigint, b binary, x binary").toArrow()
     if not n or not got.num_rows:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0)
     idf = np.log((1 + n) / (1 + freq)) + 1
     langs = sorted(set(got.column(0).to_pylist()))
     rows = []
-    for lang, b, x in zip(*(c.to_pylist() for c in got.columns), strict=True):
+    for lang, _, b, x in sorted(zip(*(c.to_pylist() for c in got.columns), strict=True)):
         b = np.frombuffer(b, "<i4")
         rows.append((langs.index(lang), b, np.frombuffer(x, "<f4") * idf[b] * SCALE))
     rows = [rows[i] for i in np.random.default_rng(7).permutation(len(rows))]

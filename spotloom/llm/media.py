@@ -4,9 +4,12 @@
 duration and the byte ranges of key frames. `wrap_samples` makes such a file from plain bytes: a track of 8-bit grey
 pictures 64 pixels wide. `sample_bytes` reads the samples of a track back by way of its tables.
 
-Defined cases: a null file has no tracks and error "empty"; a damaged file has error set and whatever tracks were
-whole; boxes of unknown type are skipped; a box longer than what holds it is an error. Files of any length are read
-in place, and nothing but the tables is copied. Equal files give equal rows, in any number.
+Samples of movie fragments (moof, traf, trun, with the defaults of trex) follow those of the sample tables.
+
+Defined cases: a null file has no tracks and error "empty"; a damaged file has error set and no tracks; boxes of unknown
+type are skipped; a box longer than what holds it is an error, and so are tables that name more bytes, samples or chunks
+than the file can hold, before anything is allocated for them. Files of any length are read in place, and nothing but
+the tables is copied. Equal files give equal rows, in any number.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ GROUP = 8
 TIMESCALE, TICKS = 25_000, 1_000
 
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 
 
 class Damaged(ValueError):
@@ -82,27 +85,43 @@ class Track:
     chunk_map: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))
     chunk_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sync: np.ndarray | None = None
+    #: Runs of samples in fragments: places, sizes, whether each decodes by itself.
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def offsets(self) -> np.ndarray:
-        """The place of each sample in the file, from chunk places, samples a chunk and sizes."""
-        n = len(self.sizes)
+    def _in_tables(self) -> np.ndarray:
+        """The place of each sample of the tables, from chunk places, samples a chunk and sizes."""
+        n, chunks = len(self.sizes), len(self.chunk_at)
         if not n:
             return np.zeros(0, np.int64)
         first = self.chunk_map[:, 0] - 1
-        if not len(first) or first[0] != 0 or np.any(np.diff(first) <= 0):
+        if not len(first) or first[0] != 0 or np.any(np.diff(first) <= 0) or first[-1] >= max(chunks, 1):
             raise Damaged("the sample-to-chunk table is out of order")
-        a_chunk = np.repeat(self.chunk_map[:, 1], np.diff(np.append(first, max(len(self.chunk_at), first[-1]))))
-        ends = np.cumsum(a_chunk[: len(self.chunk_at)])
-        if not len(ends) or ends[-1] < n:
-            raise Damaged("chunks hold fewer samples than there are sizes")
+        ends = np.cumsum(np.repeat(self.chunk_map[:, 1], np.diff(np.append(first, max(chunks, 1))))[:chunks])
+        if not len(ends) or ends[-1] != n:
+            raise Damaged("chunks do not hold as many samples as there are sizes")
         chunk = np.searchsorted(ends, np.arange(n), "right")
         run = np.cumsum(self.sizes) - self.sizes
         starts = np.concatenate([[0], ends[:-1]])[chunk]
         return self.chunk_at[chunk] + run - run[starts]
 
+    def samples(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sizes of all samples in a file of a length, those of tables first."""
+        places = np.concatenate([self._in_tables(), *(p for p, _, _ in self.runs)])
+        sizes = np.concatenate([self.sizes, *(n for _, n, _ in self.runs)])
+        if len(places) and (places.min() < 0 or (places + sizes).max() > length):
+            raise Damaged("a sample lies outside the file")
+        return places, sizes
+
     def keyframes(self) -> np.ndarray:
         """The numbers, from 0, of the samples that decode by themselves; all, where no table says otherwise."""
-        return np.arange(len(self.sizes)) if self.sync is None else self.sync - 1
+        n, out = len(self.sizes), []
+        keys = np.arange(n) if self.sync is None else self.sync - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= n):
+            raise Damaged("a key frame is no sample")
+        for _, sizes, by_itself in self.runs:
+            out.append(n + np.flatnonzero(by_itself))
+            n += len(sizes)
+        return np.concatenate([keys, *out]).astype(np.int64)
 
 
 def _table(data: memoryview, at: int, end: int, n: int, kind: str, columns: int) -> np.ndarray:
@@ -133,7 +152,9 @@ def _leaf(kind: bytes, data: memoryview, at: int, end: int, track: Track) -> Non
         track.times = _table(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u4", 2)
     elif kind == b"stsz":
         one, n = struct.unpack_from(">II", data, at + 4)
-        track.sizes = np.full(n, one, np.int64) if one and n <= 1 << 31 else _table(data, at + 12, end, n, ">u4", 1)[:, 0]
+        if one * n > len(data):
+            raise Damaged(f"{n} samples of {one} bytes are more than the file")
+        track.sizes = np.full(n, one, np.int64) if one else _table(data, at + 12, end, n, ">u4", 1)[:, 0]
     elif kind == b"stz2":
         field_bits, n = struct.unpack_from(">II", data, at + 4)
         if field_bits & 255 == 4:
@@ -151,25 +172,100 @@ def _leaf(kind: bytes, data: memoryview, at: int, end: int, track: Track) -> Non
 
 LEAVES = {b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stts", b"stsz", b"stz2", b"stsc", b"stco", b"co64", b"stss"}
 
+#: The bit of a sample's flags that says it does not decode by itself.
+_NEEDS_OTHERS = 0x10000
+
+
+@dataclass
+class _Fragment:
+    """A track's part of a movie fragment: defaults for samples, and where the next run begins."""
+
+    track: Track
+    at: int
+    duration: int
+    size: int
+    flags: int
+
+
+def _traf(data: memoryview, at: int, end: int, moof: int, last: int | None, tracks: dict[int, Track], defaults: dict[int, tuple]) -> int:
+    """Adds a traf box's runs to its track; returns where its data end."""
+    part = None
+    for kind, a, b in boxes(data, at, end):
+        if kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", data, a)
+            if number not in tracks:
+                raise Damaged(f"a fragment of track {number}, which is not there")
+            duration, size, sample = defaults.get(number, (0, 0, 0))
+            begin, a = moof if flags & 0x20000 or last is None else last, a + 8
+            if flags & 1:
+                (begin,) = struct.unpack_from(">Q", data, a)
+                a += 8
+            given = {}
+            for bit in (0x2, 0x8, 0x10, 0x20):
+                if flags & bit:
+                    (given[bit],) = struct.unpack_from(">I", data, a)
+                    a += 4
+            part = _Fragment(tracks[number], begin, given.get(0x8, duration), given.get(0x10, size), given.get(0x20, sample))
+            base = begin
+        elif kind == b"trun":
+            if part is None:
+                raise Damaged("a run of samples without a track")
+            part.at = _run(data, a, b, part, base)
+    return part.at if part else (last or moof)
+
+
+def _run(data: memoryview, a: int, b: int, part: _Fragment, base: int) -> int:
+    """Adds a trun box's samples; returns where they end."""
+    flags, n = struct.unpack_from(">II", data, a)
+    a += 8
+    begin, first = part.at, None
+    if flags & 0x1:
+        begin, a = base + struct.unpack_from(">i", data, a)[0], a + 4
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", data, a)
+        a += 4
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if n > len(data) or not flags & 0x200 and n * part.size > len(data):
+        raise Damaged(f"a run of {n} samples is more than the file")
+    rows = _table(data, a, b, n, ">u4", len(fields)) if fields else np.zeros((n, 0), np.int64)
+    column = lambda bit, default: rows[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)
+    sizes, kinds = column(0x200, part.size), column(0x400, part.flags).copy()
+    if n and first is not None:
+        kinds[0] = first
+    ends = begin + np.cumsum(sizes)
+    part.track.runs.append((ends - sizes, sizes, kinds & _NEEDS_OTHERS == 0))
+    part.track.duration += int(column(0x100, part.duration).sum())
+    return int(ends[-1]) if n else begin
+
 
 def read_tracks(content: bytes | memoryview) -> tuple[str, list[Track]]:
     """The brand and the tracks of a file. Raises Damaged."""
-    data, brand, tracks = memoryview(content), "", []
+    data, brand, tracks, defaults = memoryview(content), "", [], {}
 
     def walk(start: int, end: int, track: Track | None, depth: int) -> None:
         nonlocal brand
         if depth > 16:
             raise Damaged("boxes nest too deep")
+        begin, last = start, None
         for kind, at, stop in boxes(data, start, end):
             if kind == b"ftyp" and stop - at >= 4:
                 brand = bytes(data[at : at + 4]).decode("latin-1")
             elif kind == b"trak":
                 tracks.append(Track())
                 walk(at, stop, tracks[-1], depth + 1)
+            elif kind == b"trex":
+                _, number, _, *given = struct.unpack_from(">6I", data, at)
+                defaults[number] = tuple(given)
+            elif kind == b"moof":
+                last = None
+                for inner, a, b in boxes(data, at, stop):
+                    if inner == b"traf":
+                        last = _traf(data, a, b, begin, last, {t.track_id: t for t in tracks}, defaults)
             elif kind in CONTAINERS:
                 walk(at, stop, track, depth + 1)
             elif kind in LEAVES and track is not None:
                 _leaf(kind, data, at, stop, track)
+            begin = stop
 
     try:
         walk(0, len(data), None, 0)
@@ -180,11 +276,10 @@ def read_tracks(content: bytes | memoryview) -> tuple[str, list[Track]]:
 
 def sample_bytes(content: bytes | memoryview, track: Track) -> bytes:
     """All samples of a track, in order."""
-    data, places = memoryview(content), track.offsets()
-    if len(places) and (places.min() < 0 or (places + track.sizes).max() > len(data)):
-        raise Damaged("a sample lies outside the file")
+    data = memoryview(content)
+    places, sizes = track.samples(len(data))
     # Samples that follow one another are copied as one run.
-    ends = places + track.sizes
+    ends = places + sizes
     new = np.flatnonzero(np.append(True, places[1:] != ends[:-1])) if len(places) else np.zeros(0, np.int64)
     last = np.append(new[1:], len(places)) - 1
     return b"".join(bytes(data[a:b]) for a, b in zip(places[new].tolist(), ends[last].tolist(), strict=True))
@@ -232,14 +327,12 @@ def describe(content: bytes | None) -> tuple[str | None, list[dict]]:
         brand, tracks = read_tracks(content)
         out = []
         for t in tracks:
-            places, keys = t.offsets(), t.keyframes()
-            if len(keys) and (keys.min() < 0 or keys.max() >= len(places)):
-                raise Damaged("a key frame is no sample")
+            (places, sizes), keys = t.samples(len(content)), t.keyframes()
             out.append(
                 {
                     "track": t.track_id, "kind": t.kind, "codec": t.codec.strip(), "brand": brand, "width": t.width, "height": t.height,
-                    "samples": len(t.sizes), "duration_s": t.duration / t.timescale if t.timescale else 0.0,
-                    "keyframes": [{"start": int(places[k]), "end": int(places[k] + t.sizes[k])} for k in keys],
+                    "samples": len(sizes), "duration_s": t.duration / t.timescale if t.timescale else 0.0,
+                    "keyframes": [{"start": int(places[k]), "end": int(places[k] + sizes[k])} for k in keys],
                 }
             )
     except Damaged as e:
@@ -285,7 +378,7 @@ def features(content: bytes) -> tuple[bytes, str]:
     """The samples of the first track of a file, and what its tables say, as text."""
     _, tracks = read_tracks(content)
     t = tracks[0]
-    places, keys = t.offsets(), t.keyframes()
-    ends = places[keys] + t.sizes[keys]
+    (places, sizes), keys = t.samples(len(content)), t.keyframes()
+    ends = places[keys] + sizes[keys]
     said = ",".join(f"{a}-{b}" for a, b in zip(places[keys].tolist(), ends.tolist(), strict=True))
-    return sample_bytes(content, t), f"codec={t.codec.strip()};size={t.width}x{t.height};samples={len(t.sizes)};duration={t.duration / t.timescale:.3f};keyframes={said}"
+    return sample_bytes(content, t), f"codec={t.codec.strip()};size={t.width}x{t.height};samples={len(sizes)};duration={t.duration / t.timescale:.3f};keyframes={said}"

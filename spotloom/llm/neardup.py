@@ -14,8 +14,8 @@
 With 32 bands of 4 a pair of similarity 0.8 shares no bucket with probability 5e-8.
 
 Defined cases: a null text, or one without words, has an empty set, is linked with nothing and kept. A text of fewer
-words than a shingle has its whole sequence as its only shingle. Rows that repeat an id are told apart by their text
-only: equal ones are in one class. Rows with a null id belong to no component and are kept. Ties: the smallest id
+words than a shingle has its whole sequence as its only shingle. Rows that repeat an id are told apart by their text:
+each belongs to the class of its own set. Rows with a null id belong to no component and are kept. Ties: the smallest id
 stands for its class and its component. Columns of other names are not read.
 """
 
@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.llm import bytewords as W
@@ -101,12 +101,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _text_key(text: str | Column) -> Column:
+    """What tells the texts of rows that repeat an id apart."""
+    return F.coalesce(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(""))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept for each row; percent is the least similarity, in hundredths."""
+    return _sorted_out(docs, id_col, text_col, shingle, percent).drop("key").withColumnRenamed("id", id_col)
+
+
+def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """id, key (of the text), n_shingles, component_id and kept for each row."""
     spark = docs.sparkSession
     scratch = frames.Scratch(spark)
     df = frames.pick(docs, id=id_col, text=text_col)
     kind = df.schema["id"].dataType.simpleString()
+    df = df.withColumn("key", _text_key(F.col("text")))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), shingle)
@@ -117,24 +128,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keys[i] = row
         named = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(named, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "n", "set", "keys"],
+            [batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(named, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            ["id", "key", "n", "set", "keys"],
         )
 
-    signed = scratch.keep(frames.map_batches(df, sign, f"id {kind}, n bigint, set binary, keys array<bigint>"), "signed")
-    classes = signed.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = scratch.keep(classes, "classes")
+    signed = scratch.keep(frames.map_batches(df, sign, f"id {kind}, key string, n bigint, set binary, keys array<bigint>"), "signed")
+    # A class of equal sets is a node of the graph, with a number of its own, as ids may repeat with other texts. Its
+    # text is that of its smallest id.
+    classes = signed.where("set is not null and id is not null").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "set", "first.id", "first.key", "n", "keys"), "classes")
 
     # Buckets with two members or more.
-    member = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    crowded = member.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = scratch.keep(member.join(crowded, "key").distinct(), "shared")
+    member = classes.select(F.explode("keys").alias("bucket"), "node", "n")
+    crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = scratch.keep(member.join(crowded, "bucket").distinct(), "shared")
     # A member with many others in its buckets is likely to be what they are copies of.
-    near = shared.groupBy("rep").agg(F.sum("c").alias("near"))
-    buckets = scratch.keep(shared.drop("c").join(near, "rep"), "buckets")
-    live = buckets.select(F.col("rep").alias("live")).distinct()
+    near = shared.groupBy("node").agg(F.sum("c").alias("near"))
+    buckets = scratch.keep(shared.drop("c").join(near, "node"), "buckets")
     # The live ones grow with the input, so they are never broadcast; the plan is alike at every size.
-    texts = scratch.keep(df.join(live.hint("merge"), F.col("id") == F.col("live"), "left_semi").distinct(), "texts")
+    live = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("key").alias("k"))
+    texts = df.join(live.hint("merge"), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k"))).select("node", "text").distinct()
+    texts = scratch.keep(texts, "texts")
 
     def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
         # Rows come in runs of one star, whose set is made once.
@@ -147,17 +161,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             good.append(similar(s, held, percent))
         return batch.select([0, 1]).filter(pa.array(good))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return frames.map_batches(two, confirm, f"a {kind}, b {kind}")
+    def confirmed(pairs: DataFrame, step: int) -> DataFrame:
+        """The pairs whose full sets are similar enough. A star may have very many members, which are dealt into parts."""
+        dealt, hot = frames.deal(pairs, "b", scratch, f"hot-{step}")
+        one = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        stars = frames.copies(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b", hot)
+        two = one.join(stars.hint("merge"), ["b", "_part"]).select("a", "b", "ta", "tb")
+        return frames.map_batches(two, confirm, "a bigint, b bigint")
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of reps whose sizes allow for the similarity, each once, not those compared before."""
-        fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+        """Pairs (a member, a star) whose sizes allow for the similarity, each once, not those compared before."""
+        fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        fit = fit.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("b").alias("b"))
         for done in compared:
-            fit = fit.join(done, ["a", "b"], "left_anti")
-        return fit
+            fit = fit.join(done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
+        return fit.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
 
     def reachable(around: DataFrame, lone: DataFrame) -> DataFrame:
         """Pairs of a lone document (s) and one of another component that may be similar, found without loss.
@@ -166,14 +184,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common so early in both that what follows it suffices for the similarity. Only shingles that early are
         joined. Rare ones are mostly a document's own, so frequent ones seldom come into it.
         """
-        who = around.select(F.col("rep").alias("live"))
-        spread = frames.map_batches(texts.join(who, F.col("id") == F.col("live"), "left_semi"), explode_shingles, f"id {kind}, h bigint")
+        spread = frames.map_batches(texts.join(around.select("node"), "node", "left_semi"), explode_shingles, "node bigint, h bigint")
         spread = scratch.keep(spread, "spread")
         counts = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "h")) - 1
-        early = spread.join(counts, "h").withColumn("at", place).join(around, F.col("id") == F.col("rep"))
-        early = scratch.keep(early.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))).select("h", "rep", "at", "n", "c"), "early")
-        ones = early.join(lone.select("s"), F.col("rep") == F.col("s"), "left_semi").select("h", F.col("rep").alias("s"), F.col("at").alias("sat"), F.col("n").alias("sn"), F.col("c").alias("sc"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
+        early = spread.join(counts, "h").withColumn("at", place).join(around, "node")
+        early = scratch.keep(early.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))).select("h", "node", "at", "n", "c"), "early")
+        ones = early.join(lone.select(F.col("s").alias("node")), "node", "left_semi").select("h", F.col("node").alias("s"), F.col("at").alias("sat"), F.col("n").alias("sn"), F.col("c").alias("sc"))
         least = percent * (F.col("n") + F.col("sn"))
         enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("sn") - F.col("sat")) >= least
         return early.join(ones, "h").where((F.col("c") != F.col("sc")) & enough)
@@ -181,57 +198,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def explode_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), shingle)
         at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "h"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["node", "h"])
 
     compared: list[DataFrame] = []
     linked: list[DataFrame] = []
     labels = None
     for step in range(STAR_ROUNDS + 1):
-        at = buckets.withColumn("c", F.col("rep"))
+        at = buckets.withColumn("c", F.col("node"))
         if labels is not None:
-            at = buckets.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("c0")), "rep", "left").withColumn("c", F.coalesce("c0", "rep"))
-        sizes = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-        most = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "k", F.col("x.c").alias("top"))
+            at = buckets.join(labels.select(F.col("id").alias("node"), F.col("component").alias("c0")), "node", "left").withColumn("c", F.coalesce("c0", "node"))
+        sizes = at.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
+        most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "k", F.col("x.c").alias("top"))
         if step < STAR_ROUNDS:
             # The star of a bucket: the member with most others around it; in later rounds a weighted draw.
-            order = F.col("near") if step == 0 else F.col("near") * (F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(1 << 20)) + 1)
-            star = at.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("rep").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))).alias("x")).select("key", "x.s", "x.sn", "x.sc")
-            pairs = at.join(star, "key").where("c <> sc")
+            order = F.col("near") if step == 0 else F.col("near") * (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) + 1)
+            star = at.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), F.col("node").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))).alias("x")).select("bucket", "x.s", "x.sn", "x.sc")
+            pairs = at.join(star, "bucket").where("c <> sc")
         else:
             # A pair in a bucket of two has been compared.
-            lone = at.join(most.where("k > 2"), "key").where("c <> top").select("key", F.col("rep").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))
+            lone = at.join(most.where("k > 2"), "bucket").where("c <> top").select("bucket", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))
             lone = scratch.keep(lone, "lone")
-            around = at.join(lone.select("key").distinct(), "key", "left_semi").select("rep", "n", "c").distinct()
-            pairs = reachable(scratch.keep(around, "around"), lone.drop("key").distinct())
-        pairs = pairs.select(F.greatest("rep", "s").alias("a"), F.least("rep", "s").alias("b"), F.col("n").alias("na"), F.col("sn").alias("nb"))
+            if lone.isEmpty():
+                break
+            around = at.join(lone.select("bucket").distinct(), "bucket", "left_semi").select("node", "n", "c").distinct()
+            pairs = reachable(scratch.keep(around, "around"), lone.drop("bucket").distinct())
+        pairs = pairs.select(F.col("node").alias("a"), F.col("s").alias("b"), F.col("n").alias("na"), F.col("sn").alias("nb"))
         tried = scratch.keep(sized(pairs), f"tried-{step}")
         if tried.isEmpty():
-            if step >= STAR_ROUNDS:
-                break
             continue
         compared.append(tried)
-        linked.append(scratch.keep(confirmed(tried), f"linked-{step}"))
+        linked.append(scratch.keep(confirmed(tried, step), f"linked-{step}"))
         edges = linked[0]
         for more in linked[1:]:
             edges = edges.unionByName(more)
         labels = scratch.keep(components(edges, scratch, f"parts-{step}"), f"labels-{step}")
 
-    named = classes.select("set", "rep")
+    named = classes.select("node", "set", F.col("id").alias("rep"))
     if labels is None:
         named = named.withColumn("component", F.col("rep"))
     else:
-        named = named.join(labels, F.col("rep") == F.col("id"), "left").select("set", "rep", F.coalesce("component", "rep").alias("component"))
+        named = scratch.keep(named.join(labels.select(F.col("id").alias("node"), F.col("component").alias("top")), "node", "left"), "named")
+        first = named.where("top is not null").groupBy("top").agg(F.min("rep").alias("least"))
+        named = named.join(first, "top", "left").select("set", F.coalesce("least", "rep").alias("component"))
     named = named.select(F.col("set").alias("s"), "component")
     found = signed.drop("keys").join(named, F.col("set") == F.col("s"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    out = found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
-    out = scratch.keep(out, "result")
-    scratch.drop("signed", "classes", "shared", "buckets", "texts", "lone", "around", "spread", "early", *[f"{x}-{i}" for x in ("tried", "linked", "labels") for i in range(STAR_ROUNDS + 1)])
-    return out.withColumnRenamed("id", id_col)
+    out = found.select("id", "key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    out = frames.Scratch(spark).keep(out, "result")
+    scratch.close()
+    return out
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of docs that stand for their group, with all columns. Rows that repeat both id and text all stay."""
-    # Ids that go are as many as the input has copies, so they are never broadcast.
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct().hint("merge")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their group, with all columns.
+
+    Rows go by their own text, so of an id that repeats, a text that is no copy stays. Of rows that repeat both id and
+    text, one stays. Rows with a null id all stay.
+    """
+    judged = _sorted_out(docs, id_col, text_col, shingle, percent).where("id is not null")
+    at, text = (frames.place(docs.columns, c) for c in (id_col, text_col))
+    rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]).withColumn("_key", _text_key(F.col(f"_{text}")))
+    pair = lambda df: df.select(F.col("id").alias(f"_{at}"), F.col("key").alias("_key"))
+    # What goes is as much as the input has copies, so it is never broadcast.
+    rows = rows.join(pair(judged.where("not kept")).distinct().hint("merge"), [f"_{at}", "_key"], "left_anti")
+    again = pair(judged.where("kept").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if not again.isEmpty():
+        one = rows.join(again.hint("merge"), [f"_{at}", "_key"], "left_semi").dropDuplicates([f"_{at}", "_key"])
+        rows = rows.join(again.hint("merge"), [f"_{at}", "_key"], "left_anti").unionByName(one)
+    return rows.select(*[f"_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -4,19 +4,23 @@
 2. The lengths' histogram, of at most `capacity` numbers, comes to the driver. A configuration is a multiset of
    lengths that fits in a sequence. The linear program (cover all pieces by the fewest configurations) is solved by
    multiplicative weights: each length's price falls as it is covered, and a knapsack dynamic program finds the
-   configuration of highest price, which is then used some more.
-3. Uses are rounded down, so that no length is overdrawn; what is left is solved again, and at last placed by best fit.
+   configurations of highest price, which are then used some more.
+3. Uses are rounded up, and configurations are trimmed of lengths that have run out; the room this leaves is filled by
+   an exact knapsack over the pieces left. At last the emptiest sequences, with at most one piece in ten, are packed
+   anew by best fit where that saves sequences.
 4. Pieces are numbered within their length (counts by task first, so that a length with very many pieces is never
    in one task), and a piece's number says its sequence and its place.
 
 Defined cases: a null or empty text is the end id alone; rows are packed one by one, so repeated ids repeat pieces; an
-empty table gives no rows; texts of any length are encoded whole. Added tokens of the file are found in texts as
-`tokenizers` finds them, and have their own ids.
+empty table gives no rows; texts of any length are encoded whole. Ids are those of `tokenizers` at its defaults, so added
+tokens of the file found in a text have their own ids. Byte-level files whose ids follow their merges are read into a faster
+engine; any other file is left to the library.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,24 +32,46 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spotloom.llm import frames
 
-#: How fast prices fall with coverage, what share of a length one step may use, steps of the program, and rounds.
-ETA, STEP, STEPS, ROUNDS = 16.0, 0.1, 1200, 2
-
-
-@cache
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE vocabulary of a tokenizers JSON file, whose ids are in order of merging."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+#: Lengths in ascending order, each with how often it is used.
+Configuration = tuple[tuple[int, int], ...]
+#: How fast prices fall with coverage, what share of a length one step may use, how far a length may be covered ahead of
+#: the rest, how near to the dearest a configuration must be, steps of the program, and how often it is solved.
+ETA, STEP, AHEAD, NEAR, STEPS, ROUNDS = 4.0, 0.1, 0.25, 0.03, 100, 4
+#: Configurations tried for a sequence whose pieces are not all left, and the share of pieces (one in so many) that may be
+#: packed anew.
+TRIES, MEND = 8, 10
+
+
+#: What pre-tokenizers of kind ByteLevel split a text by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _by_rank(spec: dict) -> bool:
+    """Whether a tokenizers file means byte-level BPE by PATTERN whose ids are in the order of its merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or spec.get("truncation") or spec.get("padding"):
+        return False
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t[k] for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    ids = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return min(ids, default=0) >= 0 and all(a < b for a, b in zip(ids[:-1], ids[1:], strict=True))
+
+
+def encoder(spec: dict) -> tiktoken.Encoding:
+    """The byte-level BPE vocabulary of a tokenizers file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {t["content"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Texts up to this length can't hold a run of white space too long for the pattern's search, which steps back in it.
@@ -80,54 +106,144 @@ class Encoder:
         return np.concatenate([*out, *self._plain(text[at:])]).astype("<u4")
 
 
-@cache
-def whole_encoder(path: str) -> Encoder:
-    with open(path, encoding="utf-8") as f:
-        added = json.load(f).get("added_tokens", ())
-    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
-        raise ValueError("added tokens that depend on what is around them are not supported")
-    return Encoder(encoder(path), {t["content"]: t["id"] for t in added})
-
-
-def best_configuration(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length (index) is used by the configuration of highest price. Prices below 0 are not used."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        sums = prices[1 : room + 1] + best[room - 1 :: -1][:room]
-        at = int(sums.argmax())
-        if sums[at] > best[room - 1]:
-            best[room], took[room] = sums[at], at + 1
-        else:
-            best[room] = best[room - 1]
-    out, room = np.zeros(capacity + 1, np.int64), capacity
-    while room > 0:
-        if took[room]:
-            out[took[room]] += 1
-            room -= took[room]
-        else:
-            room -= 1
-    return out
+class Slow:
+    """The same by the tokenizers library itself, for files of any other kind."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def configuration_program(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, so that no length is covered more often than it occurs."""
+@cache
+def whole_encoder(path: str) -> Encoder | Slow:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return Encoder(encoder(spec), {t["content"]: t["id"] for t in spec.get("added_tokens", ())}) if _by_rank(spec) else Slow(path)
+
+
+class Knapsack:
+    """The dearest filling of every room up to capacity by pieces of given prices, any number of each."""
+
+    def __init__(self, prices: np.ndarray, capacity: int) -> None:
+        self.capacity, self.lengths = capacity, np.flatnonzero(prices > 0)
+        value, lengths = prices[self.lengths], self.lengths
+        self.best, self.last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        for room, k in enumerate(np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()):
+            if not room:
+                continue
+            self.best[room] = self.best[room - 1]
+            if k:
+                sums = value[:k] + self.best[room - lengths[:k]]
+                at = k - 1 - int(sums[::-1].argmax())  # the longest of equals
+                if sums[at] > self.best[room] + 1e-12:
+                    self.best[room], self.last[room] = sums[at], lengths[at]
+        #: The price of the dearest configuration with at least one piece of each length.
+        self.worth = value + self.best[capacity - lengths]
+
+    def configuration(self, length: int) -> Configuration:
+        """The dearest configuration that holds a piece of a length."""
+        out, room = {length: 1}, self.capacity - length
+        while room > 0:
+            if piece := int(self.last[room]):
+                out[piece] = out.get(piece, 0) + 1
+            room -= piece or 1
+        return tuple(sorted(out.items()))
+
+
+def configuration_program(counts: np.ndarray, capacity: int, seed: int = 0) -> dict[Configuration, float]:
+    """Configurations and how often each is used: a fractional cover of all pieces by few sequences.
+
+    A length's price falls as it is covered (multiplicative weights). In each step one knapsack program prices the
+    configurations around every length; those within NEAR of the dearest are used some more, so that no length is
+    covered by more than STEP of its pieces in a step. Lengths covered AHEAD of the rest cost nothing and are left out.
+    """
     have = np.flatnonzero(counts)
+    if not len(have):
+        return {}
+    n, size = counts[have], have * counts[have]
+    slight = 1 + 1e-6 * np.random.default_rng(seed).random(len(have))
     covered, uses = np.zeros(capacity + 1), {}
-    share = np.zeros(capacity + 1)
     for _ in range(STEPS):
-        prices = np.full(capacity + 1, -1.0)
-        prices[have] = have / capacity * np.exp(-ETA * share[have])
-        c = best_configuration(prices, capacity)
-        used = np.flatnonzero(c)
-        step = STEP * float((counts[used] / c[used]).min())
-        key = c.tobytes()
-        uses[key] = (c, uses.get(key, (c, 0.0))[1] + step)
-        covered += step * c
-        share[have] = covered[have] / counts[have]
-        if share[have].min() >= 4:
-            break
-    scale = 1 / share[have].max()
-    return [(c, x * scale) for c, x in uses.values()]
+        share = covered[have] / n
+        prices = np.zeros(capacity + 1)
+        prices[have] = np.where(share > share @ size / size.sum() + AHEAD, 0.0, have / capacity * np.exp(-ETA * (share - share.min())) * slight)
+        sack = Knapsack(prices, capacity)
+        moved = np.zeros(capacity + 1)
+        for i in np.argsort(-sack.worth, kind="stable").tolist():
+            if sack.worth[i] < (1 - NEAR) * sack.worth.max():
+                break
+            c = sack.configuration(int(sack.lengths[i]))
+            use = min((STEP * counts[x] - moved[x]) / times for x, times in c)
+            if use > 0 and all(times <= counts[x] for x, times in c):
+                uses[c] = uses.get(c, 0.0) + use
+                for x, times in c:
+                    moved[x] += use * times
+        covered += moved
+    scale = size.sum() / max(covered[have] @ have, 1e-12)
+    return {c: x * scale for c, x in uses.items()}
+
+
+def fullest(left: np.ndarray, room: int) -> dict[int, int]:
+    """The fullest choice of the pieces left for a room; of the longest ones where several are as full."""
+    lengths, reach, mask = np.flatnonzero(left[: room + 1]).tolist(), [1], (1 << room + 1) - 1
+    for x in lengths:
+        r, most, k = reach[-1], min(int(left[x]), room // x), 1
+        while most > 0:
+            k = min(k, most)
+            r |= (r << x * k) & mask
+            most, k = most - k, 2 * k
+        reach.append(r)
+    t, out = reach[-1].bit_length() - 1, {}
+    for x, r in zip(reversed(lengths), reversed(reach[:-1]), strict=True):
+        times = next(j for j in range(min(int(left[x]), t // x), -1, -1) if r >> (t - j * x) & 1)
+        if times:
+            out[x], t = times, t - times * x
+    return out
+
+
+def rounded(uses: dict[Configuration, float], counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations and multiplicities that use up counts exactly: the program's uses, rounded up and trimmed.
+
+    Sequences are taken by their longest piece, longest first. Configurations whose pieces are all left are used as they
+    are, up to their rounded use. Then each goes on without the pieces that have run out, whose room gets the fullest
+    choice of pieces left.
+    """
+    left, out = counts.astype(np.int64).copy(), []
+    total = lambda c: sum(x * times for x, times in c)
+    by_longest: dict[int, list[Configuration]] = {}
+    for c in sorted(uses, key=lambda c: (-total(c), sum(times for _, times in c), -uses[c], c)):
+        by_longest.setdefault(c[-1][0], []).append(c)
+    for longest in np.flatnonzero(left)[::-1].tolist():
+        own = by_longest.get(longest, [])
+        for c in own:
+            m = min(math.ceil(uses[c]), *(int(left[x]) // times for x, times in c)) if total(c) == capacity else 0
+            if m > 0:
+                out.append((dict(c), m))
+                for x, times in c:
+                    left[x] -= times * m
+        while left[longest]:
+            best = None
+            for c in own[:TRIES] or [((longest, 1),)]:
+                held = {x: k for x, times in c if (k := min(times, int(left[x])))}
+                for x, k in held.items():
+                    left[x] -= k
+                room = capacity - total(held.items())
+                more = fullest(left, room)
+                for x, k in held.items():
+                    left[x] += k
+                gap = room - total(more.items())
+                if best is None or gap < best[0]:
+                    best = gap, {x: held.get(x, 0) + more.get(x, 0) for x in held | more}
+                if not gap:
+                    break
+            _, c = best
+            m = max(1, min(int(left[x]) // times for x, times in c.items()) // 2)
+            out.append((c, m))
+            for x, times in c.items():
+                left[x] -= times * m
+    return out
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -156,28 +272,44 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return [x for bins in room.values() for x in bins]
 
 
+def mended(planned: list[tuple[dict[int, int], int]], capacity: int, most: int) -> list[tuple[dict[int, int], int]]:
+    """planned, with its emptiest sequences and those of most pieces packed anew by best fit, if that takes fewer.
+
+    At most `most` pieces are packed anew; the program has placed all others.
+    """
+    gap = lambda c: capacity - sum(x * times for x, times in c.items())
+    pieces = lambda c: sum(c.values())
+    held, pool, rest = 0, [], []
+    for c, m in sorted(planned, key=lambda x: (gap(x[0]) < 4, -gap(x[0]) if gap(x[0]) >= 4 else -pieces(x[0]))):
+        k = min(m, max(0, most - held) // pieces(c))
+        held += k * pieces(c)
+        pool += [(c, k)] * (k > 0)
+        rest += [(c, m - k)] * (m > k)
+    counts = np.zeros(capacity + 1, np.int64)
+    for c, k in pool:
+        for x, times in c.items():
+            counts[x] += times * k
+    again = best_fit(counts, capacity)
+    return rest + again if sum(m for _, m in again) < sum(k for _, k in pool) else planned
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length: times) and multiplicities that use up counts exactly."""
-    left, out = counts.astype(np.int64).copy(), []
-    if left[capacity]:
-        out.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(ROUNDS):
-        if not left.any():
-            break
-        taken = 0
-        for c, x in configuration_program(left, capacity):
-            m = int(x + 1e-9)
-            if m and c @ np.arange(capacity + 1) == capacity:
-                out.append(({int(i): int(c[i]) for i in np.flatnonzero(c)}, m))
-                taken += m
-        left = counts.astype(np.int64).copy()
-        for c, m in out:
-            for length, a in c.items():
-                left[length] -= a * m
-        if not taken:
+    """Configurations (length: times) and multiplicities that use up counts exactly.
+
+    The program is solved and rounded up to ROUNDS times with prices that differ slightly, and the fewest sequences are
+    taken; as few as there are full sequences of tokens end the search.
+    """
+    rest, whole = counts.astype(np.int64).copy(), int(counts[capacity])
+    rest[capacity] = 0
+    least = -(-int(rest @ np.arange(capacity + 1)) // capacity)
+    best: list[tuple[dict[int, int], int]] | None = None
+    for seed in range(ROUNDS if least else 0):
+        found = mended(rounded(configuration_program(rest, capacity, seed), rest, capacity), capacity, int(counts.sum()) // MEND)
+        if best is None or sum(m for _, m in found) < sum(m for _, m in best):
+            best = found
+        if sum(m for _, m in best) == least:
             break
-    return out + best_fit(left, capacity)
+    return ([({capacity: 1}, whole)] if whole else []) + (best or [])
 
 
 class Placement:
@@ -209,12 +341,11 @@ def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: i
     """Pieces: id, piece, start, length, ids_crc32, and task and nth, by which those of a length are numbered."""
     df = frames.pick(docs, id=id_col, text=text_col)
     kind = df.schema["id"].dataType.simpleString()
-    frames.arrow_ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = whole_encoder(tokenizer).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in frames.small(batches):
             row, piece, start, length, crc, nth = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py()) if text.is_valid else end[:0], end)

@@ -33,8 +33,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = frames.Scratch(spark)
     archives = scratch.keep(warc.write_archives(warc.plan_records(pages, "page_id", "url", "html")), "archives")
     read = warc.read_archives(archives, payloads=False)
-    number = lambda c: F.col(c).try_cast("bigint")
-    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    kind = next(f.dataType for f in pages.schema if f.name == "page_id")
+    return read.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 OP2_SQL = """
@@ -102,12 +102,11 @@ ARRIVALS, TARGET_BYTES = 8, 128 << 20
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in eight parts, are compacted and read back by the last manifest."""
     docs = table(spark, sf_dir, "documents")
-    store = sharding.ShardStore(spark, frames.Scratch(spark).path("store"), target_bytes=TARGET_BYTES)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
-    for i in range(ARRIVALS):
-        store.append(docs.where(part == i))
-        store.compact()
+    store = sharding.ShardStore(spark, frames.Scratch(spark).path("store"), target_bytes=TARGET_BYTES, keep_versions=1)
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact()
     store.compact(everything=True)
+    store.vacuum(older_than_s=0)  # nobody else reads this store
     text = F.coalesce("text", F.lit(""))
     return store.read().select("doc_id", "lang", "source", F.octet_length(text).cast("bigint").alias("text_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 

@@ -1,18 +1,33 @@
-"""Bounded samples of labelled rows, drawn by a hash of the id so that every run draws the same ones."""
+"""Bounded samples of labelled rows, drawn by a hash of what a row holds, so that every run draws the same ones.
+
+The order and number of files make no difference: rows are ranked by their hash, and equal rows count once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _GRAIN = 1 << 30
 
 
-def per_class(rows: DataFrame, label: str, id_col: str, most: int) -> tuple[DataFrame, dict]:
-    """About `most` rows of each class or all of them, and each class's share that was drawn."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
-    share = {k: min(1.0, most / n) for k, n in counts.items()}
-    chosen = F.lit(False)
-    for k, f in share.items():
-        chosen = chosen | ((F.col(label) == F.lit(k)) & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(_GRAIN)) < int(f * _GRAIN)))
-    return rows.where(chosen), share
+def row_hash(*columns: str) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns])
+
+
+def per_class(rows: DataFrame, label: str, by: tuple[str, ...], most: int, classes: int) -> tuple[DataFrame, dict]:
+    """label and h: the `most` smallest hashes of each class, and each class's share of rows that it stands for.
+
+    h is the hash of the columns `by`; rows that agree in it count once. The `classes` most frequent classes are drawn
+    from (ties: those that sort first). The result has at most most * classes rows.
+    """
+    n = F.count(F.lit(1))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(n.alias("n")).orderBy(F.desc("n"), label).limit(classes).collect()}
+    if not counts:
+        return rows.limit(0).select(label, F.lit(0).cast("bigint").alias("h")), {}
+    hashed = rows.select(label, row_hash(*by).alias("h"))
+    # What is far above the rank that will be cut at goes first: twice the share that is wanted, by the hash itself.
+    shares = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, int(min(1.0, (2 * most + 100) / c) * _GRAIN))])
+    near = hashed.where(F.pmod("h", F.lit(_GRAIN)) < F.coalesce(shares[F.col(label)], F.lit(0))).distinct()
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.pmod("h", F.lit(_GRAIN)), "h")))
+    return ranked.where(F.col("_r") <= most).drop("_r"), {k: min(1.0, most / c) for k, c in counts.items()}

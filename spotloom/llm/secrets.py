@@ -174,7 +174,7 @@ def redact_columns(docs: DataFrame, text_col: str = "text", length_col: str = "n
     All other rows and columns pass unchanged, in a single pass without a shuffle.
     """
     schema = docs.schema
-    at, size = docs.columns.index(text_col), docs.columns.index(length_col)
+    at, size = (frames.place(docs.columns, c) for c in (text_col, length_col))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(at).to_pylist()

@@ -4,8 +4,8 @@ Terms of a text are its words and the words' first 4 and 6 bytes (so that inflec
 taken once. The score is a logistic function of a bias, a weight for each term and, for each pair of terms, the
 product of their factors: an insult and the mention of a group count for more together than apart. Weights are
 trained by follow-the-regularised-leader with an L1 penalty, which leaves neutral terms without any weight; only terms
-that have one get factors, which are trained by AdaGrad. At most about `fit_per_class` rows of each label are used
-(a bound that does not grow with the corpus); their shares correct the bias.
+that have one get factors, which are trained by AdaGrad. At most `fit_per_class` rows of each label are used (a bound
+that does not grow with the corpus), those of the smallest hashes; their shares correct the bias.
 
 Defined cases: null and empty texts get the score of a text without terms; labels that are null teach nothing; if only
 one label is known, its share is every text's score; several labels of one id count each. Whole texts are read.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spotloom.llm import bytewords as W
 from spotloom.llm import frames
-from spotloom.llm.samples import per_class
+from spotloom.llm.samples import per_class, row_hash
 
 BITS, FACTORS = 20, 8
 #: FTRL step, damping and penalties of the weights (L1 by the root of the sample's size, as noise in the sums grows so);
@@ -107,19 +107,26 @@ def train(rows: list[tuple[int, np.ndarray]]) -> Model:
 
 
 def _sample(batch: pa.RecordBatch) -> pa.RecordBatch:
-    buckets, offs = terms(batch.column(1))
+    buckets, offs = terms(batch.column(2))
     got = [np.unique(buckets[a:b]).astype("<i4").tobytes() for _, a, b in W.rows(offs)]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["label", "b"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["label", "h", "b"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, fit_per_class: int = 5000) -> Model:
+    """Learns from at most fit_per_class ids of each label, and as many texts (an id's texts that differ count each)."""
     df = frames.pick(docs, id=id_col, text=text_col)
-    lab = frames.pick(labels, lid=id_col, label=label_col).where("label in (0, 1) and lid is not null").select("lid", F.col("label").cast("int").alias("label"))
-    drawn, share = per_class(lab, "label", "lid", fit_per_class)
-    # At most about 2 fit_per_class ids.
-    texts = df.join(F.broadcast(drawn), F.col("id") == F.col("lid")).select("label", "text")
-    got = frames.map_batches(texts, _sample, "label int, b binary").toArrow()
-    rows = [(y, np.frombuffer(b, "<i4")) for y, b in zip(*(c.to_pylist() for c in got.columns), strict=True)]
+    lab = frames.pick(labels, lid=id_col, label=label_col).where("label in (0, 1) and lid is not null").select("lid", F.col("label").cast("int").alias("label")).distinct()
+    drawn, share = per_class(lab, "label", ("lid",), fit_per_class, 2)
+    drawn = lab.withColumn("h", row_hash("lid")).join(F.broadcast(drawn), ["label", "h"], "left_semi")
+    # At most 2 fit_per_class ids. Their texts may repeat without a bound, so equal ones are made one, and ranked.
+    texts = df.join(F.broadcast(drawn), F.col("id") == F.col("lid")).select("label", row_hash("id", "text").alias("h"), "text")
+    scratch = frames.Scratch(df.sparkSession)
+    texts = scratch.keep(texts.groupBy("label", "h").agg(F.first("text").alias("text")), "texts")
+    few = [texts.where(F.col("label") == k).orderBy("h").limit(fit_per_class) for k in (0, 1)]
+    got = frames.map_batches(few[0].unionByName(few[1]), _sample, "label int, h bigint, b binary").toArrow()
+    scratch.close()
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
+    rows = [(y, np.frombuffer(b, "<i4")) for y, _, b in rows]
     seen = np.zeros(1 << BITS, np.int64)
     for _, b in rows:
         seen[b] += 1
@@ -148,7 +155,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
     """The rows of docs with a score under limit, all columns as they are, in one pass without a shuffle."""
-    at = docs.columns.index(text_col)
+    at = frames.place(docs.columns, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,14 +1,15 @@
 """WARC archives: a writer that makes one gzip member of each record, and a sequential reader.
 
 The reader inflates a member at a time with an incremental zlib decompressor, frames the record by its
-Content-Length, verifies block and payload digests and goes on at the byte after the member. It reads an archive in
-slices, so that its memory follows the largest record and not the archive.
+Content-Length, verifies block and payload digests and goes on at the byte after the member. It inflates an archive in
+slices, a record at a time, so that beside the compressed archive, which is one cell of at most 2 GB as Spark's
+binaryFile source has it, its memory follows the largest record.
 
 Records with equal payloads of at least `revisit_bytes` are written once, as the response of the smallest id; the
 others are revisits that refer to it and have no payload of their own.
 
-Defined cases: null html is an empty payload, null url leaves WARC-Target-URI out, a null id is written as an empty
-one and read back as null (such rows never serve as the response others refer to). Rows that repeat an id with equal
+Defined cases: null html is an empty payload, null url leaves WARC-Target-URI out, a null id is written under a name
+of its own and read back as null (such rows never serve as the response others refer to); ids of any text are escaped. Rows that repeat an id with equal
 payloads are all responses if the id is the smallest. An empty table gives no archives. A damaged archive yields the
 records before the damage and one row whose error says what is wrong.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,22 +31,33 @@ from spotloom.llm import frames
 ARCHIVE_BYTES = 8 << 20
 #: Bytes given to the decompressor at a time.
 SLICE = 1 << 16
-_ZERO = "urn:uuid:00000000-0000-0000-0000-000000000000"
+#: Before ids in URIs; a null id has a name that no other has.
+PAGE, NO_PAGE = "urn:page:", "urn:no-page"
 
 
 def digest(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
-def record(kind: str, page_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def uri(page_id: str | None) -> str:
+    return NO_PAGE if page_id is None else PAGE + quote(page_id, safe="")
+
+
+def page_of(said: str) -> str | None:
+    """The id that a URI names; another archive's URIs are ids as they are."""
+    said = said.strip("<>")
+    return None if said == NO_PAGE else unquote(said.removeprefix(PAGE)) if said.startswith(PAGE) else said
+
+
+def record(kind: str, page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC/1.1 record as a gzip member."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{uri(page_id)}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{uri(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"WARC-Payload-Digest: {digest(payload)}", f"WARC-Block-Digest: {digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress("\r\n".join(lines).encode() + b"\r\n\r\n") + c.compress(block) + c.compress(b"\r\n\r\n") + c.flush()
@@ -106,7 +119,7 @@ def read_archive(data: bytes | memoryview) -> Iterator[dict]:
             kind, said = fields.get("warc-type"), fields.get("warc-payload-digest", "")
             if kind == "response" and (len(payload) != length or said.startswith("sha256:") and digest(payload) != said):
                 raise Broken("the payload's digest or length differs")
-            own = lambda name: fields[name].strip("<>").removeprefix("urn:page:") if name in fields else None  # noqa: E731, B023
+            own = lambda name: page_of(fields[name]) if name in fields else None  # noqa: E731, B023
             yield {
                 "record_type": kind, "record_id": own("warc-record-id"), "refers_to": own("warc-refers-to"), "url": fields.get("warc-target-uri"),
                 "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": said.removeprefix("sha256:"), "at": at, "error": None,
@@ -118,16 +131,25 @@ def read_archive(data: bytes | memoryview) -> Iterator[dict]:
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int = 100) -> DataFrame:
     """page_id, url, html and refers_to: null for responses, else the id whose payload is equal.
 
-    Only digests of payloads that occur more than once are joined; they are counted before they are shuffled.
+    Pages are not shuffled where the digests that occur more than once are few enough to be broadcast (they are counted
+    first). Where they are more, those of most pages are broadcast, and pages of the others, of which none has many, are
+    joined by merge.
     """
     df = frames.pick(pages, page_id=id_col, url=url_col, html=html_col)
     df = df.withColumn("html", F.coalesce("html", F.lit("")))
-    long = F.octet_length("html") >= revisit_bytes
-    df = df.withColumn("k", F.when(long, F.sha2(F.col("html").cast("binary"), 256)))
-    first = df.where("k is not null").groupBy("k").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select(F.col("k").alias("k2"), "first")
-    # Payloads too short to be referred to get keys of their own, which match nothing and spread over all tasks.
-    key = F.coalesce("k", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    joined = df.withColumn("key", key).join(first, F.col("key") == F.col("k2"), "left")
+    df = df.withColumn("k", F.when(F.octet_length("html") >= revisit_bytes, F.sha2(F.col("html").cast("binary"), 256)))
+    first = df.where("k is not null").groupBy("k").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    scratch = frames.Scratch(df.sparkSession)
+    first = scratch.keep(first.select(F.col("k").alias("k2"), "first", "n"), "first")
+    few = first.count() <= frames.HOT_KEYS
+    often = first if few else frames.hot_keys(first)
+    joined = df.join(F.broadcast(often.select("k2", "first")), F.col("k") == F.col("k2"), "left").drop("k2")
+    if not few:
+        rest = first.join(F.broadcast(often.select("k2")), "k2", "left_anti").select("k2", F.col("first").alias("other"))
+        # Pages that need no partner get keys of their own, which match nothing and spread over all tasks.
+        own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+        joined = joined.withColumn("key", F.when(F.col("first").isNull() & F.col("k").isNotNull(), F.col("k")).otherwise(own))
+        joined = joined.join(rest.hint("merge"), F.col("key") == F.col("k2"), "left").withColumn("first", F.coalesce("first", "other"))
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -135,7 +157,6 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, rev
 def write_archives(planned: DataFrame) -> DataFrame:
     """Archives as rows (length, content) like those of the binaryFile source, of about ARCHIVE_BYTES each."""
     text = planned.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.col("refers_to").cast("string").alias("refers_to"))
-    frames.arrow_ready(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -143,7 +164,7 @@ def write_archives(planned: DataFrame) -> DataFrame:
         for batch in batches:
             for page_id, url, html, refers in zip(*(c for c in batch.columns), strict=True):
                 refers = refers.as_py()
-                parts.append(record("revisit" if refers is not None else "response", page_id.as_py() or "", url.as_py(), html.as_py().encode(), refers))
+                parts.append(record("revisit" if refers is not None else "response", page_id.as_py(), url.as_py(), html.as_py().encode(), refers))
                 size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -163,7 +184,6 @@ def read_archives(files: DataFrame, content_col: str = "content", payloads: bool
     payloads=False leaves the payload column null, after it was verified.
     """
     df = frames.pick(files, content=content_col)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(frames.ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

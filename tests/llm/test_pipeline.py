@@ -27,11 +27,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     lengths = {}
     for r in got:
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
-    from spotloom.llm.packing import encoder
     from spotloom.llm.registry import tokenizer_path
+    from tokenizers import Tokenizer
 
-    enc = encoder(tokenizer_path())
-    assert lengths == {i: len(enc.encode_ordinary(secrets.redact(t, secrets.find(t)) or "")) + 1 for i, t in kept.items()}
+    enc = Tokenizer.from_file(tokenizer_path())
+    assert lengths == {i: len(enc.encode(secrets.redact(t, secrets.find(t)) or "", add_special_tokens=False).ids) + 1 for i, t in kept.items()}
 
 
 def test_stages_keep_columns_and_odd_rows(spark, sf_dir, odd_docs, no_docs):
@@ -41,3 +41,29 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir, odd_docs, no_docs):
             assert out.columns == list(corpus_pipeline.COLUMNS), name
             assert out.count() <= docs.count()
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count()
+
+
+def test_a_run_leaves_its_result_alone(spark, sf_dir, monkeypatch, tmp_path):
+    from spotloom.llm import frames
+
+    def forbidden(*_, **__):
+        raise AssertionError("no machine-local folder")
+
+    monkeypatch.setattr(frames.tempfile, "mkdtemp", forbidden)
+    monkeypatch.setattr(frames, "shared_folder", lambda _: str(tmp_path))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name for p in tmp_path.glob("spotloom-*/*")] == ["4-packing"] and len(list(tmp_path.glob("spotloom-*"))) == 1 and out.count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import types
+
+    import pytest
+
+    from spotloom.llm import frames
+
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="local-cluster[2,1,1000]"))
+    with pytest.raises(ValueError):
+        frames.shared_folder(fake)
