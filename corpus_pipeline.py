@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
+    """The rows of the last stage over documents. Tables of stages and operators go when the next stage is written."""
     scratch = frames.Scratch(spark)
     docs = frames.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+        with frames.tidy():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if i:
+            scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
