@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions import cauchy as C
@@ -125,12 +127,42 @@ def snr_by_state(traces: DataFrame, sigma: float) -> DataFrame:
     return out.select("state", "msd1", F.lit(floor).alias("floor"), (F.col("msd1") / floor).alias("snr"))
 
 
+def grid_scan(traces: DataFrame, most: int = 75, least: int = 30, points: int = 49) -> DataFrame:
+    """h, se and n by state and stride without noise: the likeliest of a grid, and the least error any estimate can have."""
+    h = h_grid(stride_ratios(traces, most), points=points).where(F.col("n") >= least)
+    return h.select("state", "delta", "h", C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), 0.0, 1.0, 0.0), F.col("n")).alias("se"), "n")
+
+
 def z_pairs(scan: DataFrame) -> DataFrame:
-    """Differences of H between strides of a state, in standard errors. A state has tens of strides."""
+    """Differences of H between strides of a state, in standard errors, with the chance of as much. A state has tens of strides."""
     a = scan.select("state", F.col("delta").alias("d1"), F.col("h").alias("h1"), F.col("se").alias("s1"))
     b = scan.select("state", F.col("delta").alias("d2"), F.col("h").alias("h2"), F.col("se").alias("s2"))
     z = (F.col("h1") - F.col("h2")) / F.sqrt(F.col("s1") ** 2 + F.col("s2") ** 2)
-    return a.join(b, "state").where("d1 < d2").select("state", "d1", "d2", z.alias("z"))
+    return a.join(b, "state").where("d1 < d2").select("state", "d1", "d2", z.alias("z")).withColumn("p", two_sided(F.col("z")))
+
+
+#: Coefficients of a Chebyshev fit of the complementary error function, good to 1.2e-7 of its value everywhere.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def two_sided(z: Column) -> Column:
+    """The chance that a standard normal number is as far from 0 as z."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    s = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        s = s * t + c
+    return t * F.exp(s - x * x)
+
+
+def z_summary(pairs: DataFrame, q: float = 0.05) -> DataFrame:
+    """By state: pairs, those beyond 2 and 3 standard errors, the furthest, and those significant at a false discovery rate."""
+    a = F.abs("z")
+    tested = benjamini_hochberg(pairs, "p", ["state"], q)
+    count = lambda c: F.sum(c.cast("bigint"))
+    return tested.groupBy("state").agg(
+        F.count(F.lit(1)).alias("pairs"), count(a > 2).alias("over2"), count(a > 3).alias("over3"), F.max_by("z", F.struct(a, -F.col("d1"), -F.col("d2"))).alias("max_z"), count(F.col("rejected")).alias("significant"), F.coalesce(F.max(F.when(F.col("rejected"), F.col("p"))), F.lit(0.0)).alias("p_cut")
+    )
 
 
 def benjamini_hochberg(tests: DataFrame, p_col: str, by: list[str], q: float = 0.05) -> DataFrame:
@@ -142,11 +174,25 @@ def benjamini_hochberg(tests: DataFrame, p_col: str, by: list[str], q: float = 0
 
 
 def delta_drift(scan: DataFrame) -> DataFrame:
-    """Changes of H from a stride to the next: greatest, where, and how many exceed 2 and 3 standard errors."""
+    """Changes of H from a stride to the next, by state: the greatest in standard errors and where (the later stride), and how many exceed 2 and 3."""
     w = Window.partitionBy("state").orderBy("delta")
-    step = scan.select("state", "delta", (F.lead("h").over(w) - F.col("h")).alias("dh"), F.sqrt(F.lead("se").over(w) ** 2 + F.col("se") ** 2).alias("floor")).where("dh is not null")
-    a = F.abs("dh")
-    return step.groupBy("state").agg(F.max(a).alias("max_drift"), F.max_by("delta", a).alias("at_delta"), F.sum((a > 2 * F.col("floor")).cast("int")).alias("over2"), F.sum((a > 3 * F.col("floor")).cast("int")).alias("over3"))
+    before = lambda c: F.lag(c).over(w)
+    step = scan.select("state", "delta", (F.col("h") - before("h")).alias("dh"), F.sqrt(before("se") ** 2 + F.col("se") ** 2).alias("floor")).where("dh is not null and floor > 0")
+    step = step.withColumn("z", F.abs("dh") / F.col("floor"))
+    first = F.struct("z", -F.col("delta"))
+    return step.groupBy("state").agg(F.max("z").alias("max_z"), F.max_by("dh", first).alias("max_drift"), F.max_by("delta", first).alias("at_delta"), F.sum((F.col("z") > 2).cast("bigint")).alias("over2"), F.sum((F.col("z") > 3).cast("bigint")).alias("over3"), F.count(F.lit(1)).alias("n"))
+
+
+def precision_map(hs: DataFrame, r: float, k: float, sigma: float, points: int = 120, low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """The error of H for rows (h, delta) at even powers of ten of independent ratios, from 10^low to 10^high."""
+    n = F.pow(F.lit(10.0), F.lit(low) + F.col("i") * ((high - low) / (points - 1)))
+    each = hs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("n_eff", n)
+    return each.withColumn("se", C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), r, k, sigma), F.col("n_eff")))
+
+
+def trusted_by_all(trusted: DataFrame) -> DataFrame:
+    """Strides that are trusted in every state that has them."""
+    return trusted.groupBy("delta").agg(F.every("trusted").alias("trusted"))
 
 
 def trust(table: DataFrame, r: float, k: float, sigma: float, eps: float) -> DataFrame:

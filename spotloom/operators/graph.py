@@ -13,10 +13,13 @@ NODE = ["video", "frame", "spot_idx"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder the session names, or in one of our own where it names none."""
+    """df, checkpointed in the folder that spark.checkpoint.dir names; without one, as only a local session may be, in one of our own."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spotloom-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spotloom-"))
     return df.checkpoint()
 
 
@@ -53,11 +56,11 @@ def adjacent_pairs(loc: DataFrame) -> DataFrame:
     )
 
 
-def candidate_edges(loc: DataFrame, threshold: float, horizon: int = 3, grid: bool = False) -> DataFrame:
+def candidate_edges(loc: DataFrame, threshold: float, horizon: int = 3, grid: bool = True) -> DataFrame:
     """Edges between spots at most horizon frames apart beyond the next one, and nearer than the threshold.
 
-    The difference in frames is exploded on one side, so the join is by equality on (video, frame); with grid=True
-    also on cells as wide as the threshold, which pays where frames are crowded.
+    The difference in frames is exploded on one side, so the join is by equality on (video, frame) and, unless grid is
+    False, on cells as wide as the threshold, so that crowded frames don't meet whole.
     """
     a = loc.withColumn("dst_frame", F.explode(F.sequence(F.col("frame") + 1, F.col("frame") + 1 + horizon)))
     b = loc
@@ -104,25 +107,35 @@ def bypass_edges(edges: DataFrame, removed: DataFrame, loc: DataFrame, threshold
     return both.select("video", "src_frame", "src_idx", "dst_frame", "dst_idx", d.alias("jump_d")).where(F.col("jump_d") < threshold)
 
 
+#: Bits of a spot's number in a node's code; frames and spots are 32-bit numbers, so codes never meet.
+SPOT_BITS = 31
+
+
+def node_code(frame: str, spot: str) -> Column:
+    return F.col(frame).cast("bigint") * (1 << SPOT_BITS) + F.col(spot)
+
+
 def components(loc: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each spot with the smallest node, as frame * 2^20 + spot_idx, it is connected to.
+    """Each spot with the smallest node, as frame * 2^31 + spot_idx, it is connected to.
 
     Labels take the minimum around them and then that of their label's label, so the rounds follow the logarithm of
-    the longest path. Each round is checkpointed.
+    the longest path. Each round is checkpointed. Only spots with an edge take part; the others are their own component.
     """
-    code = lambda f, i: F.col(f).cast("bigint") * (1 << 20) + F.col(i)
-    e = edges.select("video", code("src_frame", "src_idx").alias("u"), code("dst_frame", "dst_idx").alias("v"))
+    e = edges.select("video", node_code("src_frame", "src_idx").alias("u"), node_code("dst_frame", "dst_idx").alias("v"))
     both = cut_lineage(e.unionByName(e.select("video", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(loc.select("video", code("frame", "spot_idx").alias("n")).withColumn("c", F.col("n")))
+    labels = both.groupBy("video", F.col("u").alias("n")).agg(F.least(F.col("u"), F.min("v")).alias("c"))
+    labels = cut_lineage(labels)
     while True:
         around = both.join(labels.select("video", F.col("n").alias("v"), F.col("c").alias("vc")), ["video", "v"]).groupBy("video", F.col("u").alias("n")).agg(F.min("vc").alias("m"))
-        near = labels.join(around, ["video", "n"], "left").select("video", "n", "c", F.least("c", F.coalesce("m", "c")).alias("l"))
+        near = labels.join(around, ["video", "n"]).select("video", "n", "c", F.least("c", "m").alias("l"))
         jump = near.select("video", F.col("n").alias("l"), F.col("l").alias("ll"))
-        new = cut_lineage(near.join(jump, ["video", "l"], "left").select("video", "n", "c", F.least("l", F.coalesce("ll", "l")).alias("k")))
-        changed = new.where("k <> c").isEmpty()
+        new = cut_lineage(near.join(jump, ["video", "l"]).select("video", "n", "c", F.least("l", "ll").alias("k")))
+        same = new.where("k <> c").isEmpty()
         labels = new.select("video", "n", F.col("k").alias("c"))
-        if changed:
-            return labels.select("video", F.shiftright("n", 20).cast("int").alias("frame"), F.col("n").bitwiseAND((1 << 20) - 1).cast("int").alias("spot_idx"), F.col("c").alias("component"))
+        if same:
+            break
+    nodes = loc.select("video", "frame", "spot_idx", node_code("frame", "spot_idx").alias("n"))
+    return nodes.join(labels, ["video", "n"], "left").select("video", "frame", "spot_idx", F.coalesce("c", "n").alias("component"))
 
 
 def empirical_pdf(distances: DataFrame, column: str = "d", bins: int = 39, top: float = 20.0) -> DataFrame:

@@ -130,35 +130,30 @@ def annulus_stats(px: DataFrame, spots: DataFrame, inner: float = 3.0, outer: in
 
 
 def fit_gaussians(px: DataFrame, spots: DataFrame, window: int = 7, repeat: int = 5) -> DataFrame:
-    """Iterated weighted least squares of log intensity on a quadratic around each spot: centre, variances, amplitude."""
+    """Iterated weighted least squares of log intensity on a quadratic around each spot: centre, variances, amplitude.
+
+    Where a window reaches beyond the picture, the pixels that are there are fitted. All spots of a batch are solved
+    together.
+    """
     half = window // 2
     offs = _offsets(px, [(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1)], "dr int, dc int")
     met = spots.select(*FRAME, "spot_idx", F.col("r").alias("r0"), F.col("c").alias("c0")).join(offs).withColumn("r", F.col("r0") + F.col("dr")).withColumn("c", F.col("c0") + F.col("dc")).join(px, PIXEL)
-    patch = met.groupBy(*FRAME, "spot_idx", "r0", "c0").agg(F.array_sort(F.collect_list(F.struct("dr", "dc", "v"))).alias("p")).where(F.size("p") == window * window)
-    patch = patch.select(*FRAME, "spot_idx", "r0", "c0", F.transform("p", lambda x: x["v"]).alias("v"))
-    y, x = np.mgrid[-half : half + 1, -half : half + 1].reshape(2, -1).astype(float)
-    design = np.stack([x * x, x, y * y, y, x * y, np.ones_like(x)], 1)
+    place = (F.col("dr") + half) * window + F.col("dc") + half
+    patch = met.groupBy(*FRAME, "spot_idx", "r0", "c0").agg(F.collect_list(place).alias("at"), F.collect_list("v").alias("v")).where(F.size("at") >= 6)
 
     def run(batches):
+        from spotloom.operators.localize import fit
+
         for g in batches:
+            patches = np.full((len(g), window * window), np.nan)
+            for p, at, v in zip(patches, g["at"], g["v"], strict=True):
+                p[np.asarray(at, int)] = v
             rows = []
-            for i, v in enumerate(g.v):
-                v = np.asarray(v) - np.min(v) + 0.01
-                target, w = np.log(v), v * v
-                for _ in range(repeat):
-                    coef = np.linalg.lstsq(design * np.sqrt(w)[:, None], target * np.sqrt(w), rcond=None)[0]
-                    w = np.exp(np.clip(2 * (design @ coef), -50, 50))
-                a, b, c, d, e, f = coef
-                h = np.array([[-2 * a, -e], [-e, -2 * c]])
-                if np.linalg.det(h) <= 1e-12 or h[0, 0] <= 0:
-                    continue
-                cov = np.linalg.inv(h)
-                mu = cov @ np.array([b, d])
-                rho = cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1])
-                if max(cov[0, 0], cov[1, 1]) > 3 * window or abs(rho) > 1 or np.abs(mu).max() > half + 1:
-                    continue
-                amp = float(np.exp(np.clip(f + 0.5 * np.array([b, d]) @ mu, -50, 50)))
-                rows.append((g.video[i], g.frame[i], g.spot_idx[i], g.c0[i] + mu[0], g.r0[i] + mu[1], cov[0, 0], cov[1, 1], rho, amp))
+            for i, got in enumerate(fit(patches.reshape(-1, window, window), 0.0, repeat) if len(g) else []):
+                if got is not None:
+                    mu, cov, amp = got
+                    rho = cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1])
+                    rows.append((g.video[i], g.frame[i], g.spot_idx[i], g.c0[i] + mu[0], g.r0[i] + mu[1], cov[0, 0], cov[1, 1], rho, amp))
             yield pd.DataFrame(rows, columns=["video", "frame", "spot_idx", "x", "y", "xvar", "yvar", "rho", "norm_cst"])
 
     return patch.mapInPandas(run, "video string, frame int, spot_idx int, x double, y double, xvar double, yvar double, rho double, norm_cst double")
@@ -171,10 +166,12 @@ def density_raster(loc: DataFrame, cell: float, half: int = 1) -> DataFrame:
     return at.join(offs).groupBy("video", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).agg(F.sum(F.col("n") * F.col("g")).alias("density"))
 
 
-def kde_1d(values: DataFrame, column: str, points: int, low: float, high: float) -> DataFrame:
-    """A Gaussian kernel density on a grid, with Scott's bandwidth."""
-    s = values.where(F.col(column).isNotNull()).agg(F.stddev_samp(column).alias("sd"), F.count(F.lit(1)).alias("n")).withColumn("bw", F.col("sd") * F.pow("n", F.lit(-0.2)))
-    grid = values.sparkSession.range(points).select("id", (F.lit(low) + F.col("id") * ((high - low) / (points - 1))).alias("g"))
-    z = (F.col("g") - F.col(column)) / F.col("bw")
-    each = values.where(F.col(column).isNotNull()).join(F.broadcast(grid)).join(F.broadcast(s))  # a grid of fixed size and one row
-    return each.groupBy("id", "g").agg((F.sum(F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
+def kde_1d(values: DataFrame, column: str, points: int = 200) -> DataFrame:
+    """A Gaussian kernel density at even places from the least to the greatest value, with Scott's bandwidth."""
+    v = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    s = v.agg(F.stddev_samp("v").alias("sd"), F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("bw", F.col("sd") * F.pow("n", F.lit(-0.2)))
+    # Each value is spread over a grid of fixed size; sums are made before anything is shuffled.
+    each = v.join(F.broadcast(s)).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))  # one row
+    at = F.col("lo") + F.col("id") * ((F.col("hi") - F.col("lo")) / (points - 1))
+    z = (at - F.col("v")) / F.col("bw")
+    return each.groupBy("id", at.alias("at")).agg((F.sum(F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("bw") * float(np.sqrt(2 * np.pi)))).alias("density"))

@@ -110,22 +110,23 @@ def fit(patches: np.ndarray, mean: float, repeat: int = 5) -> list[tuple[np.ndar
     """Centre, covariance and amplitude of a spot in each patch above its background; None where no spot fits.
 
     Weighted least squares of log intensity on a quadratic, with the squares of the model before as weights, until the
-    coefficients of a patch rest. All patches are solved together, each as a system of six equations.
+    coefficients of a patch rest. All patches are solved together, each as a system of six equations. nan is no pixel.
     """
     half = patches.shape[1] // 2
     y, x = np.mgrid[-half : half + 1, -half : half + 1].reshape(2, -1).astype(float)
     design = np.stack([x * x, x, y * y, y, x * y, np.ones_like(x)], 1)
     products = (design[:, :, None] * design[:, None, :]).reshape(len(x), 36)
     v = (patches - mean).reshape(len(patches), -1)
-    v = v - v.min(1, keepdims=True) + 0.01
-    target, w = np.log(v), v * v
+    there = ~np.isnan(v)  # pixels beyond the picture weigh nothing
+    v = np.where(there, v - np.nanmin(v, 1, keepdims=True) + 0.01, 1.0)
+    target, w = np.log(v), np.where(there, v * v, 0.0)
     coef, moving = np.full((len(v), 6), np.nan), np.ones(len(v), bool)
     for _ in range(repeat):
         inverse = np.linalg.pinv((w[moving] @ products).reshape(-1, 6, 6), rcond=1e-12, hermitian=True)
         new = np.einsum("nij,nj->ni", inverse, (w[moving] * target[moving]) @ design)
         rest = np.isclose(new, coef[moving], rtol=1e-7, atol=0).all(1)
         coef[moving] = new
-        w[moving] = np.exp(np.clip(2 * (new @ design.T), -50, 50))
+        w[moving] = np.where(there[moving], np.exp(np.clip(2 * (new @ design.T), -50, 50)), 0.0)
         moving[moving] = ~rest
         if not moving.any():
             break

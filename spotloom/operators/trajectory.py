@@ -118,8 +118,9 @@ def ea_sd(runs: DataFrame, pixel_um: float = 1.0, strict_gaps: bool = False) ->
     if strict_gaps:
         pairs = r.select("state", F.col("t").cast("int").alias("t"), "sd")
     else:
-        offsets = r.groupBy(*RUN).agg(F.collect_set(F.col("t").cast("int")).alias("there"))
-        pairs = r.join(offsets, RUN).where((F.col("pos") < F.col("last")) & F.array_contains("there", F.col("pos"))).select("state", F.col("pos").alias("t"), "sd")
+        # A point stands for the time pos if some point of its run has that time: both meet on (run, time).
+        times = r.select(*RUN, F.col("t").cast("int").alias("pos"))
+        pairs = r.where(F.col("pos") < F.col("last")).join(times, [*RUN, "pos"], "left_semi").select("state", F.col("pos").alias("t"), "sd")
     return pairs.groupBy("state", "t").agg(F.avg("sd").alias("mean"), F.stddev_pop("sd").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
@@ -166,18 +167,24 @@ def merge_offset(traces: DataFrame) -> DataFrame:
     """Trajectories of all videos under numbers of their own: those of a video follow those of the one before it."""
     most = traces.groupBy("video").agg((F.max("traj_idx") + 1).alias("size"))  # a row a video
     offset = F.coalesce(F.sum("size").over(Window.orderBy("video").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return traces.join(F.broadcast(most.select("video", offset.alias("offset"))), "video").withColumn("merged_idx", F.col("traj_idx") + F.col("offset")).drop("offset")
+    return traces.join(most.select("video", offset.alias("offset")), "video").withColumn("merged_idx", F.col("traj_idx") + F.col("offset")).drop("offset")
 
 
-def histogram(values: DataFrame, column: str, bins: int, low: float, high: float, by: list[str] | None = None, density: bool = False) -> DataFrame:
-    """Counts in equal bins of [low, high], the last closed; share is percent of the group, or density."""
+def histogram(values: DataFrame, column: str, bins: int, by: list[str] | None = None, density: bool = False, ends: tuple[float, float] | None = None) -> DataFrame:
+    """Counts in equal bins, the last closed; share is percent of the group, or density.
+
+    Groups share the bins, which reach from the least to the greatest value of all, so that none is left out; or over
+    ends, where the scale is a closed one.
+    """
     by = by or []
-    v = F.col(column)
-    width = (high - low) / bins
-    at = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("int")
-    n = values.where(v.between(low, high)).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    v, lo, hi = F.col(column), F.col("_lo"), F.col("_hi")
+    found = values.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    row = found.agg(F.min(v).cast("double").alias("_lo"), F.max(v).cast("double").alias("_hi")) if ends is None else values.sparkSession.range(1).select(F.lit(ends[0]).alias("_lo"), F.lit(ends[1]).alias("_hi"))
+    at = F.when(hi > lo, F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).otherwise(0).cast("int")
+    n = found.join(F.broadcast(row)).groupBy(*by, at.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))  # one row of ends
     total = F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))  # a row a bin
-    return n.withColumn("share", F.col("n") / (total * width) if density else 100 * F.col("n") / total)
+    share = F.col("n") / (total * ((hi - lo) / bins)) if density else 100 * F.col("n") / total
+    return n.withColumn("share", share).drop("_lo", "_hi")
 
 
 def geometric_histogram(values: DataFrame, column: str, bins: int, by: list[str]) -> DataFrame:

@@ -34,8 +34,8 @@ def loc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H and K for each user but every seventh."""
-    e = _events(spark, sf_dir).where("user_id % 7 <> 0")
+    """H and K for each user."""
+    e = _events(spark, sf_dir)
     return e.groupBy("video", F.col("user_id").alias("traj_idx")).agg((F.avg("y") / 100).alias("H"), (F.avg("x") / 100).alias("K"))
 
 
@@ -70,5 +70,5 @@ EVENTS_SQL = """ev as (select event_id, user_id, 'v' || (user_id % 3) as video,
 TRACES_SQL = EVENTS_SQL + """, tr as (select video, user_id as traj_idx, cast(day as integer) as frame, x, y, 0.0 as z, state from ev
   qualify row_number() over (partition by video, user_id, day order by event_id) = 1)"""
 LOC_SQL = EVENTS_SQL + """, loc as (select video, cast(day * 24 + hour as integer) as frame, row_number() over (partition by video, day * 24 + hour order by event_id) - 1 as spot_idx, x, y from ev)"""
-DIFFUSION_SQL = "df as (select video, user_id as traj_idx, avg(y) / 100 as H, avg(x) / 100 as K from ev where user_id % 7 <> 0 group by 1, 2)"
+DIFFUSION_SQL = "df as (select video, user_id as traj_idx, avg(y) / 100 as H, avg(x) / 100 as K from ev group by 1, 2)"
 FRAMES_SQL = "fr as (select cast(vec_id as integer) as frame, cast(unnest(range(64)) as integer) as pos, cast(unnest(embedding) as double) as v from embeddings)"

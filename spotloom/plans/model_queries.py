@@ -33,7 +33,7 @@ def _spread(s, d):
 
 
 def _roi(s, d):
-    roi = classify.roi_strict(A.traces(s, d), spot_queries.SHAPES).join(A.diffusion(s, d), ["video", "traj_idx"], "left")
+    roi = spot_queries._classes(s, d, True).join(A.diffusion(s, d), ["video", "traj_idx"], "left")
     return roi.groupBy("roi").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("H"), 4).alias("mean_h"), F.round(F.avg("K"), 4).alias("mean_k"))
 
 
@@ -45,7 +45,7 @@ QUERIES = {
     "viz_range": _spread,
     "roi_stats": _roi,
     "densities": lambda s, d: T.displacements_1d(_runs(s, d)).select("video", "traj_idx", "frame", "axis", F.round(C.gaussian_pdf(F.col("d"), 0.0, 30.0) * 1000, 5).alias("normal"), F.round(C.cauchy_pdf(F.col("d"), -0.1, 20.0) * 1000, 5).alias("cauchy")),
-    "thompson": lambda s, d: A.traces(s, d).where("x > 1").select("video", "traj_idx", "frame", F.round(C.thompson(1.3, 0.16, F.col("x"), 2.0), 4).alias("error")),
+    "thompson": lambda s, d: A.traces(s, d).where("x > 0").select("video", "traj_idx", "frame", F.round(C.thompson(1.3, 0.16, F.col("x"), 2.0), 4).alias("error")),
     "localize": lambda s, d: localize.localize(A.rendered(s, d)),
     "greedy_jump_threshold": lambda s, d: s.createDataFrame([(mixtures.gmm_jump_threshold(graph.cut_lineage(mixtures.trim_jumps(graph.cut_lineage(linking.greedy_matches_with_parts(A.loc(s, d)).select("dx", "dy"))))),)], "threshold double"),
     "displacement_fit": lambda s, d: estimators.displacement_histogram_fit(_runs(s, d)),
@@ -70,7 +70,7 @@ SQL = {
     "quantile_axis_lookup": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + " select video, traj_idx, cast(case when K < -1 then 0 when K < 0 then 1 when K < 0.5 then 2 when K < 1 then 3 else 4 end as integer) as at from df",
     "segments": _P + ", q as (select video, traj_idx, frame, x as x1, y as y1, lead(x) over w as x2, lead(y) over w as y2 from tr window w as (partition by video, traj_idx order by frame)) select video, traj_idx, frame, round(x1, 4) as x1, round(y1, 4) as y1, round(x2, 4) as x2, round(y2, 4) as y2 from q where x2 is not null",
     "viz_range": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + " select floor(min(H) * 20) / 20 as low, ceil(max(H) * 20) / 20 as high, round(quantile_cont(H, 0.025), 6) as p2_5, round(quantile_cont(H, 0.975), 6) as p97_5 from df",
-    "roi_stats": f"select roi, count(*) as n, round(avg(H), 4) as mean_h, round(avg(K), 4) as mean_k from ({spot_queries.SQL['roi_strict']}) left join (with {A.EVENTS_SQL}, {A.DIFFUSION_SQL} select * from df) using (video, traj_idx) group by 1",
+    "roi_stats": f"select roi, count(*) as n, round(avg(H), 4) as mean_h, round(avg(K), 4) as mean_k from ({spot_queries.SQL['roi_classes_strict']}) left join (with {A.EVENTS_SQL}, {A.DIFFUSION_SQL} select * from df) using (video, traj_idx) group by 1",
     "densities": _RUNS + f" select video, traj_idx, frame, axis, round(1000 * exp(-0.5 * pow(d / 30.0::double, 2)) / (30.0::double * sqrt(2 * pi())), 5) as normal, round(1000 / (pi() * 20.0::double * (1 + pow((d + 0.1::double) / 20.0::double, 2))), 5) as cauchy from d",
-    "thompson": _P + " select video, traj_idx, frame, round(sqrt((1.3::double * 1.3 + 0.16::double * 0.16 / 12) / x + 8 * pi() * pow(1.3::double, 4) * 4 / (0.16::double * 0.16 * x * x)), 4) as error from tr where x > 1",
+    "thompson": _P + " select video, traj_idx, frame, round(sqrt((1.3::double * 1.3 + 0.16::double * 0.16 / 12) / x + 8 * pi() * pow(1.3::double, 4) * 4 / (0.16::double * 0.16 * x * x)), 4) as error from tr where x > 0",
 }

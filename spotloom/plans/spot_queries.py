@@ -16,17 +16,16 @@ RHO = (0.5, 0.1, 0.2)
 
 
 def _edges(s, d):
-    return graph.candidate_edges(A.loc(s, d), THRESHOLD, HORIZON)
+    return graph.candidate_edges(A.loc(s, d), THRESHOLD, HORIZON, False)
 
 
 def _norm(s, d):
     return image.normalise(image.pixels(A.frames(s, d)))
 
 
-def _scan(s):
-    """A scan made from closed forms: H drifts with the stride."""
-    t = s.range(1, 31).select(F.lit(0).alias("state"), F.col("id").cast("int").alias("delta"))
-    return t.withColumn("h", 0.5 + 0.2 * F.sin(F.col("delta") * 1.0)).withColumn("se", 0.01 * F.sqrt(F.col("delta").cast("double")))
+def _scan(s, d):
+    """H by state and stride. Trajectories have a point a day at most, of 30 days, so strides end at 14."""
+    return diffusion.grid_scan(A.traces(s, d), 14)
 
 
 def _table(s):
@@ -36,11 +35,25 @@ def _table(s):
 
 def _gauss(s, d):
     px = image.pixels(A.frames(s, d)).withColumn("v", F.exp("v"))
-    peaks = image.local_maxima(px, 2, "v").where("r between 2 and 5 and c between 2 and 5")
+    peaks = image.local_maxima(px, 2, "v")
     spots = peaks.select("video", "frame", (F.col("r") * 8 + F.col("c")).alias("spot_idx"), "r", "c")
     return image.fit_gaussians(px, spots, 5)
 
 
+def _peaks(s, d):
+    """The greatest pixels within one of each other, as spots."""
+    return image.local_maxima(image.pixels(A.frames(s, d)), 1, "v").select("video", "frame", (F.col("r") * 8 + F.col("c")).alias("spot_idx"), "r", "c")
+
+
+#: A plot of 100 by 50 pixels, and shapes drawn on it, which overlap.
+PLOT, BOUNDS = (100, 50), (0.0, 200.0, 0.0, 100.0)
+DRAWN = [{"type": "rect", "x1": 30.0, "y1": 17.0, "x2": 45.0, "y2": 33.0, "angle": 15.0}, {"type": "ellipse", "cx": 50.0, "cy": 25.0, "rx": 20.0, "ry": 12.0, "angle": 30.0}, {"type": "line", "p1": [0.0, 22.0], "p2": [99.0, 30.0]}]
+
+
+def _classes(s, d, strict=False):
+    return classify.roi_classes(A.traces(s, d), DRAWN, BOUNDS, *PLOT, strict)
+
+
 QUERIES = {
     "frame_spine": lambda s, d: graph.frame_spine(A.loc(s, d)),
     "mean_particles": lambda s, d: graph.mean_particles(A.loc(s, d)).select("video", F.round("mean_particles", 6).alias("mean_particles"), "frames"),
@@ -50,7 +63,7 @@ QUERIES = {
     "candidate_edges_grid": lambda s, d: graph.candidate_edges(A.loc(s, d), THRESHOLD, HORIZON, True).groupBy("video", "gap").agg(F.count(F.lit(1)).alias("n")),
     "orphans": lambda s, d: graph.orphans(A.loc(s, d), _edges(s, d)),
     "terminal_nodes": lambda s, d: graph.terminal_nodes(A.loc(s, d), _edges(s, d)),
-    "two_hop_bypass": lambda s, d: graph.bypass_edges(_edges(s, d), A.loc(s, d).where("spot_idx = 0").select("video", "frame", "spot_idx"), A.loc(s, d), THRESHOLD).select("video", "src_frame", "src_idx", "dst_frame", "dst_idx", F.round("jump_d", 4).alias("jump_d")),
+    "two_hop_bypass": lambda s, d: graph.bypass_edges(_edges(s, d), A.loc(s, d).select("video", "frame", "spot_idx"), A.loc(s, d), THRESHOLD).select("video", "src_frame", "src_idx", "dst_frame", "dst_idx", F.round("jump_d", 4).alias("jump_d")),
     "components": lambda s, d: graph.components(A.loc(s, d), _edges(s, d)),
     "emp_pdf": lambda s, d: graph.empirical_pdf(graph.adjacent_pairs(A.loc(s, d))).select("bin", "n", F.round("density", 6).alias("density")),
     "jump_threshold": lambda s, d: graph.jump_threshold(graph.adjacent_pairs(A.loc(s, d)), "dx").select(F.round("threshold", 3).alias("threshold")),
@@ -64,9 +77,9 @@ QUERIES = {
     "local_max": lambda s, d: image.local_maxima(image.pixels(A.frames(s, d)), 1, "v").select("frame", "r", "c", F.round("v", 5).alias("v")),
     "nms_detect": lambda s, d: image.suppress(image.local_maxima(image.likelihood(_norm(s, d), image.background(_norm(s, d)), 3, 1.0)).where("score > 0.05")),
     "gaussian_fit": _gauss,
-    "annulus_stats": lambda s, d: image.annulus_stats(image.pixels(A.frames(s, d)), s.createDataFrame([(0, 3.0, 4.0), (1, 4.5, 2.0)], "spot_idx int, r double, c double").join(A.frames(s, d).select("video", "frame"))).select("frame", "spot_idx", F.round("bg_median", 5).alias("bg_median"), F.round("bg_var", 5).alias("bg_var"), F.round("integrated_flux", 4).alias("integrated_flux")),
+    "annulus_stats": lambda s, d: image.annulus_stats(image.pixels(A.frames(s, d)), _peaks(s, d)).select("frame", "spot_idx", F.round("bg_median", 5).alias("bg_median"), F.round("bg_var", 5).alias("bg_var"), F.round("integrated_flux", 4).alias("integrated_flux")),
     "density_raster": lambda s, d: image.density_raster(A.loc(s, d), 10.0).select("video", "r", "c", F.round("density", 4).alias("density")),
-    "kde_log_k": lambda s, d: image.kde_1d(A.diffusion(s, d).withColumn("lk", F.log10("K")), "lk", 50, -1.0, 1.0).select("id", F.round("density", 5).alias("density")),
+    "kde_log_k": lambda s, d: image.kde_1d(A.diffusion(s, d).where("K > 0").withColumn("lk", F.log10("K")), "lk").select("id", F.round("density", 5).alias("density")),
     "ratio_multi_delta": lambda s, d: diffusion.stride_ratios(A.traces(s, d), 3).groupBy("delta", "axis", "state").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("ratio"), 4).alias("median")),
     "ratio_counts": lambda s, d: diffusion.ratio_counts(A.traces(s, d), 8),
     "h_grid_mle": lambda s, d: diffusion.h_grid(diffusion.stride_ratios(A.traces(s, d), 2)).select("state", "delta", F.round("h", 4).alias("h"), F.round("ll", 2).alias("ll"), "n"),
@@ -75,14 +88,17 @@ QUERIES = {
     "rho_gamma_table": lambda s, d: _table(s).select("h", "delta", F.round(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO), 6).alias("rho"), F.round(C.gamma(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO)), 6).alias("gamma"), F.round(C.rho_free(F.col("h")), 6).alias("free")),
     "crlb_table": lambda s, d: _table(s).select("h", "delta", F.round(C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), *RHO), F.col("n")), 4).alias("se")),
     "trust_bands": lambda s, d: diffusion.trust(_table(s), *RHO, 0.05).select("h", "delta", F.round("spread", 4).alias("spread"), "trusted"),
-    "precision_map": lambda s, d: _table(s).where("delta = 1").crossJoin(s.range(1, 6).select(F.pow(F.lit(10.0), "id").alias("n_eff"))).select("h", "n_eff", F.round(C.sigma_crlb(C.fisher_h(F.col("h"), 1.0, *RHO), F.col("n_eff")), 4).alias("se")),
-    "z_pairs": lambda s, d: diffusion.z_pairs(_scan(s)).select("state", "d1", "d2", F.round("z", 5).alias("z")),
-    "bh_fdr": lambda s, d: diffusion.benjamini_hochberg(diffusion.z_pairs(_scan(s)).withColumn("p", F.round(F.exp(-F.abs("z")), 9) + (F.col("d1") * 100 + F.col("d2")) * 1e-12), "p", ["state"]).groupBy("state", "rejected").agg(F.count(F.lit(1)).alias("n")),
-    "delta_drift": lambda s, d: diffusion.delta_drift(_scan(s)).select("state", F.round("max_drift", 6).alias("max_drift"), "at_delta", F.col("over2").cast("bigint").alias("over2"), F.col("over3").cast("bigint").alias("over3")),
+    "precision_map": lambda s, d: diffusion.precision_map(_table(s).select("h", "delta"), *RHO).select("h", "delta", "i", F.round("n_eff", 3).alias("n_eff"), F.round("se", 4).alias("se")),
+    "z_pairs": lambda s, d: diffusion.z_pairs(_scan(s, d)).select("state", "d1", "d2", F.round("z", 3).alias("z"), F.round("p", 5).alias("p")),
+    "bh_fdr": lambda s, d: diffusion.z_summary(diffusion.z_pairs(_scan(s, d))).select("state", "pairs", "over2", "over3", F.round("max_z", 3).alias("max_z"), "significant", F.round("p_cut", 5).alias("p_cut")),
+    "delta_drift": lambda s, d: diffusion.delta_drift(_scan(s, d)).select("state", F.round("max_z", 3).alias("max_z"), F.round("max_drift", 6).alias("max_drift"), "at_delta", "over2", "over3", "n"),
+    "trusted_strides": lambda s, d: diffusion.trusted_by_all(diffusion.trust(_scan(s, d).where("h between 0.05 and 0.95"), *RHO, 0.05)),
     "roi_rect_ellipse": lambda s, d: classify.roi_by_mean(A.traces(s, d), SHAPES),
+    "roi_classes": lambda s, d: _classes(s, d),
+    "roi_classes_strict": lambda s, d: _classes(s, d, True),
     "roi_strict": lambda s, d: classify.roi_strict(A.traces(s, d), SHAPES),
-    "region_stats": lambda s, d: (lambda x: x.select("roi", "n", *[F.round(c, 4).alias(c) for c in x.columns if c not in ("roi", "n")]))(classify.region_stats(classify.roi_by_mean(A.traces(s, d), SHAPES).join(A.diffusion(s, d), ["video", "traj_idx"], "left"), "roi")),
-    "region_semi_join": lambda s, d: classify.members(A.traces(s, d), classify.roi_by_mean(A.traces(s, d), SHAPES), "roi", 0).select("video", "traj_idx", "frame"),
+    "region_stats": lambda s, d: (lambda x: x.select("roi", "n", *[F.round(c, 4).alias(c) for c in x.columns if c not in ("roi", "n")]))(classify.region_stats(_classes(s, d).join(A.diffusion(s, d), ["video", "traj_idx"], "left"), "roi")),
+    "region_semi_join": lambda s, d: classify.members(A.traces(s, d), _classes(s, d), "roi", 0).select("video", "traj_idx", "frame"),
     "hk_gate": lambda s, d: classify.gate(A.diffusion(s, d), F.col("H") * 100, (F.log10("K") + 2) * 25, classify.wall_grid([[(50, 0), (50, 99)]], 100, 100), "K"),
 }
 
@@ -123,7 +139,6 @@ _H = "h::double"
 _SLOPE = f"(({_sql_rho('h + 1e-5', 'delta::double')} - {_sql_rho('h - 1e-5', 'delta::double')}) / 2e-5)"
 _SE = f"1 / sqrt({_SLOPE} * {_SLOPE} / (2 * (1 - pow({_sql_rho('h', 'delta::double')}, 2)) * (1 - pow({_sql_rho('h', 'delta::double')}, 2))) * n)"
 _NOISE = f"(({_sql_rho('h', 'delta::double', s=(RHO[2] ** 2 + 1e-6) ** 0.5)} - {_sql_rho('h', 'delta::double', s=(RHO[2] ** 2 - 1e-6) ** 0.5)}) / 2e-6)"
-_SC = "with sc as (select 0 as state, cast(i as integer) as delta, 0.5 + 0.2 * sin(i::double) as h, 0.01 * sqrt(i::double) as se from range(1, 31) t(i)), z as (select a.state, a.delta as d1, b.delta as d2, (a.h - b.h) / sqrt(a.se * a.se + b.se * b.se) as z from sc a join sc b on a.delta < b.delta)"
 _TR = "with " + A.TRACES_SQL
 
 
@@ -140,8 +155,32 @@ def _sql_label(x, y):
 
 _ROI = _TR + f", ce as (select video, traj_idx, avg(x) as cx, avg(y) as cy from tr group by 1, 2), ro as (select video, traj_idx, {_sql_label('cx', 'cy')} as roi from ce)"
 _RATIO = _TR + ", ra as (" + " union all ".join(
-    f"select state, {n} as delta, '{c}' as axis, (lead({c}, {2 * n}) over w - lead({c}, {n}) over w) / nullif(lead({c}, {n}) over w - {c}, 0) as ratio from tr window w as (partition by video, traj_idx order by frame)" for n in (1, 2, 3) for c in "xy"
+    f"select state, {n} as delta, '{c}' as axis, (lead({c}, {2 * n}) over w - lead({c}, {n}) over w) / nullif(lead({c}, {n}) over w - {c}, 0) as ratio from tr window w as (partition by video, traj_idx order by frame)" for n in range(1, 15) for c in "xy"
 ) + ")"
+_LL = _RATIO + """, g as (select 0.02 + i * (0.96::double / 48) as h from range(49) t(i)),
+  ll as (select state, delta, h, sum(0.5 * ln(1 - p * p) - ln(pi()) - ln((ratio - p) * (ratio - p) + 1 - p * p)) as ll, count(*) as n from (select *, (pow(2, 2 * h) - 2) / 2 as p from ra, g where ratio is not null) group by 1, 2, 3)"""
+_FREE = "(pow(2, 2 * ({0}) - 1) - 1)"
+_SLOPE_FREE = f"(({_FREE.format('h + 1e-5')} - {_FREE.format('h - 1e-5')}) / 2e-5)"
+_SC = _LL + f""", s0 as (select state, delta, max_by(h, ll) as h, max(n) as n from ll group by 1, 2 having max(n) >= 30),
+  sc as (select *, 1 / sqrt({_SLOPE_FREE} * {_SLOPE_FREE} / (2 * (1 - pow({_FREE.format("h")}, 2)) * (1 - pow({_FREE.format("h")}, 2))) * n) as se from s0),
+  z as (select a.state, a.delta as d1, b.delta as d2, (a.h - b.h) / sqrt(a.se * a.se + b.se * b.se) as z from sc a join sc b on a.state = b.state and a.delta < b.delta)"""
+_TAIL = repr(diffusion.ERFC[-1])
+for _c in reversed(diffusion.ERFC[:-1]):
+    _TAIL = f"({_TAIL} * t + {_c!r}::double)"
+_ZP = _SC + f", zt as (select *, abs(z) / sqrt(2) as a, 1 / (1 + 0.5::double * abs(z) / sqrt(2)) as t from z), zp as (select state, d1, d2, z, t * exp({_TAIL} - a * a) as p from zt)"
+
+_GRID = classify.shape_grid(DRAWN, *PLOT).ravel().tolist()
+
+
+def _sql_part(x, y):
+    at = lambda v, a, b, n: f"cast(greatest(0, least({n - 1}, round_even(({v} - {a}) / ({b} - {a}) * {n}, 0))) as integer)"
+    return f"{_GRID}[{at(y, *BOUNDS[2:], PLOT[1])} * {PLOT[0]} + {at(x, *BOUNDS[:2], PLOT[0])} + 1]"
+
+
+_RC = _TR + f""", ce as (select video, traj_idx, avg(x) as cx, avg(y) as cy from tr group by 1, 2), l0 as (select *, {_sql_part("cx", "cy")} as l from ce),
+  cl as (select video, traj_idx, cx, l from l0), p0 as (select video, traj_idx, x, {_sql_part("x", "y")} as l from tr),
+  st as (select video, traj_idx, avg(x) as cx, case when min(l) = max(l) then min(l) else -1 end as l from p0 group by 1, 2)"""
+_CLASSES = _RC.replace("{", "{{").replace("}", "}}") + ", rk as (select l, dense_rank() over (order by avg(cx), l) - 1 as rank from {0} where l >= 0 group by 1) select video, traj_idx, cast(coalesce(rank, {0}.l) as integer) as roi from {0} left join rk using (l)"
 
 SQL = {
     "frame_spine": _L + """, en as (select video, min(frame) as a, max(frame) as b from loc group by 1), sp as (select video, cast(unnest(range(a, b + 1)) as integer) as frame from en)
@@ -154,13 +193,13 @@ SQL = {
     "orphans": _E + " select video, frame, spot_idx from loc except (select video, src_frame, src_idx from e union select video, dst_frame, dst_idx from e)",
     "terminal_nodes": _E + " select video, frame, spot_idx from loc except select video, src_frame, src_idx from e",
     "two_hop_bypass": _E + f""" select distinct a.video, a.src_frame, a.src_idx, b.dst_frame, b.dst_idx, round(sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2), 4) as jump_d
-  from e a join e b on a.video = b.video and a.dst_frame = b.src_frame and a.dst_idx = b.src_idx and a.dst_idx = 0
+  from e a join e b on a.video = b.video and a.dst_frame = b.src_frame and a.dst_idx = b.src_idx
   join loc u on u.video = a.video and u.frame = a.src_frame and u.spot_idx = a.src_idx join loc v on v.video = b.video and v.frame = b.dst_frame and v.spot_idx = b.dst_idx
   where sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2) < {THRESHOLD}""",
-    "components": _E.replace("with ", "with recursive ", 1) + """, n2 as (select video, src_frame::bigint * 1048576 + src_idx as u, dst_frame::bigint * 1048576 + dst_idx as v from e),
+    "components": _E.replace("with ", "with recursive ", 1) + """, n2 as (select video, src_frame::bigint * 2147483648 + src_idx as u, dst_frame::bigint * 2147483648 + dst_idx as v from e),
   bo as (select * from n2 union select video, v, u from n2), re as (select video, u, v from bo union select re.video, re.u, bo.v from re join bo on re.video = bo.video and re.v = bo.u)
-  select loc.video, loc.frame, spot_idx, least(loc.frame::bigint * 1048576 + spot_idx, coalesce(m, loc.frame::bigint * 1048576 + spot_idx)) as component
-  from loc left join (select video, u, min(v) as m from re group by 1, 2) q on q.video = loc.video and q.u = loc.frame::bigint * 1048576 + spot_idx""",
+  select loc.video, loc.frame, spot_idx, least(loc.frame::bigint * 2147483648 + spot_idx, coalesce(m, loc.frame::bigint * 2147483648 + spot_idx)) as component
+  from loc left join (select video, u, min(v) as m from re group by 1, 2) q on q.video = loc.video and q.u = loc.frame::bigint * 2147483648 + spot_idx""",
     "emp_pdf": _PAIRS + ", h as (select cast(least(floor(d / (20.0::double / 39)), 38) as integer) as bin, count(*) as n from ap where d between 0 and 20 group by 1) select bin, n, round(n / (sum(n) over () * (20.0::double / 39)), 6) as density from h",
     "jump_threshold": _PAIRS + ", q as (select quantile_cont(dx, 0.025) as lo, quantile_cont(dx, 0.975) as hi from ap) select round(greatest(5.0, 2.5 * stddev_pop(dx)), 3) as threshold from ap, q where dx between lo and hi",
     "frame_minmax_norm": _N + " select frame, r, c, round(v, 5) as v from nm",
@@ -171,29 +210,33 @@ SQL = {
   pr as (select li.frame, r, c, pow(greatest(0, vg / {_GG!r}), 2) * {_GG!r} / (case when abs(25 * mu * mu - 25 * mu) < 1e-12 then 1e-12 else 25 * mu * mu - 25 * mu end) as ratio from li join bs using (frame))
   select frame, r, c, round(12.5 * ln(1 - case when ratio >= 1 then 1 - 1e-7 else ratio end), 4) as score from pr""",
     "local_max": _F + " select a.frame, a.r, a.c, round(a.v, 5) as v from px a join px b on a.frame = b.frame and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.frame, a.r, a.c, a.v having a.v = max(b.v)",
-    "annulus_stats": _F + """, sp(spot_idx, r0, c0) as (values (0, 3, 4), (1, 5, 2)), m as (select frame, spot_idx, v, (r - r0) ** 2 + (c - c0) ** 2 > 9 as ring, abs(r - r0) <= 3 and abs(c - c0) <= 3 as core from px, sp where abs(r - r0) <= 6 and abs(c - c0) <= 6)
+    "annulus_stats": _F + """, sp as (select a.frame, a.r * 8 + a.c as spot_idx, a.r as r0, a.c as c0 from px a join px b on a.frame = b.frame and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.frame, a.r, a.c, a.v having a.v = max(b.v)),
+  m as (select frame, spot_idx, v, (r - r0) ** 2 + (c - c0) ** 2 > 9 as ring, abs(r - r0) <= 3 and abs(c - c0) <= 3 as core from px join sp using (frame) where abs(r - r0) <= 6 and abs(c - c0) <= 6)
   select frame, spot_idx, round(median(v) filter (ring), 5) as bg_median, round(var_pop(v) filter (ring), 5) as bg_var, round(sum(v) filter (core) - count(*) filter (core) * (median(v) filter (ring)), 4) as integrated_flux from m group by 1, 2 having count(*) filter (ring) >= 10""",
     "density_raster": _L + ", o as (select unnest([-1, 0, 1]) as d) select video, cast(floor(y / 10) + a.d as bigint) as r, cast(floor(x / 10) + b.d as bigint) as c, round(sum(exp(-(a.d * a.d + b.d * b.d) / 2.0::double)), 4) as density from loc, o a, o b group by 1, 2, 3",
-    "kde_log_k": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + """, l as (select log10(K) as lk from df), s as (select stddev_samp(lk) * pow(count(*), -0.2) as bw, count(*) as n from l)
-  select i as id, round(sum(exp(-0.5 * pow((-1.0 + i * (2.0::double / 49) - lk) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 5) as density from l, s, range(50) t(i) group by 1""",
-    "ratio_multi_delta": _RATIO + " select delta, axis, state, count(*) as n, round(median(ratio), 4) as median from ra where ratio is not null group by 1, 2, 3",
+    "kde_log_k": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + """, l as (select log10(K) as lk from df where K > 0), s as (select stddev_samp(lk) * pow(count(*), -0.2) as bw, count(*) as n, min(lk) as lo, max(lk) as hi from l)
+  select cast(i as integer) as id, round(sum(exp(-0.5 * pow((lo + i * ((hi - lo) / 199) - lk) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 5) as density from l, s, range(200) t(i) group by 1""",
+    "ratio_multi_delta": _RATIO + " select delta, axis, state, count(*) as n, round(median(ratio), 4) as median from ra where ratio is not null and delta <= 3 group by 1, 2, 3",
     "ratio_counts": _TR + " select cast(d as integer) as delta, cast(sum(2 * greatest(t - 2 * d, 0)) as bigint) as n from (select count(*) as t from tr group by video, traj_idx), range(1, 9) q(d) group by 1",
-    "h_grid_mle": _RATIO + """, g as (select 0.02 + i * (0.96::double / 48) as h from range(49) t(i)),
-  ll as (select state, delta, h, sum(0.5 * ln(1 - p * p) - ln(pi()) - ln((ratio - p) * (ratio - p) + 1 - p * p)) as ll, count(*) as n from (select *, (pow(2, 2 * h) - 2) / 2 as p from ra, g where ratio is not null and delta <= 2) group by 1, 2, 3)
-  select state, delta, round(max_by(h, ll), 4) as h, round(max(ll), 2) as ll, max(n) as n from ll group by 1, 2 having max(n) >= 5""",
+    "h_grid_mle": _LL + """
+  select state, delta, round(max_by(h, ll), 4) as h, round(max(ll), 2) as ll, max(n) as n from ll where delta <= 2 group by 1, 2 having max(n) >= 5""",
     "snr_by_state": _TR + """, q as (select state, pow(lead(x) over w - x, 2) as x2, pow(lead(y) over w - y, 2) as y2 from tr window w as (partition by video, traj_idx order by frame))
   select state, round((avg(x2) + avg(y2)) / 2 + 1e-9, 3) as msd1, 0.08000000000000002::double as floor, round((avg(x2) + avg(y2)) / 2 / 0.08, 2) as snr from q where x2 is not null group by 1""",
     "rho_gamma_table": _T + f" select h, delta, round({_sql_rho('h', 'delta::double')}, 6) as rho, round(sqrt(1 - pow({_sql_rho('h', 'delta::double')}, 2)), 6) as gamma, round(pow(2, 2 * h - 1) - 1, 6) as free from tb",
     "crlb_table": _T + f" select h, delta, round({_SE}, 4) as se from tb",
     "trust_bands": _T + f" select h, delta, round(abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r}, 4) as spread, {_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05 as trusted from tb",
-    "precision_map": _T.replace("1000 as n", "unnest([10, 100, 1000, 10000, 100000]) as n").replace("unnest([1, 2, 5, 10])", "1") + f" select h, n::double as n_eff, round({_SE}, 4) as se from tb",
-    "z_pairs": _SC + " select state, d1, d2, round(z, 5) as z from z",
-    "bh_fdr": _SC + """, p as (select state, round(exp(-abs(z)), 9) + (d1 * 100 + d2) * 1e-12 as p from z), r as (select *, row_number() over (order by p) as r, count(*) over () as m from p),
-  c as (select *, max(case when p <= 0.05 * r / m then r end) over () as cut from r) select state, coalesce(r <= cut, false) as rejected, count(*) as n from c group by 1, 2""",
-    "delta_drift": _SC + """, s as (select state, delta, lead(h) over (order by delta) - h as dh, sqrt(pow(lead(se) over (order by delta), 2) + se * se) as f from sc)
-  select state, round(max(abs(dh)), 6) as max_drift, max_by(delta, abs(dh)) as at_delta, cast(count(*) filter (abs(dh) > 2 * f) as bigint) as over2, cast(count(*) filter (abs(dh) > 3 * f) as bigint) as over3 from s where dh is not null group by 1""",
+    "precision_map": _T.replace("1000 as n", "1 as one").replace("tb as (", "tb0 as (") + ", tb as (select h, delta, cast(i as integer) as i, pow(10::double, 1 + i * (4::double / 119)) as n from tb0, range(120) q(i))" + f" select h, delta, i, round(n, 3) as n_eff, round({_SE}, 4) as se from tb",
+    "z_pairs": _ZP + " select state, d1, d2, round(z, 3) as z, round(p, 5) as p from zp",
+    "bh_fdr": _ZP + """, r as (select *, row_number() over (partition by state order by p) as r, count(*) over (partition by state) as m from zp),
+  c as (select *, coalesce(r <= max(case when p <= 0.05 * r / m then r end) over (partition by state), false) as rejected from r)
+  select state, count(*) as pairs, count(*) filter (abs(z) > 2) as over2, count(*) filter (abs(z) > 3) as over3, round(max_by(z, abs(z)), 3) as max_z, count(*) filter (rejected) as significant, round(coalesce(max(p) filter (rejected), 0), 5) as p_cut from c group by 1""",
+    "delta_drift": _SC + """, s as (select state, delta, h - lag(h) over w as dh, sqrt(pow(lag(se) over w, 2) + se * se) as f from sc window w as (partition by state order by delta)), q as (select *, abs(dh) / f as z from s where dh is not null and f > 0)
+  select state, round(max(z), 3) as max_z, round(max_by(dh, z), 6) as max_drift, max_by(delta, z) as at_delta, count(*) filter (z > 2) as over2, count(*) filter (z > 3) as over3, count(*) as n from q group by 1""",
+    "trusted_strides": _SC + f" select delta, bool_and({_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05) as trusted from sc where h between 0.05 and 0.95 group by 1",
+    "roi_classes": _CLASSES.format("cl"),
+    "roi_classes_strict": _CLASSES.format("st"),
     "roi_rect_ellipse": _ROI + " select * from ro",
     "roi_strict": _TR + f", p as (select video, traj_idx, {_sql_label('x', 'y')} as l from tr) select video, traj_idx, case when min(l) = max(l) then min(l) else -1 end as roi from p group by 1, 2",
-    "region_stats": _ROI + ", " + A.DIFFUSION_SQL + " select roi, count(*) as n, " + ", ".join(f"round({f}({c}), 4) as {n}_{c.lower()}" for c in "HK" for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + ", round(100.0 * count(*) / sum(count(*)) over (), 4) as percent from ro left join df using (video, traj_idx) group by 1",
-    "region_semi_join": _ROI + " select video, traj_idx, frame from tr join ro using (video, traj_idx) where roi = 0",
+    "region_stats": "with ro as (" + _CLASSES.format("cl") + "), " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + " select roi, count(*) as n, " + ", ".join(f"round({f}({c}), 4) as {n}_{c.lower()}" for c in "HK" for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + ", round(100.0 * count(*) / sum(count(*)) over (), 4) as percent from ro left join df using (video, traj_idx) group by 1",
+    "region_semi_join": "with ro as (" + _CLASSES.format("cl") + "), " + A.TRACES_SQL + " select video, traj_idx, frame from tr join ro using (video, traj_idx) where roi = 0",
 }

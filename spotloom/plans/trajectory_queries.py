@@ -37,11 +37,11 @@ QUERIES = {
     "disp_1d": lambda s, d: rounded(T.displacements_1d(_runs(s, d)).select("video", "traj_idx", "frame", "axis", "d"), "d"),
     "ratio_1d": lambda s, d: rounded(T.ratios_1d(_runs(s, d)).select("video", "traj_idx", "frame", "axis", "r"), "r"),
     "ratio_1d_strict": lambda s, d: T.ratios_1d(_runs(s, d), True).groupBy("state", "axis").agg(F.count(F.lit(1)).alias("n")),
-    "jump_hist": lambda s, d: rounded(T.histogram(T.kept_steps(_runs(s, d)), "jump", 40, 0.0, 400.0, ["state"]), "share"),
-    "duration_hist": lambda s, d: rounded(T.histogram(_summary(s, d), "duration", 12, 0.0, 12.0, ["state"]), "share"),
-    "polar_rose": lambda s, d: rounded(T.histogram(T.angles(_runs(s, d)).withColumn("polar", F.round("polar", 6)), "polar", 36, 0.0, 360.0, ["state"]), "share"),
+    "jump_hist": lambda s, d: rounded(T.histogram(T.kept_steps(_runs(s, d)), "jump", 50, ["state"]), "share"),
+    "duration_hist": lambda s, d: rounded(T.histogram(_summary(s, d), "duration", 200, ["state"]), "share"),
+    "polar_rose": lambda s, d: rounded(T.histogram(T.angles(_runs(s, d)).withColumn("polar", F.round("polar", 6)), "polar", 36, ["state"], ends=(0.0, 360.0)), "share"),
     "log_k_hist": lambda s, d: T.geometric_histogram(A.diffusion(s, d), "K", 20, ["video"]).select("video", "bin", "n"),
-    "density_1d": lambda s, d: T.histogram(T.displacements_1d(_runs(s, d)), "d", 80, -400.0, 400.0, ["axis"], True).select("axis", "bin", "n", F.round("share", 7).alias("share")),
+    "density_1d": lambda s, d: T.histogram(T.displacements_1d(_runs(s, d)), "d", 80, ["axis"], True).select("axis", "bin", "n", F.round("share", 7).alias("share")),
     "ea_sd": lambda s, d: T.ea_sd(_runs(s, d)).select("state", F.col("t").cast("int").alias("t"), F.round(F.col("mean") + TIE, 3).alias("mean"), F.round(F.col("std") + TIE, 3).alias("std"), "n"),
     "ea_sd_strict": lambda s, d: T.ea_sd(_runs(s, d), 1.0, True).select("state", "t", F.round(F.col("mean") + TIE, 3).alias("mean"), "n"),
     "ta_ea_sd": lambda s, d: T.ta_ea_sd(_runs(s, d)).select("state", "lag", F.round(F.col("mean") + TIE, 3).alias("mean"), F.round(F.col("std") + TIE, 3).alias("std"), "n"),
@@ -81,9 +81,9 @@ _RATIOS = _STEPS + ", q as (select video, traj_idx, run, state, frame, pframe, '
 _D1 = _STEPS + ", d as (select video, traj_idx, state, frame, 'x' as axis, dx as d from k union all select video, traj_idx, state, frame, 'y', dy from k)"
 
 
-def _hist(frm, col, bins, lo, hi, by):
-    w = (hi - lo) / bins
-    return f"h as (select {by}, cast(least(floor(({col} - ({lo})) / {w}), {bins - 1}) as integer) as bin, count(*) as n from {frm} where {col} between {lo} and {hi} group by 1, 2)"
+def _hist(frm, col, bins, by, ends=None):
+    said = f"select min({col})::double as lo, max({col})::double as hi from {frm}" if ends is None else f"select {ends[0]}::double as lo, {ends[1]}::double as hi"
+    return f"en as ({said}), h as (select {by}, cast(least(floor(({col} - lo) / ((hi - lo) / {bins})), {bins - 1}) as integer) as bin, count(*) as n, any_value((hi - lo) / {bins}) as w from {frm}, en where {col} is not null group by 1, 2)"
 
 
 _SHARE = "select state, bin, n, round(100.0 * n / sum(n) over (partition by state), 4) as share from h"
@@ -105,12 +105,12 @@ SQL = {
     "disp_1d": _D1 + " select video, traj_idx, frame, axis, round(d, 4) as d from d",
     "ratio_1d": _RATIOS + " select video, traj_idx, frame, axis, round(r, 4) as r from q where r is not null",
     "ratio_1d_strict": _RATIOS + " select state, axis, count(*) as n from q where r is not null and frame = pframe + 1 group by 1, 2",
-    "jump_hist": _STEPS + ", " + _hist("k", "jump", 40, 0.0, 400.0, "state") + _SHARE.replace("select", " select", 1),
-    "duration_hist": _SUMMARY + ", " + _hist("sm", "duration", 12, 0.0, 12.0, "state") + " " + _SHARE,
-    "polar_rose": _ANGLES + ", a2 as (select state, round(polar, 6) as polar from a), " + _hist("a2", "polar", 36, 0.0, 360.0, "state") + " " + _SHARE,
+    "jump_hist": _STEPS + ", " + _hist("k", "jump", 50, "state") + _SHARE.replace("select", " select", 1),
+    "duration_hist": _SUMMARY + ", " + _hist("sm", "duration", 200, "state") + " " + _SHARE,
+    "polar_rose": _ANGLES + ", a2 as (select state, round(polar, 6) as polar from a), " + _hist("a2", "polar", 36, "state", (0, 360)) + " " + _SHARE,
     "log_k_hist": _P + ", " + A.DIFFUSION_SQL + """, e as (select min(K) as lo, max(K) as hi from df where K > 0)
   select video, cast(least(floor(ln(K / lo) / ln(hi / lo) * 20), 19) as integer) as bin, count(*) as n from df, e where K > 0 group by 1, 2""",
-    "density_1d": _D1 + ", " + _hist("d", "d", 80, -400.0, 400.0, "axis") + " select axis, bin, n, round(n / (sum(n) over (partition by axis) * 10.0), 7) as share from h",
+    "density_1d": _D1 + ", " + _hist("d", "d", 80, "axis") + " select axis, bin, n, round(n / (sum(n) over (partition by axis) * w), 7) as share from h",
     "ea_sd": _SHIFT + """, g as (select video, traj_idx, run, list(t) as there from o group by 1, 2, 3),
   q as (select state, pos as t, (rx * rx + ry * ry) / 4 as sd from o join g using (video, traj_idx, run) where pos < last and list_contains(there, pos))
   select state, cast(t as integer) as t, round(avg(sd) + 1e-9, 3) as mean, round(stddev_pop(sd) + 1e-9, 3) as std, count(*) as n from q group by 1, 2""",

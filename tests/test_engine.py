@@ -169,7 +169,7 @@ def test_links_are_chains_whatever_the_groups(spark):
     rng = np.random.default_rng(5)
     rows = [("v", f, i, float(x), float(y), 0.0) for f in range(1, 31) for i, (x, y) in enumerate(rng.uniform(0, 60, (12, 2)))]
     loc = spark.createDataFrame(rows, "video string, frame int, spot_idx int, x double, y double, z double")
-    one, many = (sorted(map(tuple, linking.link(loc, 6.0, 2, groups=g).collect())) for g in (1, 16))
+    one, many = (sorted(map(tuple, linking.link(loc, 6.0, 2, together=n).collect())) for n in (1 << 30, 3))
     assert one == many and len({(r[2], r[3], r[4]) for r in one}) == len(one)
     by = {}
     for r in one:
