@@ -118,17 +118,28 @@ def suppress(peaks: DataFrame, k: int = 2) -> DataFrame:
     return peaks.groupBy("video", F.floor(F.col("frame") / 64)).applyInPandas(run, peaks.schema)
 
 
-def annulus_stats(px: DataFrame, spots: DataFrame, inner: float = 3.0, outer: int = 6, window: int = 7, least: int = 10) -> DataFrame:
-    """Median and variance of the pixels around each spot (r, c), and its flux above the median."""
-    half = window // 2
-    offs = _offsets(px, [(i, j, i * i + j * j > inner * inner, abs(i) <= half and abs(j) <= half) for i in range(-outer, outer + 1) for j in range(-outer, outer + 1)], "dr int, dc int, ring boolean, core boolean")
-    around = spots.select(*FRAME, "spot_idx", F.round("r").cast("int").alias("r0"), F.round("c").cast("int").alias("c0")).join(offs)
+def annulus_stats(px: DataFrame, spots: DataFrame, inner: float = 3.0, outer: int = 6, window: int = 7, least: int = 10, even: bool = False) -> DataFrame:
+    """Median and variance of the pixels around each spot (r, c), and its flux above the median.
+
+    Spots with a window_size have one of their own. Halves are rounded away from zero or, if even, to the even neighbour.
+    """
+    offs = _offsets(px, [(i, j, i * i + j * j > inner * inner, max(abs(i), abs(j))) for i in range(-outer, outer + 1) for j in range(-outer, outer + 1)], "dr int, dc int, ring boolean, far int")
+    near = F.rint if even else F.round
+    half = F.floor(F.coalesce(F.col("window_size"), F.lit(window)) / 2) if "window_size" in spots.columns else F.lit(window // 2)
+    around = spots.select(*FRAME, "spot_idx", near("r").cast("int").alias("r0"), near("c").cast("int").alias("c0"), half.alias("half")).join(offs).withColumn("core", F.col("far") <= F.col("half"))
     met = around.withColumn("r", F.col("r0") + F.col("dr")).withColumn("c", F.col("c0") + F.col("dc")).join(px, PIXEL)
     ring = F.when(F.col("ring"), F.col("v"))
     out = met.groupBy(*FRAME, "spot_idx").agg(F.median(ring).alias("bg_median"), F.var_pop(ring).alias("bg_var"), F.count(ring).alias("n"), F.sum(F.when(F.col("core"), F.col("v"))).alias("s"), F.count(F.when(F.col("core"), 1)).alias("m")).where(F.col("n") >= least)
     return out.select(*FRAME, "spot_idx", "bg_median", "bg_var", (F.col("s") - F.col("m") * F.col("bg_median")).alias("integrated_flux"))
 
 
+def recomputed_background(frames: DataFrame, loc: DataFrame) -> DataFrame:
+    """loc with bg_median, bg_var and integrated_flux from the raw pictures, without taking other spots out; null with too few pixels."""
+    spots = loc.select(*FRAME, "spot_idx", F.col("y").alias("r"), F.col("x").alias("c"), "window_size")
+    stats = annulus_stats(pixels(frames), spots, even=True)
+    return loc.drop("bg_median", "bg_var", "integrated_flux").join(stats, [*FRAME, "spot_idx"], "left").select(*loc.columns)
+
+
 def fit_gaussians(px: DataFrame, spots: DataFrame, window: int = 7, repeat: int = 5) -> DataFrame:
     """Iterated weighted least squares of log intensity on a quadratic around each spot: centre, variances, amplitude.
 

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from spotloom.sources.stacks import UnsupportedImage
+from spotloom.sources.stacks import UnsupportedImage, read_images
 
 # Fixed values of the format: the magic number of a chunk, that of the older JPEG 2000 files, the signature before the
 # chunk map's place, and the names of chunks and attributes.
 MAGIC, JPEG2000 = 0x0ABECEDA, b"\x00\x00\x00\x0cjP  "
 SIGNATURE = b"ND2 CHUNK MAP SIGNATURE 0000001!"
 ATTRIBUTES, PICTURE = b"ImageAttributesLV!", b"ImageDataSeq|"
+CALIBRATION, TEXT = b"ImageCalibrationLV|0!", b"ImageTextInfoLV!"
 
 
 def chunk(data: memoryview, at: int) -> memoryview:
@@ -73,19 +74,34 @@ def frames(content: bytes) -> Iterator[np.ndarray]:
         yield np.ascontiguousarray(rows).view(kind).reshape(height, width, channels)[:, :, 0].astype(np.float32)
 
 
+def _stamps(data: memoryview, where: dict[bytes, int], most: int = 50) -> list[float]:
+    names = sorted((int(n[len(PICTURE) : -1]), at) for n, at in where.items() if n.startswith(PICTURE) and n[len(PICTURE) : -1].isdigit())
+    return [struct.unpack_from("<d", chunk(data, at))[0] for _, at in names[:most]]
+
+
+def metadata(content: bytes) -> dict[str, float]:
+    """Pixel size in µm, frame interval and exposure in seconds, and their ratio R where it lies in (0, 1.01].
+
+    The interval is the median of the positive steps between the time stamps of the first fifty pictures.
+    """
+    data, out = memoryview(content), {}
+    where = chunk_map(data)
+    for name, at in where.items():
+        body = bytes(chunk(data, at)) if name.startswith(CALIBRATION) else b""
+        found = body.find("dCalibration\0".encode("utf-16-le"))
+        if found >= 0 and (size := struct.unpack_from("<d", body, found + 26)[0]) > 0:
+            out["pixel_um"] = size
+    steps = np.diff(_stamps(data, where))
+    if (steps > 0).any():
+        out["interval"] = float(np.median(steps[steps > 0])) / 1000
+    text = "\n".join(bytes(chunk(data, at)).decode("utf-16-le", "replace") for name, at in where.items() if name.startswith(TEXT))
+    if m := re.search(r"Exposure[^\n]*?:\s*([\d.]+)\s*(ms|s)\b", text, re.I):
+        out["exposure"] = float(m[1]) / (1000 if m[2].lower() == "ms" else 1)
+    if out.get("interval") and out.get("exposure") and (r := out["exposure"] / out["interval"]) <= 1.01:
+        out["R"] = min(1.0, r)
+    return out
+
+
 def read_stacks(spark: SparkSession, path: str, glob: str = "*.{nd2,ND2}") -> DataFrame:
-    """Frames (video, frame from 1, height, width, pixels) of all ND2 files under a path, with error set for unreadable ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for where, content in zip(batch.path, batch.content, strict=True):
-                row = {"video": [where.rsplit("/", 1)[-1].rsplit(".", 1)[0]]}
-                try:
-                    for i, a in enumerate(frames(content), 1):
-                        yield pd.DataFrame(row | {"frame": [i], "height": [a.shape[0]], "width": [a.shape[1]], "pixels": [a.ravel()], "error": [None]})
-                except (UnsupportedImage, struct.error, ValueError) as e:
-                    yield pd.DataFrame(row | {"frame": [0], "height": [0], "width": [0], "pixels": [np.zeros(0, np.float32)], "error": [str(e) or type(e).__name__]})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return files.mapInPandas(run, "video string, frame int, height int, width int, pixels array<float>, error string")
+    """stacks.read_images of ND2 files."""
+    return read_images(spark, path, glob)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "video string, traj_idx bigint, frame int, x double, y double, z double"
-_STATE = "next bigint, last_frame int, ids array<bigint>, frames array<int>, xs array<double>, ys array<double>, zs array<double>"
+_STATE = "next bigint, last_frame int, ids array<bigint>, frames array<int>, xs array<double>, ys array<double>, zs array<double>, wframes array<int>, wxs array<double>, wys array<double>, wzs array<double>"
 
 
 def advance(open_: list[tuple], spots: np.ndarray, frame: int, threshold: float, horizon: int, next_id: int) -> tuple[list[tuple], list[int], int]:
@@ -31,28 +31,39 @@ def advance(open_: list[tuple], spots: np.ndarray, frame: int, threshold: float,
     return [o for o in live if o is not None] + [(names[j], frame, *spots[j].tolist()) for j in range(len(spots))], names, next_id
 
 
-def link_stream(loc: DataFrame, threshold: float, horizon: int = 3) -> DataFrame:
+def link_stream(loc: DataFrame, threshold: float, horizon: int = 3, patience_ms: int | None = None) -> DataFrame:
     """Points with their trajectory's number, for a stream of spots (video, frame, x, y, z).
 
-    Frames of a video must arrive in order between micro-batches; spots of frames that were already linked are late
-    and dropped. State holds the open ends of a video alone, those that ended within the horizon.
+    A frame is linked once a spot of a later frame of its video comes, so a frame may be split over micro-batches and
+    frames may come out of order within one; the newest frame waits. With patience_ms, a video without news for so long
+    has its waiting frame linked too, and its state goes. Spots of frames that were already linked are late and dropped.
+    State holds the open ends of a video, those that ended within the horizon, and the spots that wait.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_id, last, open_ = 0, -(1 << 31), []
+        next_id, last, open_, waiting = 0, -(1 << 31), [], []
         if state.exists:
-            next_id, last, ids, frames, xs, ys, zs = state.get
-            open_ = list(zip(ids, frames, xs, ys, zs, strict=True))
-        spots = pd.concat(batches)
+            next_id, last, ids, frames, xs, ys, zs, *held = state.get
+            open_, waiting = list(zip(ids, frames, xs, ys, zs, strict=True)), list(zip(*held, strict=True))
+        over = state.hasTimedOut
+        spots = pd.concat([pd.DataFrame(waiting, columns=["frame", "x", "y", "z"]), *([] if over else [b[["frame", "x", "y", "z"]] for b in batches])])
         spots = spots[spots.frame > last].sort_values(["frame", "x", "y"], kind="stable")
+        newest = None if over or not len(spots) else spots.frame.max()
         out = []
-        for frame, g in spots.groupby("frame"):
+        for frame, g in spots[spots.frame != newest].groupby("frame"):
             open_, names, next_id = advance(open_, g[["x", "y", "z"]].to_numpy(float), int(frame), threshold, horizon, next_id)
             out.append(pd.DataFrame({"video": key[0], "traj_idx": names, "frame": int(frame), "x": g.x.to_numpy(), "y": g.y.to_numpy(), "z": g.z.to_numpy()}))
             last = int(frame)
-        cells = [list(c) for c in zip(*open_, strict=True)] if open_ else [[] for _ in range(5)]
-        state.update((next_id, last, *cells))
+        waiting = spots[spots.frame == newest][["frame", "x", "y", "z"]]
+        if over:
+            state.remove()
+        else:
+            cells = [list(c) for c in zip(*open_, strict=True)] if open_ else [[] for _ in range(5)]
+            state.update((next_id, last, *cells, [int(f) for f in waiting.frame], *(waiting[c].astype(float).tolist() for c in "xyz")))
+            if patience_ms is not None:
+                state.setTimeoutDuration(patience_ms)
         if out:
             yield pd.concat(out)
 
-    return loc.groupBy("video").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return loc.groupBy("video").applyInPandasWithState(step, OUT, _STATE, "append", timeout)

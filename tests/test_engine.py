@@ -183,9 +183,12 @@ def test_streaming_links_like_batches(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "video string, frame int, x double, y double, z double"
     rows = [("v", f, 1.0 * f, 0.0, 0.0) for f in range(1, 9) if f != 4] + [("v", f, 50.0, 1.0 * f, 0.0) for f in range(1, 9)]
-    for part, frames in enumerate((range(1, 5), range(5, 9))):
-        spark.createDataFrame([r for r in rows if r[1] in frames], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).parquet(src)
+    rows.append(("v", 90, 0.0, 0.0, 0.0))  # a later frame, so that the eighth is complete
+    split = [r for r in rows if r[1] == 5]  # half of the fifth comes in the second micro-batch
+    first, second = [r for r in rows if r[1] < 5] + split[:1], split[1:] + [r for r in rows if r[1] > 5]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(src)
     q = linker.link_stream(stream, 3.0, 2).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {}
@@ -355,6 +358,7 @@ def test_nd2_frames(spark, tmp_path):
 
     stack = np.random.default_rng(0).integers(0, 60000, (12, 5, 7, 2)).astype("<u2")
     out, places = bytearray(), {}
+    size = b"\x06\x0d" + "dCalibration\0".encode("utf-16-le") + struct.pack("<d", 0.16)
 
     def put(name, body):
         places[name] = len(out)
@@ -365,11 +369,14 @@ def test_nd2_frames(spark, tmp_path):
     for i, page in enumerate(stack):
         rows = b"".join(r.tobytes().ljust(32, b"\0") for r in page)
         put(nd2.PICTURE + str(i).encode() + b"!", struct.pack("<d", 10.0 * i) + rows)
+    put(nd2.CALIBRATION, size)
+    put(nd2.TEXT, "Camera\nExposure: 8 ms\n".encode("utf-16-le"))
     body = b"".join(n + struct.pack("<QQ", at, 0) for n, at in places.items()) + nd2.SIGNATURE + bytes(8)
     at = len(out)
     put(b"ND2 FILEMAP SIGNATURE NAME 0001!", body)
     out.extend(nd2.SIGNATURE + struct.pack("<Q", at))
     (tmp_path / "a.nd2").write_bytes(bytes(out))
+    assert nd2.metadata(bytes(out)) == pytest.approx({"pixel_um": 0.16, "interval": 0.01, "exposure": 0.008, "R": 0.8})
     (tmp_path / "b.nd2").write_bytes(nd2.JPEG2000 + bytes(100))
     got = nd2.read_stacks(spark, str(tmp_path)).collect()
     assert [r.error for r in got if r.video == "b"][0].startswith("ND2 of the older")
