@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions.geometry import rotate
+from spotloom.operators.quantiles import medians
 from spotloom.schemas import TRAJ
 
 
@@ -165,8 +166,8 @@ def gate(points: DataFrame, x: Column, y: Column, labels: np.ndarray, order_by:
 
 def region_stats(labelled: DataFrame, label: str) -> DataFrame:
     """Count, percent, and mean, median, deviation and range of H and K by region."""
-    cells = [f(c).alias(f"{n}_{c.lower()}") for c in ("H", "K") for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
-    out = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *cells)
+    cells = [f(c).alias(f"{n}_{c.lower()}") for c in ("H", "K") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    out = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *cells).join(medians(labelled, [label], "H", "K"), label, "left")
     return out.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row a region
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spotloom.operators import diffusion
 from spotloom.operators import trajectory as T
+from spotloom.operators.quantiles import quantiles
 
 _ERF = np.vectorize(math.erf, otypes=[float])
 
@@ -59,8 +60,9 @@ def sigma_loc(loc: DataFrame) -> DataFrame:
 
 def pooled_sigma(with_sigma: DataFrame) -> DataFrame:
     """Median and root mean square of finite errors by video; 0 without any."""
-    s = F.when(~F.isnan("sigma_loc"), F.col("sigma_loc"))
-    return with_sigma.groupBy("video").agg(F.coalesce(F.median(s), F.lit(0.0)).alias("median"), F.coalesce(F.sqrt(F.avg(s * s)), F.lit(0.0)).alias("rms"))
+    s = with_sigma.select("video", F.when(~F.isnan("sigma_loc"), F.col("sigma_loc")).alias("s"))
+    rms = s.groupBy("video").agg(F.coalesce(F.sqrt(F.avg(F.col("s") * F.col("s"))), F.lit(0.0)).alias("rms"))
+    return rms.join(quantiles(s, "s", ["video"], median=0.5), "video", "left").select("video", F.coalesce("median", F.lit(0.0)).alias("median"), "rms")
 
 
 def _j_var(h: float, d: np.ndarray, r: float) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry as G
+from spotloom.operators.quantiles import quantiles
 
 NODE = ["video", "frame", "spot_idx"]
 
@@ -138,6 +139,18 @@ def components(loc: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, ["video", "n"], "left").select("video", "frame", "spot_idx", F.coalesce("c", "n").alias("component"))
 
 
+def match_paths(before: DataFrame, after: DataFrame) -> DataFrame:
+    """For each path (video, path, nodes) of after, the first path of before, of two nodes at least, whose last node it holds; null for none."""
+    ends = before.where(F.size("nodes") > 1).select("video", F.col("path").alias("prev"), F.element_at("nodes", -1).alias("node"))
+    return after.select("video", "path", F.explode("nodes").alias("node")).join(ends, ["video", "node"], "left").groupBy("video", "path").agg(F.min("prev").alias("prev"))
+
+
+def shared_frames(loc: DataFrame) -> DataFrame:
+    """Frames that have spots in every video."""
+    videos = loc.agg(F.count_distinct("video").alias("_all"))  # one row
+    return loc.select("video", "frame").distinct().groupBy("frame").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(videos)).where("_n = _all").select("frame")
+
+
 def empirical_pdf(distances: DataFrame, column: str = "d", bins: int = 39, top: float = 20.0) -> DataFrame:
     """Density of distances over equal bins of [0, top], the last closed."""
     width = top / bins
@@ -148,6 +161,6 @@ def empirical_pdf(distances: DataFrame, column: str = "d", bins: int = 39, top:
 
 def jump_threshold(distances: DataFrame, column: str = "d") -> DataFrame:
     """Two and a half standard deviations of distances between their 2.5 and 97.5 percentiles, five at least."""
-    ends = distances.agg(F.percentile(column, F.lit(0.025)).alias("lo"), F.percentile(column, F.lit(0.975)).alias("hi"))
+    ends = quantiles(distances, column, [], lo=0.025, hi=0.975)
     inner = distances.join(F.broadcast(ends)).where(F.col(column).between(F.col("lo"), F.col("hi")))  # a single row
     return inner.agg(F.greatest(F.lit(5.0), 2.5 * F.stddev_pop(column)).alias("threshold"))

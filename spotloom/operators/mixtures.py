@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.operators.estimators import mixture_1d
+from spotloom.operators.quantiles import quantiles
 
 #: Prior of the means (precision of a mean at 0), floor added to variances, change of the bound at which rounds end.
 MEAN_PRECISION, FLOOR, TOL = 1e7, 1e-6, 1e-3
@@ -101,9 +102,10 @@ def gmm_jump_threshold(jumps: DataFrame, axes: tuple[str, ...] = ("dx", "dy"), b
     """
     total = 0.0
     for c in axes:
-        lo, hi = jumps.agg(F.percentile(c, F.lit(0.025)), F.percentile(c, F.lit(0.975))).first()
-        if lo is None or hi <= lo:
+        ends = quantiles(jumps, c, [], lo=0.025, hi=0.975).first()
+        if ends is None or ends.hi <= ends.lo:
             continue
+        lo, hi = ends.lo, ends.hi
         at = F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
         inner = jumps.where((F.col(c) > lo) & (F.col(c) < hi))
         rows = inner.groupBy(F.pmod(F.xxhash64(*inner.columns), F.lit(folds)).cast("int").alias("fold"), at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()

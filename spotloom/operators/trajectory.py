@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry as G
+from spotloom.operators.quantiles import medians, quantiles
 from spotloom.schemas import TRAJ
 
 RUN = [*TRAJ, "run"]
@@ -97,10 +98,10 @@ def with_diffusion(traces: DataFrame, diffusion: DataFrame) -> DataFrame:
 
 
 def state_summary(summary: DataFrame) -> DataFrame:
-    return summary.groupBy("video", "state").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("mean_jump").alias("mean_jump"), F.avg("duration").alias("mean_duration"),
-        F.avg("H").alias("mean_h"), F.median("H").alias("median_h"), F.avg("K").alias("mean_k"), F.median("K").alias("median_k"),
-    )
+    """Counts, means and medians by video and state."""
+    by = ["video", "state"]
+    means = summary.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(n) for c, n in (("mean_jump", "mean_jump"), ("duration", "mean_duration"), ("H", "mean_h"), ("K", "mean_k"))])
+    return means.join(medians(summary, by, "H", "K"), by, "left").select(*by, "n", "mean_jump", "mean_duration", "mean_h", "median_h", "mean_k", "median_k")
 
 
 def population_share(summary: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def geometric_histogram(values: DataFrame, column: str, bins: int, by: list[str]
 
 
 def percentiles(values: DataFrame, column: str, *q: float) -> DataFrame:
-    return values.agg(*[F.percentile(column, F.lit(p)).alias(f"p{str(p).replace('.', '_')}") for p in q])
+    return quantiles(values, column, [], **{f"p{str(p).replace('.', '_')}": p for p in q})
 
 
 def viz_value(summary: DataFrame, by_h: bool, least_points: int) -> Column:

@@ -50,6 +50,10 @@ PLOT, BOUNDS = (100, 50), (0.0, 200.0, 0.0, 100.0)
 DRAWN = [{"type": "rect", "x1": 30.0, "y1": 17.0, "x2": 45.0, "y2": 33.0, "angle": 15.0}, {"type": "ellipse", "cx": 50.0, "cy": 25.0, "rx": 20.0, "ry": 12.0, "angle": 30.0}, {"type": "line", "p1": [0.0, 22.0], "p2": [99.0, 30.0]}]
 
 
+#: Lines that divide the plane of H and log10 K, in pixels of a plot of 100 by 100.
+GATE = [[(50, 0), (50, 99)], [(0, 40), (99, 48)]]
+
+
 def _classes(s, d, strict=False):
     return classify.roi_classes(A.traces(s, d), DRAWN, BOUNDS, *PLOT, strict)
 
@@ -99,7 +103,7 @@ QUERIES = {
     "roi_strict": lambda s, d: classify.roi_strict(A.traces(s, d), SHAPES),
     "region_stats": lambda s, d: (lambda x: x.select("roi", "n", *[F.round(c, 4).alias(c) for c in x.columns if c not in ("roi", "n")]))(classify.region_stats(_classes(s, d).join(A.diffusion(s, d), ["video", "traj_idx"], "left"), "roi")),
     "region_semi_join": lambda s, d: classify.members(A.traces(s, d), _classes(s, d), "roi", 0).select("video", "traj_idx", "frame"),
-    "hk_gate": lambda s, d: classify.gate(A.diffusion(s, d), F.col("H") * 100, (F.log10("K") + 2) * 25, classify.wall_grid([[(50, 0), (50, 99)]], 100, 100), "K"),
+    "hk_gate": lambda s, d: classify.gate(A.diffusion(s, d), F.col("H") * 100, (F.log10("K") + 2) * 25, classify.wall_grid(GATE, 100, 100), "K").select("video", "traj_idx", F.round("H", 6).alias("H"), F.round("K", 6).alias("K"), "region"),
 }
 
 _L = "with " + A.LOC_SQL
@@ -233,6 +237,9 @@ SQL = {
     "delta_drift": _SC + """, s as (select state, delta, h - lag(h) over w as dh, sqrt(pow(lag(se) over w, 2) + se * se) as f from sc window w as (partition by state order by delta)), q as (select *, abs(dh) / f as z from s where dh is not null and f > 0)
   select state, round(max(z), 3) as max_z, round(max_by(dh, z), 6) as max_drift, max_by(delta, z) as at_delta, count(*) filter (z > 2) as over2, count(*) filter (z > 3) as over3, count(*) as n from q group by 1""",
     "trusted_strides": _SC + f" select delta, bool_and({_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05) as trusted from sc where h between 0.05 and 0.95 group by 1",
+    "hk_gate": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + f""", p as (select *, cast(floor((log10(K) + 2) * 25) as integer) as gy, cast(floor(H * 100) as integer) as gx from df),
+  l as (select *, case when gx between 0 and 99 and gy between 0 and 99 then {classify.wall_grid(GATE, 100, 100).ravel().tolist()}[gy * 100 + gx + 1] end as l from p),
+  r as (select l, dense_rank() over (order by avg(K)) - 1 as region from l where l is not null group by 1) select video, traj_idx, round(H, 6) as H, round(K, 6) as K, cast(region as integer) as region from l left join r using (l)""",
     "roi_classes": _CLASSES.format("cl"),
     "roi_classes_strict": _CLASSES.format("st"),
     "roi_rect_ellipse": _ROI + " select * from ro",
