@@ -84,7 +84,7 @@ def fit_curve(lag: np.ndarray, msd: np.ndarray, sem: np.ndarray, sigma: float, r
     grid = np.linspace(0.01, 0.99, 99)
     i = int(np.argmin([loss(h) for h in grid]))
     h = diffusion.golden(loss, grid[max(0, i - 1)], grid[min(98, i + 1)])
-    return best_k(h), h
+    return best_k(h), float(h)
 
 
 def fit_k(traces: DataFrame, sigma: float = 0.0, r: float = 0.0, lags: int = 10) -> tuple[float, float] | None:

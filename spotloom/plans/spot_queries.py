@@ -103,7 +103,7 @@ QUERIES = {
     "roi_strict": lambda s, d: classify.roi_strict(A.traces(s, d), SHAPES),
     "region_stats": lambda s, d: (lambda x: x.select("roi", "n", *[F.round(c, 4).alias(c) for c in x.columns if c not in ("roi", "n")]))(classify.region_stats(_classes(s, d).join(A.diffusion(s, d), ["video", "traj_idx"], "left"), "roi")),
     "region_semi_join": lambda s, d: classify.members(A.traces(s, d), _classes(s, d), "roi", 0).select("video", "traj_idx", "frame"),
-    "hk_gate": lambda s, d: classify.gate(A.diffusion(s, d), F.col("H") * 100, (F.log10("K") + 2) * 25, classify.wall_grid(GATE, 100, 100), "K").select("video", "traj_idx", F.round("H", 6).alias("H"), F.round("K", 6).alias("K"), "region"),
+    "hk_gate": lambda s, d: classify.gate(A.diffusion(s, d), F.col("H") * 100, (F.log10("K") + 2) * 25, classify.wall_grid(GATE, 100, 100), "K").select("video", "traj_idx", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("H", "K")], "region"),
 }
 
 _L = "with " + A.LOC_SQL
@@ -239,7 +239,7 @@ SQL = {
     "trusted_strides": _SC + f" select delta, bool_and({_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05) as trusted from sc where h between 0.05 and 0.95 group by 1",
     "hk_gate": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + f""", p as (select *, cast(floor((log10(K) + 2) * 25) as integer) as gy, cast(floor(H * 100) as integer) as gx from df),
   l as (select *, case when gx between 0 and 99 and gy between 0 and 99 then {classify.wall_grid(GATE, 100, 100).ravel().tolist()}[gy * 100 + gx + 1] end as l from p),
-  r as (select l, dense_rank() over (order by avg(K)) - 1 as region from l where l is not null group by 1) select video, traj_idx, round(H, 6) as H, round(K, 6) as K, cast(region as integer) as region from l left join r using (l)""",
+  r as (select l, dense_rank() over (order by avg(K)) - 1 as region from l where l is not null group by 1) select video, traj_idx, round(H + 1e-9, 6) as H, round(K + 1e-9, 6) as K, cast(region as integer) as region from l left join r using (l)""",
     "roi_classes": _CLASSES.format("cl"),
     "roi_classes_strict": _CLASSES.format("st"),
     "roi_rect_ellipse": _ROI + " select * from ro",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spotloom import schemas
 from spotloom.functions import cauchy, tracking
-from spotloom.operators import classify, diffusion, estimators, graph, image, linking, mixtures
+from spotloom.operators import classify, diffusion, estimators, graph, image, linking, mixtures, quantiles
 from spotloom.operators import trajectory as T
 from spotloom.plans import adapters, catalogue
 from spotloom.sources import shapes, stacks, tables
@@ -125,6 +125,24 @@ def test_precision_of_spots_follows_photons(spark):
     assert estimators.pooled_sigma(estimators.sigma_loc(loc)).first().median == pytest.approx((got[1] + got[2]) / 2)
 
 
+@pytest.mark.parametrize("whole", [quantiles.WHOLE, 0])
+def test_quantiles_equal_exact_ones(spark, monkeypatch, whole):
+    monkeypatch.setattr(quantiles, "WHOLE", whole)
+    rng = np.random.default_rng(8)
+    n = 30_000 if whole else 150_000
+    groups = {"few": rng.normal(size=7), "one": np.array([3.5]), "ties": rng.integers(0, 4, n).astype(float), "flat": np.full(n, 2.0), "many": rng.lognormal(0, 2, n)}
+    if not whole:
+        groups = {k: v for k, v in groups.items() if len(v) == n}  # bounds are for large groups
+    rows = pd.DataFrame({"g": np.repeat(list(groups), [len(v) for v in groups.values()]), "v": np.concatenate(list(groups.values()))})
+    named = {"a": 0.0, "b": 0.003, "c": 0.5, "d": 0.9987, "e": 1.0}
+    df = spark.createDataFrame(rows).repartition(5)
+    got = {r.g: r for r in quantiles.quantiles(df, "v", ["g"], **named).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert np.allclose([got[g][k] for k in named], np.quantile(v, list(named.values())), rtol=1e-12), g
+    assert quantiles.quantiles(df.limit(0), "v", ["g"], m=0.5).isEmpty()
+
+
 def test_mixture_finds_two_groups():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, 3000), rng.normal(8, 2, 1000)])
