@@ -61,7 +61,8 @@ def rendered(spark: SparkSession, sf_dir: str, side: int = 48) -> DataFrame:
             yield pd.DataFrame({"video": b.video, "frame": b.frame, "height": side, "width": side, "pixels": out})
 
     # Spots are few bytes and pictures many, so their number of tasks is set by cores rather than by the size of spots.
-    spots = spots.repartition(spark.sparkContext.defaultParallelism, "video", "frame")
+    # A hash of the keys, as a repartition by the keys themselves counts as done by the aggregation, whose tasks are merged.
+    spots = spots.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("video", "frame"))
     return schemas.conform(spots.mapInPandas(run, "video string, frame int, height int, width int, pixels array<float>"), schemas.FRAMES)
 
 
