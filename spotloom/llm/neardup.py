@@ -193,7 +193,9 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         ones = early.join(lone.select(F.col("s").alias("node")), "node", "left_semi").select("h", F.col("node").alias("s"), F.col("at").alias("sat"), F.col("n").alias("sn"), F.col("c").alias("sc"))
         least = percent * (F.col("n") + F.col("sn"))
         enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("sn") - F.col("sat")) >= least
-        return early.join(ones, "h").where((F.col("c") != F.col("sc")) & enough)
+        # A shingle may be early in very many documents, which are dealt into parts.
+        dealt, hot = frames.deal(early, "h", scratch, "hot-shingles")
+        return dealt.join(frames.copies(ones, "h", hot), ["h", "_part"]).where((F.col("c") != F.col("sc")) & enough)
 
     def explode_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), shingle)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spotloom.llm import bytewords as W
-from spotloom.llm import decontaminate, language_id, media, neardup, packing, quality, secrets, sharding, toxicity, warc
+from spotloom.llm import decontaminate, frames, language_id, media, neardup, packing, quality, secrets, sharding, toxicity, warc
 from spotloom.llm.frames import pick, table
 
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -74,8 +74,11 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
         assert got == brute_components(rows, k, 80)
 
 
-def test_near_copies_that_are_linked_in_chains(spark):
+@pytest.mark.parametrize("hot", [frames.HOT_ROWS, 2])
+def test_near_copies_that_are_linked_in_chains(spark, monkeypatch, hot):
     """Copies of one text with more and more edits: only neighbours in the chain are similar enough."""
+    whole = frames.hot_keys
+    monkeypatch.setattr(frames, "hot_keys", lambda counts, n="n", **_: whole(counts, n, hot))
     words = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(60):
