@@ -138,18 +138,23 @@ def hot_keys(counts: DataFrame, n: str = "n", rows: int = HOT_ROWS, most: int =
     return counts.where(F.col(n) >= rows).withColumn("parts", F.ceil(F.col(n) / rows).cast("int"))
 
 
-def deal(left: DataFrame, key: str, scratch: Scratch, name: str, rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """left with _part, which deals the rows of each hot key into parts of about `rows`, and the hot keys.
+def deal(left: DataFrame, key: str, scratch: Scratch, name: str, rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """left with _part, which deals the rows of each hot key into parts of about `rows`, and the hot keys, None without any.
 
     A join on (key, _part) with `copies` then gives no task a hot key whole. left must read the same twice, as a
     written table does, and its rows must differ from each other.
     """
-    hot = scratch.keep(hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), rows=rows).select(F.col(key).alias("_hot"), "parts"), name)
+    often = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows)
+    hot = hot_keys(scratch.keep(often, name), rows=rows).select(F.col(key).alias("_hot"), "parts")  # counted once
+    if hot.isEmpty():
+        return left.withColumn("_part", F.lit(0)), None
     part = F.pmod(F.xxhash64(*left.columns), F.coalesce("parts", F.lit(1))).cast("int")
     return left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", part).drop("_hot", "parts"), hot
 
 
-def copies(right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def copies(right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """right with a copy of each row for every part of its key."""
+    if hot is None:
+        return right.withColumn("_part", F.lit(0))
     both = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     return both.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_hot", "parts")

@@ -77,8 +77,8 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
 @pytest.mark.parametrize("hot", [frames.HOT_ROWS, 2])
 def test_near_copies_that_are_linked_in_chains(spark, monkeypatch, hot):
     """Copies of one text with more and more edits: only neighbours in the chain are similar enough."""
-    whole = frames.hot_keys
-    monkeypatch.setattr(frames, "hot_keys", lambda counts, n="n", **_: whole(counts, n, hot))
+    whole = frames.deal
+    monkeypatch.setattr(frames, "deal", lambda left, key, scratch, name: whole(left, key, scratch, name, hot))
     words = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(60):
