@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zlib
@@ -117,7 +118,11 @@ class Scratch:
 
 @contextlib.contextmanager
 def tidy() -> Iterator[None]:
-    """Within, results must be used up; at the end, the tables that operators made in the meantime are removed."""
+    """Within, results must be used up; at the end, the tables that operators made in the meantime are removed.
+
+    Spark drops shuffles, broadcasts and generated classes when the driver's JVM finds that nothing refers to them, so
+    it is told to look.
+    """
     made: list[Scratch] = []
     _watched.append(made)
     try:
@@ -126,6 +131,9 @@ def tidy() -> Iterator[None]:
         _watched.remove(made)
         for scratch in made:
             scratch.close()
+        gc.collect()
+        for session in {scratch.spark for scratch in made}:
+            session._jvm.java.lang.System.gc()
 
 
 def hot_keys(counts: DataFrame, n: str = "n", rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
