@@ -139,15 +139,17 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "set", "first.id", "first.key", "n", "keys"), "classes")
 
     # Buckets with two members or more.
-    member = classes.select(F.explode("keys").alias("bucket"), "node", "n")
+    member = classes.select(F.explode(F.array_distinct("keys")).alias("bucket"), "node", "n")
     crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = scratch.keep(member.join(crowded, "bucket").distinct(), "shared")
+    shared = scratch.keep(member.join(crowded.hint("merge"), "bucket"), "shared")
     # A member with many others in its buckets is likely to be what they are copies of.
     near = shared.groupBy("node").agg(F.sum("c").alias("near"))
-    buckets = scratch.keep(shared.drop("c").join(near, "node"), "buckets")
+    buckets = scratch.keep(shared.drop("c").join(near.hint("merge"), "node"), "buckets")
     # The live ones grow with the input, so they are never broadcast; the plan is alike at every size.
-    live = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("key").alias("k"))
-    texts = df.join(live.hint("merge"), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k"))).select("node", "text").distinct()
+    live = classes.join(near.select("node").hint("merge"), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("key").alias("k"))
+    texts = df.join(live.hint("merge"), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")))
+    # Equal texts of one id are side by side after the join, so making them one takes no other shuffle.
+    texts = texts.groupBy("i", "k").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
     texts = scratch.keep(texts, "texts")
 
     def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,7 +166,7 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     def confirmed(pairs: DataFrame, step: int) -> DataFrame:
         """The pairs whose full sets are similar enough. A star may have very many members, which are dealt into parts."""
         dealt, hot = frames.deal(pairs, "b", scratch, f"hot-{step}")
-        one = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        one = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
         stars = frames.copies(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b", hot)
         two = one.join(stars.hint("merge"), ["b", "_part"]).select("a", "b", "ta", "tb")
         return frames.map_batches(two, confirm, "a bigint, b bigint")
@@ -174,7 +176,7 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         fit = fit.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("b").alias("b"))
         for done in compared:
-            fit = fit.join(done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
+            fit = fit.join(done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).hint("merge"), ["lo", "hi"], "left_anti")
         return fit.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
 
     def reachable(around: DataFrame, lone: DataFrame) -> DataFrame:
@@ -184,18 +186,18 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         common so early in both that what follows it suffices for the similarity. Only shingles that early are
         joined. Rare ones are mostly a document's own, so frequent ones seldom come into it.
         """
-        spread = frames.map_batches(texts.join(around.select("node"), "node", "left_semi"), explode_shingles, "node bigint, h bigint")
+        spread = frames.map_batches(texts.join(around.select("node").hint("merge"), "node", "left_semi"), explode_shingles, "node bigint, h bigint")
         spread = scratch.keep(spread, "spread")
         counts = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
         place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
-        early = spread.join(counts, "h").withColumn("at", place).join(around, "node")
+        early = spread.join(counts.hint("merge"), "h").withColumn("at", place).join(around.hint("merge"), "node")
         early = scratch.keep(early.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))).select("h", "node", "at", "n", "c"), "early")
-        ones = early.join(lone.select(F.col("s").alias("node")), "node", "left_semi").select("h", F.col("node").alias("s"), F.col("at").alias("sat"), F.col("n").alias("sn"), F.col("c").alias("sc"))
+        ones = early.join(lone.select(F.col("s").alias("node")).hint("merge"), "node", "left_semi").select("h", F.col("node").alias("s"), F.col("at").alias("sat"), F.col("n").alias("sn"), F.col("c").alias("sc"))
         least = percent * (F.col("n") + F.col("sn"))
         enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("sn") - F.col("sat")) >= least
         # A shingle may be early in very many documents, which are dealt into parts.
         dealt, hot = frames.deal(early, "h", scratch, "hot-shingles")
-        return dealt.join(frames.copies(ones, "h", hot), ["h", "_part"]).where((F.col("c") != F.col("sc")) & enough)
+        return dealt.join(frames.copies(ones, "h", hot).hint("merge"), ["h", "_part"]).where((F.col("c") != F.col("sc")) & enough)
 
     def explode_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), shingle)
@@ -203,47 +205,45 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["node", "h"])
 
     compared: list[DataFrame] = []
-    linked: list[DataFrame] = []
     labels = None
     for step in range(STAR_ROUNDS + 1):
         at = buckets.withColumn("c", F.col("node"))
         if labels is not None:
-            at = buckets.join(labels.select(F.col("id").alias("node"), F.col("component").alias("c0")), "node", "left").withColumn("c", F.coalesce("c0", "node"))
+            at = buckets.join(labels.select(F.col("id").alias("node"), F.col("component").alias("c0")).hint("merge"), "node", "left").withColumn("c", F.coalesce("c0", "node"))
         sizes = at.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
         most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "k", F.col("x.c").alias("top"))
         if step < STAR_ROUNDS:
             # The star of a bucket: the member with most others around it; in later rounds a weighted draw.
             order = F.col("near") if step == 0 else F.col("near") * (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) + 1)
             star = at.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), F.col("node").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))).alias("x")).select("bucket", "x.s", "x.sn", "x.sc")
-            pairs = at.join(star, "bucket").where("c <> sc")
+            pairs = at.join(star.hint("merge"), "bucket").where("c <> sc")
         else:
             # A pair in a bucket of two has been compared.
-            lone = at.join(most.where("k > 2"), "bucket").where("c <> top").select("bucket", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))
+            lone = at.join(most.where("k > 2").hint("merge"), "bucket").where("c <> top").select("bucket", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))
             lone = scratch.keep(lone, "lone")
             if lone.isEmpty():
                 break
-            around = at.join(lone.select("bucket").distinct(), "bucket", "left_semi").select("node", "n", "c").distinct()
+            around = at.join(lone.select("bucket").distinct().hint("merge"), "bucket", "left_semi").select("node", "n", "c").distinct()
             pairs = reachable(scratch.keep(around, "around"), lone.drop("bucket").distinct())
         pairs = pairs.select(F.col("node").alias("a"), F.col("s").alias("b"), F.col("n").alias("na"), F.col("sn").alias("nb"))
         tried = scratch.keep(sized(pairs), f"tried-{step}")
         if tried.isEmpty():
             continue
         compared.append(tried)
-        linked.append(scratch.keep(confirmed(tried, step), f"linked-{step}"))
-        edges = linked[0]
-        for more in linked[1:]:
-            edges = edges.unionByName(more)
+        edges = scratch.keep(confirmed(tried, step), f"linked-{step}")
+        if labels is not None:
+            edges = edges.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = scratch.keep(components(edges, scratch, f"parts-{step}"), f"labels-{step}")
 
     named = classes.select("node", "set", F.col("id").alias("rep"))
     if labels is None:
         named = named.withColumn("component", F.col("rep"))
     else:
-        named = scratch.keep(named.join(labels.select(F.col("id").alias("node"), F.col("component").alias("top")), "node", "left"), "named")
+        named = scratch.keep(named.join(labels.select(F.col("id").alias("node"), F.col("component").alias("top")).hint("merge"), "node", "left"), "named")
         first = named.where("top is not null").groupBy("top").agg(F.min("rep").alias("least"))
-        named = named.join(first, "top", "left").select("set", F.coalesce("least", "rep").alias("component"))
+        named = named.join(first.hint("merge"), "top", "left").select("set", F.coalesce("least", "rep").alias("component"))
     named = named.select(F.col("set").alias("s"), "component")
-    found = signed.drop("keys").join(named, F.col("set") == F.col("s"), "left")
+    found = signed.drop("keys").join(named.hint("merge"), F.col("set") == F.col("s"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = found.select("id", "key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
     out = frames.Scratch(spark).keep(out, "result")
