@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.llm import decontaminate, frames, language_id, media, neardup, packing, quality, secrets, sharding, toxicity, warc
+from spotloom.llm import decontaminate, divergence, frames, language_id, media, neardup, packing, quality, secrets, sharding, toxicity, urlfilter, warc
 from spotloom.llm.frames import crc_mod, table
 
 
@@ -167,7 +167,50 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.map_batches(stored, one, schema)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverge(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all({_FOLD.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct r) as docs from w group by 1, 2, 3),
+k as (select lang, term, sum(n) as lang_n from c group by 1, 2 having sum(docs) >= 3),
+v as (select lang, count(*) as v, sum(lang_n) as lang_size from k group by 1),
+g as (select distinct lang, source from d),
+s as (select lang, source, sum(n) as size from c join k using (lang, term) group by 1, 2),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(size, 0) + v) as p,
+  1 + (1000000000::hugeint * (lang_n + 1)) // (lang_size + v) as q
+  from g join k using (lang) join v using (lang) left join s on s.lang = g.lang and s.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // q)::bigint as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200
+"""
+
+
+#: The rules on urls: host, path, verdict.
+URL_RULES = "('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
+
+
+def op12_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), spark.sql(f"select * from values {URL_RULES} as rules(host, path, verdict)"))
+
+
+OP12_SQL = rf"""
+with rules(rhost, rpath, rverdict) as (values {URL_RULES}),
+u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, {_FOLD.format("regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1)")} as host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) as path from u),
+f as (select page_id, rhost || rpath as rule, rverdict from h join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  qualify row_number() over (partition by page_id order by length(rhost || rpath) desc, length(rhost) desc) = 1)
+select h.page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from h left join f on h.page_id = f.page_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_warc, op3_toxicity, op4_packing, op5_decontaminate, op6_secrets, op7_sharding, op8_quality, op9_neardup, op10_media)
+    f.__name__: f for f in (op1_language_id, op2_warc, op3_toxicity, op4_packing, op5_decontaminate, op6_secrets, op7_sharding, op8_quality, op9_neardup, op10_media, op11_divergence, op12_urlfilter)
 }
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_sharding": OP7_SQL, "op9_neardup": OP9_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_sharding": OP7_SQL, "op9_neardup": OP9_SQL, "op11_divergence": OP11_SQL, "op12_urlfilter": OP12_SQL}
