@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry as G
+from spotloom.operators.linking import numbered
 from spotloom.operators.quantiles import medians, quantiles
 from spotloom.schemas import TRAJ
 
@@ -150,6 +151,20 @@ def pooled_msd(traces: DataFrame, lags: int = 5, pixel_um: float = 1.0) -> DataF
     return p.groupBy("lag").agg(F.avg("sd").alias("msd"), (F.stddev_samp("sd") / F.sqrt(F.count(F.lit(1)))).alias("sem"), F.count(F.lit(1)).alias("n"))
 
 
+def lag_pairs(traces: DataFrame, lags: int = 1, pixel_um: float = 1.0) -> DataFrame:
+    """Displacements over 1 to `lags` points at the later one: dframe, dx, dy and jump, in µm, of trajectories of any length.
+
+    Points are numbered over ranges and meet by number, so a trajectory that holds much of all rows is in no task whole, as
+    it would be in a window.
+    """
+    keyed = traces.withColumn("_key", F.struct(*TRAJ))
+    n = numbered(keyed.select("_key", *TRAJ, "state", "frame", "x", "y"), "_key", "frame", "_n")
+    before = n.select("_key", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), F.col("_n").alias("_from"), F.col("frame").alias("_f"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    d = lambda c, old: (F.col(c) - F.col(old)) * pixel_um
+    both = n.join(before.withColumn("_n", F.col("_from") + F.col("lag")), ["_key", "_n"])
+    return both.select(*TRAJ, "state", "frame", "lag", (F.col("frame") - F.col("_f")).alias("dframe"), d("x", "_x").alias("dx"), d("y", "_y").alias("dy")).withColumn("jump", G.norm(F.col("dx"), F.col("dy")))
+
+
 def max_duration(traces: DataFrame) -> DataFrame:
     return traces.groupBy(*TRAJ).agg((F.max("frame") - F.min("frame")).alias("d")).agg(F.max("d").alias("max_duration"))
 
