@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/spotloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, checkpointed in the shared folder."""
     spark = df.sparkSession
@@ -128,13 +136,45 @@ def node_code(frame: str, spot: str) -> Column:
     return F.col(frame).cast("bigint") * (1 << SPOT_BITS) + F.col(spot)
 
 
+#: Edges that a task joins into stars at a time.
+EDGES_TOGETHER = 100_000
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges from each node to the least that the edges at hand connect it to."""
+    parent: dict = {}
+
+    def find(n):
+        while parent.setdefault(n, n) != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    def out() -> pd.DataFrame:
+        stars = [(video, n, root) for video, n in parent if (root := find((video, n))[1]) != n]
+        return pd.DataFrame(stars, columns=["video", "u", "v"])
+
+    taken = 0
+    for batch in batches:
+        for video, u, v in zip(batch.video, batch.u, batch.v, strict=True):
+            a, b = find((video, u)), find((video, v))
+            parent[max(a, b)] = min(a, b)
+        taken += len(batch)
+        if taken >= EDGES_TOGETHER:
+            yield out()
+            parent, taken = {}, 0
+    yield out()
+
+
 def components(loc: DataFrame, edges: DataFrame) -> DataFrame:
     """Each spot with the smallest node, as frame * 2^31 + spot_idx, it is connected to.
 
-    Labels take the minimum around them and then that of their label's label, so the rounds follow the logarithm of
-    the longest path. Each round is checkpointed. Only spots with an edge take part; the others are their own component.
+    Edges are sorted by frame and joined into stars, some at a time, so that long paths become short. Then labels take the
+    minimum around them and that of their label's label, so the rounds follow the logarithm of what is left of the longest
+    path. Each round is checkpointed. Only spots with an edge take part; the others are their own component.
     """
     e = edges.select("video", node_code("src_frame", "src_idx").alias("u"), node_code("dst_frame", "dst_idx").alias("v"))
+    e = e.repartitionByRange("video", "u").mapInPandas(_stars, e.schema)
     both = cut_lineage(e.unionByName(e.select("video", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = both.groupBy("video", F.col("u").alias("n")).agg(F.least(F.col("u"), F.min("v")).alias("c"))
     labels = cut_lineage(labels)

@@ -161,7 +161,8 @@ def test_crowded_paths_equal_those_of_the_whole_list(monkeypatch, seed, horizon)
     tracks = []
     for crowd in (10**9, 0):
         monkeypatch.setattr(forecast, "CROWD", crowd)
-        tracks.append(forecast._Video(loc, 7.0, horizon, 2**horizon, lambda p: 1.3 if len(p) > 3 else 1.0, forecast.exponential_jumps()).run())
+        law = forecast.Law(7.0, horizon, 2**horizon, lambda p: 1.3 if len(p) > 3 else 1.0, forecast.exponential_jumps())
+        tracks.append(forecast._Video(loc, law).run())
     assert tracks[0] == tracks[1]
 
 
@@ -176,7 +177,7 @@ def test_tracker_cuts_a_path_at_an_abnormal_step(spark):
     zigzag = [(9, 0), (10, 0), (11, 0), (12, 0), (13, 0)]
     x = np.cumsum([4.5, 19.0, -0.3, 19.0, -0.3])
     far = pd.DataFrame([("v", f, 0, float(a), 0.0, 0.0) for (f, _), a in zip(zigzag, x, strict=True)], columns=loc.columns)
-    v = forecast._Video(pd.concat([loc.where("frame < 9").toPandas(), far]), 20.0, 3, 8, forecast.brownian, forecast.exponential_jumps())
+    v = forecast._Video(pd.concat([loc.where("frame < 9").toPandas(), far]), forecast.Law(20.0, 3, 8, forecast.brownian, forecast.exponential_jumps()))
     v.tracks = [[(f, 0) for f in range(1, 9)]]
     total, at = v.score(0, zigzag, 1.0)
     assert total > forecast.CUT and at == 1
