@@ -142,15 +142,17 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int) -> tuple
     return w[:BUCKETS], w[BUCKETS]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_per_class: int = 1000, languages: int = 100) -> Model:
-    """Learns from all rows of docs: frequencies from every text with a language, weights from a bounded sample.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_per_class: int = 1000, fit_bytes: int = 16 << 20, fit_rows: int = 100_000) -> Model:
+    """Learns every language from all rows of docs: frequencies from every text with one, weights from a bounded sample.
 
-    The `languages` most frequent ones are learned, from at most fit_per_class rows each.
+    Of each language at most fit_per_class rows are drawn, of at most fit_bytes together, and of all about fit_rows; one of
+    each at least. Rows that agree in id and text count once.
     """
     df = frames.pick(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null").withColumn("lang", F.col("lang").cast("string"))
     freq, n = document_frequencies(df.select("text"))
-    drawn, _ = per_class(df, "lang", ("id", "text"), fit_per_class, languages)
-    # At most languages * fit_per_class hashes; rows that agree in one are equal.
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    drawn, _ = per_class(df, "lang", row_hash("id", "text"), fit_per_class, size, fit_bytes, fit_rows)
+    # About fit_rows hashes; rows that agree in one are equal.
     hashed = df.select("lang", row_hash("id", "text").alias("h"), "text").join(F.broadcast(drawn), ["lang", "h"], "left_semi")
     texts = hashed.groupBy("lang", "h").agg(F.first("text").alias("text"))
     got = frames.map_batches(texts, _sample, "lang string, h bigint, b binary, x binary").toArrow()

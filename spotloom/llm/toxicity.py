@@ -4,11 +4,13 @@ Terms of a text are its words and the words' first 4 and 6 bytes (so that inflec
 taken once. The score is a logistic function of a bias, a weight for each term and, for each pair of terms, the
 product of their factors: an insult and the mention of a group count for more together than apart. Weights are
 trained by follow-the-regularised-leader with an L1 penalty, which leaves neutral terms without any weight; only terms
-that have one get factors, which are trained by AdaGrad. At most `fit_per_class` rows of each label are used (a bound
-that does not grow with the corpus), those of the smallest hashes; their shares correct the bias.
+that have one get factors, which are trained by AdaGrad. At most `fit_per_class` rows of each label and `fit_bytes` of
+their texts are used (bounds that do not grow with the corpus), those of the smallest hashes; their shares correct the bias.
 
 Defined cases: null and empty texts get the score of a text without terms; labels that are null teach nothing; if only
-one label is known, its share is every text's score; several labels of one id count each. Whole texts are read.
+one label is known, its share is every text's score; several labels of one id count each; an empty table has no scores.
+Equal texts have equal scores. Whole texts are read. Other columns, also ones that differ from the wanted only in case, do
+no harm.
 """
 
 from __future__ import annotations
@@ -112,18 +114,19 @@ def _sample(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["label", "h", "b"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, fit_per_class: int = 5000) -> Model:
-    """Learns from at most fit_per_class ids of each label, and as many texts (an id's texts that differ count each)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, fit_per_class: int = 5000, fit_bytes: int = 32 << 20) -> Model:
+    """Learns from at most fit_per_class ids of each label, and as many texts (an id's texts that differ count each) of at most fit_bytes together."""
     df = frames.pick(docs, id=id_col, text=text_col)
     lab = frames.pick(labels, lid=id_col, label=label_col).where("label in (0, 1) and lid is not null").select("lid", F.col("label").cast("int").alias("label")).distinct()
-    drawn, share = per_class(lab, "label", ("lid",), fit_per_class, 2)
+    drawn, share = per_class(lab, "label", row_hash("lid"), fit_per_class)
     drawn = lab.withColumn("h", row_hash("lid")).join(F.broadcast(drawn), ["label", "h"], "left_semi")
-    # At most 2 fit_per_class ids. Their texts may repeat without a bound, so equal ones are made one, and ranked.
+    # At most 2 fit_per_class ids. Their texts may repeat without a bound, so equal ones are made one, and ranked by hash
+    # and size alone; those drawn are split into terms where they are.
     texts = df.join(F.broadcast(drawn), F.col("id") == F.col("lid")).select("label", row_hash("id", "text").alias("h"), "text")
     scratch = frames.Scratch(df.sparkSession)
     texts = scratch.keep(texts.groupBy("label", "h").agg(F.first("text").alias("text")), "texts")
-    few = [texts.where(F.col("label") == k).orderBy("h").limit(fit_per_class) for k in (0, 1)]
-    got = frames.map_batches(few[0].unionByName(few[1]), _sample, "label int, h bigint, b binary").toArrow()
+    few, _ = per_class(texts, "label", F.col("h"), fit_per_class, F.coalesce(F.octet_length("text"), F.lit(0)), fit_bytes)
+    got = frames.map_batches(texts.join(F.broadcast(few), ["label", "h"], "left_semi").select("label", "h", "text"), _sample, "label int, h bigint, b binary").toArrow()
     scratch.close()
     rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
     rows = [(y, np.frombuffer(b, "<i4")) for y, _, b in rows]

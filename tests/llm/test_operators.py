@@ -637,11 +637,15 @@ def test_pairs_of_terms_are_learned():
 
 
 def test_samples_are_bounded_and_know_no_order(spark):
-    from spotloom.llm.samples import per_class
+    from spotloom.llm.samples import per_class, row_hash
 
     rows = spark.range(100_000).select(F.when(F.col("id") < 60_000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("a text that is toxic").alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
-    drawn, _ = per_class(rows, "toxic", ("doc_id",), 500, 2)
-    assert drawn.groupBy("toxic").count().where("count > 500").isEmpty()
+    drawn, _ = per_class(rows, "toxic", row_hash("doc_id"), 500)
+    assert [r["count"] for r in drawn.groupBy("toxic").count().collect()] == [500, 500]
+    sized, _ = per_class(rows, "toxic", row_hash("doc_id"), 500, F.lit(1000), 20_500)
+    assert [r["count"] for r in sized.groupBy("toxic").count().collect()] == [20, 20]
+    assert per_class(rows, "toxic", row_hash("doc_id"), 500, F.lit(1000), 10)[0].count() == 2  # one of each at least
+    assert per_class(rows, "toxic", row_hash("doc_id"), 500, total=60)[0].count() == 60
     docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 11} common", "en" if i % 2 else "de", int(i % 7 == 0)) for i in range(600)], "doc_id long, text string, lang string, toxic int")
     other = docs.orderBy(F.desc("doc_id")).repartition(7)
     one, two = (toxicity.fit(d, d, fit_per_class=60) for d in (docs, other))
@@ -649,7 +653,44 @@ def test_samples_are_bounded_and_know_no_order(spark):
     one, two = (language_id.fit(d, fit_per_class=60) for d in (docs, other))
     assert (one.weights == two.weights).all() and one.temperature == two.temperature
     dirty = docs.withColumn("lang", F.concat("lang", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).otherwise(F.lit(""))))
-    assert language_id.fit(dirty, languages=2).languages == ["de", "en"]
+    assert language_id.fit(dirty).languages == sorted(r.lang for r in dirty.select("lang").distinct().collect())
+
+
+def test_languages_of_repeated_rows_and_very_many_languages_are_learned(spark):
+    """However a language's few distinct rows hash, and however often they are repeated beside many distinct ones."""
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the house is by the river "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    for i in range(4):
+        same = spark.range(10_000).select(F.lit(90_000 + i).cast("bigint").alias("doc_id"), F.lit("où est la forêt près du château").alias("text"), F.lit("fr").alias("lang"))
+        model = language_id.fit(many.unionByName(same), fit_per_class=50)
+        assert model.languages == ["en", "fr"]
+        got = language_id.predict(spark.createDataFrame([(1, "la forêt est près du château"), (2, "the river is by the house")], "doc_id long, text string"), model)
+        assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "fr", 2: "en"}
+    words = spark.range(130 * 6).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 130).cast("string")).alias("lang"))
+    words = words.withColumn("text", F.repeat(F.concat(F.char(97 + F.col("doc_id") % 13), F.char(97 + (F.col("doc_id") % 130 / 13).cast("int")), F.lit(" ")), 20))
+    model = language_id.fit(words, fit_rows=400)
+    assert len(model.languages) == 130
+    right = language_id.predict(words, model).join(words.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").count()
+    assert right > 0.9 * 780
+
+
+def test_samples_of_long_texts_are_bounded_in_bytes(spark):
+    docs = spark.range(24).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" ")), 60_000).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = docs.withColumn("text", F.concat("text", F.when(F.col("toxic") == 1, F.repeat(F.lit("awful "), 50)).otherwise(F.lit(""))))
+    model = toxicity.fit(docs, docs, fit_bytes=2 << 20)  # five or so texts of each label
+    assert np.isfinite(model.bias)
+    seen = []
+    whole = frames.map_batches
+
+    def watch(df, fn, schema):
+        seen.append(df)
+        return whole(df, fn, schema)
+
+    frames.map_batches, old = watch, frames.map_batches
+    try:
+        toxicity.fit(docs, docs, fit_bytes=2 << 20)
+    finally:
+        frames.map_batches = old
+    assert len(seen) == 1 and "Join" in seen[0]._jdf.queryExecution().executedPlan().toString()
 
 
 def test_classifiers_on_odd_rows(spark, odd_docs, no_docs):
