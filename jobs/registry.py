@@ -6,13 +6,11 @@ back after the second run.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import compare, recordings
-from spotloom.operators.graph import shared_folder
+from spotloom.operators.graph import new_folder
 from spotloom.plans import adapters as A
 
 #: Added before rounding, so that both engines round fives up.
@@ -20,7 +18,7 @@ TIE = 1e-9
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/spotloom-{name}-{uuid.uuid4().hex}"
+    return f"{new_folder(spark)}/{name}"
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
