@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from spotloom.sources.stacks import UnsupportedImage, read_images
+from spotloom.sources.stacks import UnsupportedImage, read_images, take
 
 # Fixed values of the format: the magic number of a chunk, that of the older JPEG 2000 files, the signature before the
 # chunk map's place, and the names of chunks and attributes.
@@ -21,7 +22,7 @@ CALIBRATION, TEXT = b"ImageCalibrationLV|0!", b"ImageTextInfoLV!"
 
 def chunk(data: memoryview, at: int) -> memoryview:
     """The body of the chunk at a place."""
-    magic, name, size = struct.unpack_from("<IIQ", data, at)
+    magic, name, size = take(data, "<IIQ", at)
     if magic != MAGIC or at + 16 + name + size > len(data):
         raise UnsupportedImage(f"no chunk at {at}")
     return data[at + 16 + name : at + 16 + name + size]
@@ -53,9 +54,23 @@ def attribute(body: bytes, key: str, default: int | None = None) -> int:
     return struct.unpack_from("<I", body, at + 2 * len(key) + 2)[0]
 
 
-def frames(content: bytes) -> Iterator[np.ndarray]:
-    data = memoryview(content)
-    where = chunk_map(data)
+def places(where: dict[bytes, int]) -> list[int]:
+    """Places of the pictures, in order."""
+    return [at for _, at in sorted((int(n[len(PICTURE) : -1]), at) for n, at in where.items() if n.startswith(PICTURE) and n[len(PICTURE) : -1].isdigit())]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a picture's bytes lie: its size, the bytes of a row, samples a pixel and their kind."""
+
+    height: int
+    width: int
+    row: int
+    channels: int
+    kind: str
+
+
+def layout(data: memoryview, where: dict[bytes, int]) -> Layout:
     if ATTRIBUTES not in where:
         raise UnsupportedImage("no attributes")
     about = bytes(chunk(data, where[ATTRIBUTES]))
@@ -66,17 +81,27 @@ def frames(content: bytes) -> Iterator[np.ndarray]:
     kind = {8: "<u1", 16: "<u2", 32: "<f4"}.get(bits)
     if kind is None:
         raise UnsupportedImage(f"{bits} bits a sample")
-    row = attribute(about, "uiWidthBytes", width * channels * bits // 8)
-    names = sorted((int(n[len(PICTURE) : -1]), at) for n, at in where.items() if n.startswith(PICTURE) and n[len(PICTURE) : -1].isdigit())
-    for _, at in names:
-        pixels = chunk(data, at)[8:]  # a time stamp stands first
-        rows = np.frombuffer(pixels[: row * height], np.uint8).reshape(height, row)[:, : width * channels * bits // 8]
-        yield np.ascontiguousarray(rows).view(kind).reshape(height, width, channels)[:, :, 0].astype(np.float32)
+    return Layout(height, width, attribute(about, "uiWidthBytes", width * channels * bits // 8), channels, kind)
+
+
+def picture(data: memoryview, of: Layout, at: int) -> np.ndarray:
+    """The first channel of the picture at a place."""
+    pixels = bytes(chunk(data, at)[8:])  # a time stamp stands first
+    used = of.width * of.channels * np.dtype(of.kind).itemsize
+    rows = np.frombuffer(pixels[: of.row * of.height], np.uint8).reshape(of.height, of.row)[:, :used]
+    return np.ascontiguousarray(rows).view(of.kind).reshape(of.height, of.width, of.channels)[:, :, 0].astype(np.float32)
+
+
+def frames(content: bytes) -> Iterator[np.ndarray]:
+    data = memoryview(content)
+    where = chunk_map(data)
+    of = layout(data, where)
+    for at in places(where):
+        yield picture(data, of, at)
 
 
 def _stamps(data: memoryview, where: dict[bytes, int], most: int = 50) -> list[float]:
-    names = sorted((int(n[len(PICTURE) : -1]), at) for n, at in where.items() if n.startswith(PICTURE) and n[len(PICTURE) : -1].isdigit())
-    return [struct.unpack_from("<d", chunk(data, at))[0] for _, at in names[:most]]
+    return [struct.unpack_from("<d", chunk(data, at))[0] for at in places(where)[:most]]
 
 
 def metadata(content: bytes) -> dict[str, float]:

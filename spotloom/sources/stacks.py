@@ -24,36 +24,59 @@ class UnsupportedImage(ValueError):
     """The file is no image that can be read here."""
 
 
-def tiff_pages(data: bytes) -> Iterator[dict[int, list]]:
-    """The tags of each page, of classic files and of those with 64-bit places."""
+def take(data: bytes, form: str, at: int) -> tuple:
+    """Numbers of a form at a place of data, which may be anything that can be sliced."""
+    return struct.unpack(form, bytes(data[at : at + struct.calcsize(form)]))
+
+
+def tiff_start(data: bytes) -> tuple[str, bool, int]:
+    """Byte order, whether places have 64 bits, and the first page's place."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    kind = struct.unpack_from(order + "H", data, 2)[0] if order else 0
+    kind = take(data, order + "H", 2)[0] if order else 0
     if kind not in (42, 43):
         raise UnsupportedImage("not a TIFF file")
     wide = kind == 43
-    if wide and struct.unpack_from(order + "HH", data, 4) != (8, 0):
+    if wide and take(data, order + "HH", 4) != (8, 0):
         raise UnsupportedImage("places of another size than 8 bytes")
-    word, counter, entry, inline = ("Q", "Q", 20, 8) if wide else ("I", "H", 12, 4)
-    (at,) = struct.unpack_from(order + word, data, 8 if wide else 4)
+    return order, wide, take(data, order + ("Q" if wide else "I"), 8 if wide else 4)[0]
+
+
+def tiff_places(data: bytes) -> Iterator[int]:
+    """The places of all pages, read from the links between them alone."""
+    order, wide, at = tiff_start(data)
     seen = set()
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(order + counter, data, at)
-        first = at + struct.calcsize(counter if not wide else "Q")
-        tags: dict[int, list] = {0: [order]}
-        for i in range(n):
-            tag, of, count = struct.unpack_from(order + "HH" + word, data, first + entry * i)
-            size = _SIZES.get(of, 1) * count
-            value = first + entry * (i + 1) - inline
-            place = value if size <= inline else struct.unpack_from(order + word, data, value)[0]
-            if of == 2:
-                tags[tag] = [bytes(data[place : place + count]).rstrip(b"\0").decode("utf-8", "replace")]
-            elif of in _CODES:
-                tags[tag] = list(struct.unpack_from(f"{order}{count}{_CODES[of]}", data, place))
-            elif of == 5:
-                tags[tag] = [a / b if b else 0.0 for a, b in zip(*[iter(struct.unpack_from(f"{order}{2 * count}I", data, place))] * 2, strict=True)]
-        yield tags
-        (at,) = struct.unpack_from(order + word, data, first + entry * n)
+        yield at
+        (n,) = take(data, order + ("Q" if wide else "H"), at)
+        (at,) = take(data, order + ("Q" if wide else "I"), at + (8 + 20 * n if wide else 2 + 12 * n))
+
+
+def tiff_tags(data: bytes, order: str, wide: bool, at: int) -> dict[int, list]:
+    """The tags of the page at a place."""
+    word, counter, entry, inline = ("Q", "Q", 20, 8) if wide else ("I", "H", 12, 4)
+    (n,) = take(data, order + counter, at)
+    first = at + struct.calcsize(counter)
+    tags: dict[int, list] = {0: [order]}
+    for i in range(n):
+        tag, of, count = take(data, order + "HH" + word, first + entry * i)
+        size = _SIZES.get(of, 1) * count
+        value = first + entry * (i + 1) - inline
+        place = value if size <= inline else take(data, order + word, value)[0]
+        if of == 2:
+            tags[tag] = [bytes(data[place : place + count]).rstrip(b"\0").decode("utf-8", "replace")]
+        elif of in _CODES:
+            tags[tag] = list(take(data, f"{order}{count}{_CODES[of]}", place))
+        elif of == 5:
+            tags[tag] = [a / b if b else 0.0 for a, b in zip(*[iter(take(data, f"{order}{2 * count}I", place))] * 2, strict=True)]
+    return tags
+
+
+def tiff_pages(data: bytes) -> Iterator[dict[int, list]]:
+    """The tags of each page, of classic files and of those with 64-bit places."""
+    order, wide, _ = tiff_start(data)
+    for at in tiff_places(data):
+        yield tiff_tags(data, order, wide, at)
 
 
 def unpack_bits(raw: bytes) -> bytes:
