@@ -21,13 +21,17 @@ from spotloom.schemas import LOC
 
 @dataclass(frozen=True)
 class Options:
-    """Window of detection, factor of the threshold, reach of maxima, rounds with spots taken out, and border seed."""
+    """Window of detection, factor of the threshold, reach of maxima, rounds with spots taken out, and border seed.
+
+    smooth is how often the ring around a spot that was taken out is smoothed (the usual 2 may blur a faint neighbour away).
+    """
 
     window: int = 7
     alpha: float = 1.0
     shift: int = 1
     deflations: int = 0
     seed: int = 42
+    smooth: int = 0
 
 
 def windows(window: int) -> tuple[tuple[int, float], list[tuple[int, float]]]:
@@ -39,27 +43,43 @@ def windows(window: int) -> tuple[tuple[int, float], list[tuple[int, float]]]:
 
 
 def bordered(picture: np.ndarray, width: int, rng: np.random.Generator) -> np.ndarray:
-    """A picture within a border of noise: each border block is drawn around the median of the nearest block of the
-    picture, with the spread that its median deviation means, so that a spot near an edge does not brighten the border."""
+    """A picture within a border of noise, drawn block by block from the mean and spread of what lies beside each block.
+
+    The top, right, bottom and left strips are filled in this order from the strip inward of each, so the corners take
+    from strips filled before them. Then the inner blocks of each strip are drawn anew from the mean of the two blocks
+    along it, which lie in the strip itself at the top and left, and inward of it on the right and at the bottom.
+    """
     h, w = picture.shape
     out = np.zeros((h + 2 * width, w + 2 * width))
     out[width : width + h, width : width + w] = picture
-    for r in range(0, h + 2 * width, width):
-        for c in range(0, w + 2 * width, width):
-            r1, c1 = min(r + width, h + 2 * width), min(c + width, w + 2 * width)
-            rows, cols = np.arange(r, r1), np.arange(c, c1)
-            out_r, out_c = (rows < width) | (rows >= width + h), (cols < width) | (cols >= width + w)
-            if not (out_r.any() or out_c.any()):
-                continue
-            r0, c0 = (int(np.clip(a - width, 0, max(n - width, 0))) for a, n in ((r, h), (c, w)))
-            near = picture[r0 : r0 + width, c0 : c0 + width]
-            mid = np.median(near)
-            noise = rng.normal(mid, 1.4826 * np.median(np.abs(near - mid)), (r1 - r, c1 - c))
-            fill = out_r[:, None] | out_c[None, :]
-            out[r:r1, c:c1][fill] = noise[fill]
+    top, bottom, left, right = out[:width], out[-width:], out[:, :width].T, out[:, -width:].T
+    below, above = out[width : 2 * width], out[-2 * width : -width]
+    after, before = out[:, width : 2 * width].T, out[:, -2 * width : -width].T
+
+    def draw(block: np.ndarray, like: np.ndarray) -> None:
+        block[:] = rng.normal(like.mean(), like.std(), block.shape)
+
+    for strip, beside, end in ((top, below, -width), (right, before, -width), (bottom, above, None), (left, after, None)):
+        stop = strip.shape[1] + (end or 0)
+        for at in range(0, stop, width):
+            part = slice(at, min(stop, at + width))
+            draw(strip[:, part], beside[:, part])
+    for strip, source in ((top, top), (right, before), (bottom, above), (left, left)):
+        long = strip.shape[1]
+        for at in list(range(0, long, width))[1:-1]:
+            size = min(width, long - at - width)
+            draw(strip[:, at : at + width], (source[:, at - size : at] + source[:, at + width : at + width + size]) / 2)
     return out
 
 
+def smooth_ring(picture: np.ndarray, box: tuple[slice, slice], reach: int = 2, rounds: int = 2) -> None:
+    """Sets each pixel on the ring of a box to the mean around it, one after the other, so that later ones see earlier ones."""
+    rows, cols = (range(s.start, s.stop) for s in box)
+    ring = [(r, c) for c in cols for r in (rows[0], rows[-1])] + [(r, c) for r in rows for c in (cols[0], cols[-1])]
+    for r, c in ring * rounds:
+        picture[r, c] = picture[max(0, r - reach) : r + reach + 1, max(0, c - reach) : c + reach + 1].mean()
+
+
 def background(picture: np.ndarray, rounds: int = 3, clip: float = 3.0) -> tuple[float, float]:
     """Mean and spread of the pixels around the mode, in hundredths of the greatest, as image.background has them."""
     top = picture.max()
@@ -106,19 +126,50 @@ def maxima(score: np.ndarray, limit: float, window: int, shift: int) -> list[tup
     return found
 
 
+def regions(score: np.ndarray, limit: float, window: int, shift: int) -> list[tuple[int, int]]:
+    """Pixels above the limit that are the greatest within shift (half the window if 0), from the top, twice over.
+
+    Each takes the pixels within its reach out, so what they hid may be found after it.
+    """
+    reach, left, found = shift or window // 2, np.where(score > limit, score, 0.0), []
+    for _ in range(2):
+        for r, c in np.argwhere(left):
+            around = left[max(0, r - reach) : r + reach + 1, max(0, c - reach) : c + reach + 1]
+            if left[r, c] > 0 and left[r, c] == around.max():
+                found.append((int(r), int(c)))
+                around[:] = 0
+    return found
+
+
 def fit(patches: np.ndarray, mean: float, repeat: int = 5) -> list[tuple[np.ndarray, np.ndarray, float] | None]:
     """Centre, covariance and amplitude of a spot in each patch above its background; None where no spot fits.
 
     Weighted least squares of log intensity on a quadratic, with the squares of the model before as weights, until the
     coefficients of a patch rest. All patches are solved together, each as a system of six equations. nan is no pixel.
+    Patches where no spot fits are lowered once more and tried again, one time more often.
     """
+    low = _lowered(patches, mean)
+    found = _solved(low, repeat)
+    if failed := [i for i, spot in enumerate(found) if spot is None]:
+        for i, spot in zip(failed, _solved(_lowered(low[failed], mean), repeat + 1), strict=True):
+            found[i] = spot
+    return found
+
+
+def _lowered(patches: np.ndarray, mean: float) -> np.ndarray:
+    """Patches less the background, raised so that their least pixel is just positive."""
+    v = patches - mean
+    return v - np.nanmin(v, (1, 2), keepdims=True) + 0.01
+
+
+def _solved(patches: np.ndarray, repeat: int) -> list[tuple[np.ndarray, np.ndarray, float] | None]:
     half = patches.shape[1] // 2
     y, x = np.mgrid[-half : half + 1, -half : half + 1].reshape(2, -1).astype(float)
     design = np.stack([x * x, x, y * y, y, x * y, np.ones_like(x)], 1)
     products = (design[:, :, None] * design[:, None, :]).reshape(len(x), 36)
-    v = (patches - mean).reshape(len(patches), -1)
+    v = patches.reshape(len(patches), -1)
     there = ~np.isnan(v)  # pixels beyond the picture weigh nothing
-    v = np.where(there, v - np.nanmin(v, 1, keepdims=True) + 0.01, 1.0)
+    v = np.where(there, v, 1.0)
     target, w = np.log(v), np.where(there, v * v, 0.0)
     coef, moving = np.full((len(v), 6), np.nan), np.ones(len(v), bool)
     for _ in range(repeat):
@@ -155,8 +206,9 @@ def _bell(window: int, centre: np.ndarray, cov: np.ndarray, amp: float) -> np.nd
 def find_spots(picture: np.ndarray, options: Options, frame: int = 0) -> tuple[list[dict], np.ndarray]:
     """Spots of a picture scaled to [0, 1], and what is left of it with them taken out.
 
-    The first round looks with one window; each further one takes the fitted spots out down to the background and looks
-    again with three, the largest first. The border depends on the frame's number alone, not on frames before it.
+    The first round looks with one window; each further one with three, the largest first, for what the rounds before,
+    whose spots are taken out down to the background, have hidden. The border depends on the frame's number alone, not on
+    frames before it.
     """
     (first, radius), several = windows(options.window)
     border = 2 * (first + 4)
@@ -166,24 +218,27 @@ def find_spots(picture: np.ndarray, options: Options, frame: int = 0) -> tuple[l
     h, w = picture.shape
     out: list[dict] = []
     for n in range(1 + options.deflations):
-        for window, rad in reversed(several) if n else [(first, radius)]:
-            scale = several[0][0] ** 2 / window**2 if n else 1.0
+        looks = reversed(several) if n else [(first, radius)]
+        maps = [(window, scores(wide, border, (h, w), window, rad, mean) * (several[0][0] ** 2 / window**2 if n else 1.0)) for window, rad in looks]
+        for window, score in maps:
             half = window // 2
+            peaks = (regions if n else maxima)(score, limit, window, options.shift)
+            box = lambda r, c: (slice(r + border - half, r + border + half + 1), slice(c + border - half, c + border + half + 1))  # noqa: E731, B023
+            fits = fit(np.array([wide[box(r, c)] for r, c in peaks]), mean) if peaks else []
             taken = []
-            peaks = maxima(scores(wide, border, (h, w), window, rad, mean) * scale, limit, window, options.shift)
-            boxes = [(slice(r + border - half, r + border + half + 1), slice(c + border - half, c + border + half + 1)) for r, c in peaks]
-            fits = fit(np.array([wide[box] for box in boxes]), mean) if peaks else []
-            for (r, c), box, got in zip(peaks, boxes, fits, strict=True):
+            for (r, c), got in zip(peaks, fits, strict=True):
                 if got is None or not (-1 < r + got[0][1] < h and -1 < c + got[0][0] < w):
                     continue
                 centre, cov, amp = got
                 bell = _bell(window, centre, cov, amp)
-                taken.append((box, bell))
                 rho = cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1])
                 at = {"x": float(np.clip(c + centre[0], 0, w - 1)), "y": float(np.clip(r + centre[1], 0, h - 1))}
+                taken.append((box(r, c), bell))
                 out.append(at | {"xvar": cov[0, 0], "yvar": cov[1, 1], "rho": rho, "norm_cst": amp, "intensity": float(bell[half, half]), "window_size": window})
-            for box, bell in taken:
-                wide[box] = np.maximum(wide[box] - bell, mean)
+            if n < options.deflations:
+                for at, bell in taken:
+                    wide[at] = np.maximum(wide[at] - bell, mean)
+                    smooth_ring(wide, at, rounds=options.smooth)
     left = picture.copy()
     for s in out:
         _take_out(left, s)

@@ -81,6 +81,7 @@ QUERIES = {
     "batches": lambda s, d: tables.union_batches([A.loc(s, d).where("frame < 360"), A.loc(s, d).where("frame >= 360").withColumn("frame", F.col("frame") - 360)], [360, 360]).select("video", "frame", "spot_idx"),
     "k_fit": lambda s, d: s.createDataFrame([estimators.fit_k(A.traces(s, d), 0.5) or (None, None)], "K double, H double"),
     "localize": lambda s, d: localize.localize(A.rendered(s, d)),
+    "localize_rounds": lambda s, d: localize.localize(A.rendered(s, d), localize.Options(deflations=1, smooth=2)),
     "greedy_jump_threshold": lambda s, d: s.createDataFrame([(mixtures.gmm_jump_threshold(graph.cut_lineage(mixtures.trim_jumps(graph.cut_lineage(linking.greedy_matches_with_parts(A.loc(s, d)).select("dx", "dy"))))),)], "threshold double"),
     "displacement_fit": lambda s, d: estimators.displacement_histogram_fit(_runs(s, d)),
     "ratio_fit": lambda s, d: estimators.ratio_histogram_fit(_runs(s, d)),

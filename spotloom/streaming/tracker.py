@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ListState
 
+from spotloom.functions.lookup import Quantiles
 from spotloom.operators import forecast
 
 OUT = "video string, start bigint, frame int, spot_idx int, x double, y double, z double"
@@ -110,7 +111,8 @@ class Tracker(StatefulProcessor):
 
 
 def track_stream(
-    loc: DataFrame, threshold: float, horizon: int = 3, alpha: forecast.Predictor = forecast.brownian, alternatives: int | None = None, jumps: np.ndarray | None = None, lateness: int = 0, patience_ms: int | None = None
+    loc: DataFrame, threshold: float, horizon: int = 3, alpha: forecast.Predictor = forecast.brownian, alternatives: int | None = None, jumps: np.ndarray | None = None,
+    quantiles: Quantiles | None = None, k: forecast.Predictor = forecast.usual_k, lateness: int = 0, patience_ms: int | None = None,
 ) -> DataFrame:
     """Points with the first spot of their track (start), for a stream of spots (video, frame, spot_idx, x, y, z).
 
@@ -119,7 +121,7 @@ def track_stream(
     without frame says that its video is over; with patience_ms, so does a video without news for so long. What is not
     placed then is planned to the end and the video's state goes. `forecast.finish` makes trajectories of the points.
     """
-    law = forecast.law(threshold, horizon, alternatives, alpha, jumps)
+    law = forecast.law(threshold, horizon, alternatives, alpha, jumps, quantiles, k)
     mode = "None" if patience_ms is None else "ProcessingTime"
     spots = loc.select("video", *_SPOT)
     return spots.groupBy("video").transformWithStateInPandas(Tracker(law, lateness, patience_ms), OUT, "append", mode)

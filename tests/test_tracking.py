@@ -155,3 +155,29 @@ def test_a_video_without_news_is_finished_in_time(spark, tmp_path, rocks):
         q.stop()
     assert a.points().count() == len(rows)
     assert found(forecast.finish(a.points(), 1)) == plain(pd.DataFrame(rows, columns=[c.split()[0] for c in LOC.split(", ")]), forecast.law(6.0, 3, 4, bent), 1)
+
+
+def test_a_table_of_quantiles_makes_long_jumps_abnormal_in_expressions_and_in_the_tracker(spark):
+    from spotloom.functions import lookup, tracking
+
+    table = lookup.Quantiles(np.array([0.8, 1.5]), np.array([0.4, 2.0]), np.array([[1.0, 2.0], [3.0, 1.2]]))
+    rows = [(a, k, n, p) for a in (0.5, 1.0, 1.9) for k in (0.1, 0.5, 9.0) for n in (1.0, 2.9, 4.0, 7.6) for p in (1.0, 3.0)]
+    df = spark.createDataFrame(rows, "alpha double, k double, after double, before double")
+    zero = F.lit(0)
+    parts = lambda c: (F.col(c), F.lit(0.5))
+    cost = lambda *more: tracking.step_cost(parts("after"), parts("before"), F.col("alpha"), zero, zero, *more)
+    jump = F.sqrt(F.col("after") ** 2 + 0.25)
+    got = df.select("*", cost()[1].alias("plain"), cost(jump, lookup.quantile(table, F.col("alpha"), F.col("k")))[1].alias("odd"), cost()[0].alias("c")).collect()
+    assert any(r.odd and not r.plain for r in got) and any(not r.odd for r in got)
+    for r in got:
+        law = forecast.law(1.0, alpha=lambda _, a=r.alpha: a, quantiles=table, k=lambda _, k=r.k: k)
+        alpha, longest = law.motion(np.zeros((3, 3)))
+        density, odd = forecast.step_cost(np.array([r.after, 0.5, 0.0]), np.array([r.before, 0.5, 0.0]), alpha, 0, 0, longest)
+        assert density == pytest.approx(r.c) and odd == r.odd
+        assert odd == (r.plain or np.hypot(r.after, 0.5) > 2.5 * lookup.quantile_at(table, r.alpha + 1e-4 * (r.alpha == 1), r.k))
+    loc = spark.createDataFrame([("v", f, 0, 1.0 * f + 1.5 * max(0, min(f - 5, 2)), 0.0, 0.0) for f in range(1, 12)], LOC)
+    whole = forecast.track(loc, 8.0, 3, 2)
+    small = lookup.Quantiles(np.array([9.0]), np.array([9.0]), np.array([[0.9]]))
+    split = forecast.track(loc, 8.0, 3, 2, quantiles=small)
+    ends = lambda t: sorted((r.a, r.b) for r in t.groupBy("traj_idx").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).collect())
+    assert ends(whole) == [(1, 11)] and ends(split) == [(1, 5), (6, 11)]
