@@ -116,6 +116,64 @@ def terminal_nodes(loc: DataFrame, edges: DataFrame) -> DataFrame:
     return loc.select(*NODE).join(_ends(edges)[0].distinct(), NODE, "left_anti")
 
 
+def terminal_among_free(loc: DataFrame, edges: DataFrame, taken: DataFrame) -> DataFrame:
+    """Spots from which no edge leads to a spot that is not taken yet; those that are taken are asked too."""
+    gone = taken.select("video", F.col("frame").alias("dst_frame"), F.col("spot_idx").alias("dst_idx")).distinct()
+    return terminal_nodes(loc, edges.join(gone, ["video", "dst_frame", "dst_idx"], "left_anti"))
+
+
+def nearest_successors(edges: DataFrame) -> DataFrame:
+    """The spots that are the nearest successor of some spot; ties go to the earlier frame and lower number."""
+    best = edges.groupBy("video", "src_frame", "src_idx").agg(F.min(F.struct(F.round("jump_d", 6), "dst_frame", "dst_idx")).alias("b"))
+    return best.select("video", F.col("b.dst_frame").alias("frame"), F.col("b.dst_idx").alias("spot_idx")).distinct()
+
+
+def ancestors(edges: DataFrame, nodes: DataFrame, most: int = 13) -> DataFrame:
+    """The `most` latest of all spots from which edges lead to each node, with their rank from 1, the latest first.
+
+    What lies between a node and one of its latest ancestors is later still, so only the latest are kept at any time and
+    `most` rounds are enough, each a join by key. Ties in a frame go to the higher number. Each round is checkpointed.
+    """
+    back = cut_lineage(edges.select("video", F.col("dst_frame").alias("a_frame"), F.col("dst_idx").alias("a_idx"), F.col("src_frame").alias("p_frame"), F.col("src_idx").alias("p_idx")))
+    latest = Window.partitionBy(*NODE).orderBy(F.desc("a_frame"), F.desc("a_idx"))
+    node = nodes.select(*NODE).distinct()
+    front = node.withColumns({"a_frame": F.col("frame"), "a_idx": F.col("spot_idx")})
+    found = front.where("false").withColumn("rank", F.lit(0))
+    for _ in range(most):
+        step = front.join(back, ["video", "a_frame", "a_idx"]).select(*NODE, F.col("p_frame").alias("a_frame"), F.col("p_idx").alias("a_idx"), F.lit(True).alias("new"))
+        both = step.unionByName(found.select(*NODE, "a_frame", "a_idx", F.lit(False).alias("new"))).groupBy(*NODE, "a_frame", "a_idx").agg(F.every("new").alias("new"))
+        both = cut_lineage(both.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= most))
+        found, front = both.drop("new"), both.where("new").select(*NODE, "a_frame", "a_idx")
+        if front.isEmpty():
+            break
+    return found
+
+
+def without(edges: DataFrame, removed: DataFrame, loc: DataFrame, threshold: float) -> DataFrame:
+    """Edges between the spots that stay when others are removed, the earliest first, and each bypassed.
+
+    A bypass leads from a spot to what the removed one led to, where that is nearer than the threshold; it may lead to
+    another spot that goes, which is bypassed in turn. Rounds are as many as such spots follow each other within the
+    threshold of the first. Each round is checkpointed.
+    """
+    gone = cut_lineage(removed.select(*NODE).distinct())
+    end = lambda p: gone.select("video", F.col("frame").alias(f"{p}_frame"), F.col("spot_idx").alias(f"{p}_idx"))
+    at = lambda p: loc.select("video", F.col("frame").alias(f"{p}_frame"), F.col("spot_idx").alias(f"{p}_idx"), *[F.col(c).alias(f"{p}_{c}") for c in "xyz"])
+    src, dst = ["video", "src_frame", "src_idx"], ["video", "dst_frame", "dst_idx"]
+    every = cut_lineage(edges.select(*src, *dst[1:], "jump_d"))
+    seen = front = cut_lineage(every.join(end("src"), src, "left_anti"))
+    onward = every.join(end("src"), src).select("video", F.col("src_frame").alias("m_frame"), F.col("src_idx").alias("m_idx"), *dst[1:])
+    distance = G.norm(*[F.col(f"dst_{c}") - F.col(f"src_{c}") for c in "xyz"])
+    while True:
+        stuck = front.join(end("dst"), dst).select(*src, F.col("dst_frame").alias("m_frame"), F.col("dst_idx").alias("m_idx"))
+        step = stuck.join(onward, ["video", "m_frame", "m_idx"]).select(*src, *dst[1:]).distinct().join(seen, [*src, *dst[1:]], "left_anti")
+        near = step.join(at("src"), src).join(at("dst"), dst).select(*src, *dst[1:], distance.alias("jump_d"))
+        front = cut_lineage(near.where(F.col("jump_d") < threshold))
+        if front.isEmpty():
+            return seen.join(end("dst"), dst, "left_anti").select(*src, *dst[1:], "jump_d")
+        seen = cut_lineage(seen.unionByName(front))
+
+
 def bypass_edges(edges: DataFrame, removed: DataFrame, loc: DataFrame, threshold: float) -> DataFrame:
     """Edges from predecessors to successors of removed nodes that are nearer than the threshold."""
     gone = removed.select("video", F.col("frame").alias("mf"), F.col("spot_idx").alias("mi"))

@@ -28,9 +28,9 @@ def _scan(s, d):
     return diffusion.grid_scan(A.traces(s, d), 14)
 
 
-def _table(s):
-    t = s.range(1, 20).select((F.col("id") * 0.05).alias("h"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 5, 10)])).alias("delta"))
-    return t.withColumn("n", F.lit(1000))
+def _table(s, d):
+    """The scan's rows for which the model's bounds are known."""
+    return _scan(s, d).where("h between 0.05 and 0.95").select("state", "delta", "h", "n")
 
 
 def _gauss(s, d):
@@ -67,6 +67,9 @@ QUERIES = {
     "candidate_edges_grid": lambda s, d: graph.candidate_edges(A.loc(s, d), THRESHOLD, HORIZON, True).groupBy("video", "gap").agg(F.count(F.lit(1)).alias("n")),
     "orphans": lambda s, d: graph.orphans(A.loc(s, d), _edges(s, d)),
     "terminal_nodes": lambda s, d: graph.terminal_nodes(A.loc(s, d), _edges(s, d)),
+    "terminal_among_free": lambda s, d: graph.terminal_among_free(A.loc(s, d), _edges(s, d), graph.nearest_successors(_edges(s, d))),
+    "ancestors": lambda s, d: graph.ancestors(_edges(s, d), A.loc(s, d)),
+    "without_matched": lambda s, d: graph.without(_edges(s, d), graph.nearest_successors(_edges(s, d).where("gap = 0")), A.loc(s, d), THRESHOLD).withColumn("jump_d", F.round("jump_d", 4)),
     "two_hop_bypass": lambda s, d: graph.bypass_edges(_edges(s, d), A.loc(s, d).select("video", "frame", "spot_idx"), A.loc(s, d), THRESHOLD).select("video", "src_frame", "src_idx", "dst_frame", "dst_idx", F.round("jump_d", 4).alias("jump_d")),
     "components": lambda s, d: graph.components(A.loc(s, d), _edges(s, d)),
     "emp_pdf": lambda s, d: graph.empirical_pdf(graph.adjacent_pairs(A.loc(s, d))).select("bin", "n", F.round("density", 6).alias("density")),
@@ -89,10 +92,10 @@ QUERIES = {
     "h_grid_mle": lambda s, d: diffusion.h_grid(diffusion.stride_ratios(A.traces(s, d), 2)).select("state", "delta", F.round("h", 4).alias("h"), F.round("ll", 2).alias("ll"), "n"),
     "h_fit": lambda s, d: diffusion.h_fit(diffusion.stride_ratios(A.traces(s, d), 4)),
     "snr_by_state": lambda s, d: diffusion.snr_by_state(A.traces(s, d), 0.2).select("state", F.round(F.col("msd1") + 1e-9, 3).alias("msd1"), "floor", F.round("snr", 2).alias("snr")),
-    "rho_gamma_table": lambda s, d: _table(s).select("h", "delta", F.round(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO), 6).alias("rho"), F.round(C.gamma(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO)), 6).alias("gamma"), F.round(C.rho_free(F.col("h")), 6).alias("free")),
-    "crlb_table": lambda s, d: _table(s).select("h", "delta", F.round(C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), *RHO), F.col("n")), 4).alias("se")),
-    "trust_bands": lambda s, d: diffusion.trust(_table(s), *RHO, 0.05).select("h", "delta", F.round("spread", 4).alias("spread"), "trusted"),
-    "precision_map": lambda s, d: diffusion.precision_map(_table(s).select("h", "delta"), *RHO).select("h", "delta", "i", F.round("n_eff", 3).alias("n_eff"), F.round("se", 4).alias("se")),
+    "rho_gamma_table": lambda s, d: _table(s, d).select("state", "h", "delta", F.round(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO), 6).alias("rho"), F.round(C.gamma(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO)), 6).alias("gamma"), F.round(C.rho_free(F.col("h")), 6).alias("free")),
+    "crlb_table": lambda s, d: _table(s, d).select("state", "h", "delta", F.round(C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), *RHO), F.col("n")), 4).alias("se")),
+    "trust_bands": lambda s, d: diffusion.trust(_table(s, d), *RHO, 0.05).select("state", "h", "delta", F.round("spread", 4).alias("spread"), "trusted"),
+    "precision_map": lambda s, d: diffusion.precision_map(_table(s, d).select("state", "h", "delta"), *RHO).select("state", "h", "delta", "i", F.round("n_eff", 3).alias("n_eff"), F.round("se", 4).alias("se")),
     "z_pairs": lambda s, d: diffusion.z_pairs(_scan(s, d)).select("state", "d1", "d2", F.round("z", 3).alias("z"), F.round("p", 5).alias("p")),
     "bh_fdr": lambda s, d: diffusion.z_summary(diffusion.z_pairs(_scan(s, d))).select("state", "pairs", "over2", "over3", F.round("max_z", 3).alias("max_z"), "significant", F.round("p_cut", 5).alias("p_cut")),
     "delta_drift": lambda s, d: diffusion.delta_drift(_scan(s, d)).select("state", F.round("max_z", 3).alias("max_z"), F.round("max_drift", 6).alias("max_drift"), "at_delta", "over2", "over3", "n"),
@@ -112,6 +115,7 @@ _PAIRS = _NEXT + """, ap as (select a.video, a.frame, a.spot_idx as src_idx, b.f
   from loc a join nx on a.video = nx.video and a.frame = nx.frame join loc b on b.video = a.video and b.frame = nx.next_frame)"""
 _E = _L + f""", e as (select a.video, a.frame as src_frame, a.spot_idx as src_idx, b.frame as dst_frame, b.spot_idx as dst_idx, b.frame - a.frame - 1 as gap, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as jump_d
   from loc a join loc b on a.video = b.video and b.frame between a.frame + 1 and a.frame + {1 + HORIZON} and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) < {THRESHOLD})"""
+_NEAR = """, near as (select distinct video, dst_frame as frame, dst_idx as spot_idx from (select * from e{} qualify row_number() over (partition by video, src_frame, src_idx order by round(jump_d, 6), dst_frame, dst_idx) = 1))"""
 _F = "with " + A.FRAMES_SQL + ", px as (select frame, pos // 8 as r, pos % 8 as c, v from fr)"
 _N = _F + """, en as (select min(v) as lo, max(v) as hi from px), g as (select frame, r, c, (v - lo) / (hi - lo) as g from px, en), nm as (select frame, r, c, g / max(g) over (partition by frame) as v from g)"""
 _Q = _N + ", qu as (select frame, r, c, cast(floor(round(v / max(v) over (partition by frame) * 100, 9)) as integer) as ival from nm)"
@@ -138,7 +142,6 @@ def _sql_rho(h, d, r=RHO[0], k=RHO[1], s=RHO[2]):
     return f"(({k} * {jc} - {s * s!r}) / (2 * ({k} * {jv} + {s * s!r})))"
 
 
-_T = "with tb as (select (i * 0.05::double) as h, unnest([1, 2, 5, 10]) as delta, 1000 as n from range(1, 20) t(i))"
 _H = "h::double"
 _SLOPE = f"(({_sql_rho('h + 1e-5', 'delta::double')} - {_sql_rho('h - 1e-5', 'delta::double')}) / 2e-5)"
 _SE = f"1 / sqrt({_SLOPE} * {_SLOPE} / (2 * (1 - pow({_sql_rho('h', 'delta::double')}, 2)) * (1 - pow({_sql_rho('h', 'delta::double')}, 2))) * n)"
@@ -168,6 +171,7 @@ _SLOPE_FREE = f"(({_FREE.format('h + 1e-5')} - {_FREE.format('h - 1e-5')}) / 2e-
 _SC = _LL + f""", s0 as (select state, delta, max_by(h, ll) as h, max(n) as n from ll group by 1, 2 having max(n) >= 30),
   sc as (select *, 1 / sqrt({_SLOPE_FREE} * {_SLOPE_FREE} / (2 * (1 - pow({_FREE.format("h")}, 2)) * (1 - pow({_FREE.format("h")}, 2))) * n) as se from s0),
   z as (select a.state, a.delta as d1, b.delta as d2, (a.h - b.h) / sqrt(a.se * a.se + b.se * b.se) as z from sc a join sc b on a.state = b.state and a.delta < b.delta)"""
+_TB = _SC + ", tb as (select state, delta, h, n from sc where h between 0.05 and 0.95)"
 _TAIL = repr(diffusion.ERFC[-1])
 for _c in reversed(diffusion.ERFC[:-1]):
     _TAIL = f"({_TAIL} * t + {_c!r}::double)"
@@ -196,6 +200,16 @@ SQL = {
     "candidate_edges_grid": _E + " select video, gap, count(*) as n from e group by 1, 2",
     "orphans": _E + " select video, frame, spot_idx from loc except (select video, src_frame, src_idx from e union select video, dst_frame, dst_idx from e)",
     "terminal_nodes": _E + " select video, frame, spot_idx from loc except select video, src_frame, src_idx from e",
+    "terminal_among_free": _E + _NEAR.format("") + """ select video, frame, spot_idx from loc
+  except select video, src_frame, src_idx from e where not exists (select 1 from near where near.video = e.video and near.frame = e.dst_frame and near.spot_idx = e.dst_idx)""",
+    "ancestors": _E.replace("with ", "with recursive ", 1) + """, up as (select video, dst_frame as frame, dst_idx as spot_idx, src_frame as a_frame, src_idx as a_idx from e
+  union select up.video, frame, spot_idx, src_frame, src_idx from up join e on up.video = e.video and up.a_frame = e.dst_frame and up.a_idx = e.dst_idx)
+  select *, cast(row_number() over (partition by video, frame, spot_idx order by a_frame desc, a_idx desc) as integer) as rank from up qualify rank <= 13""",
+    "without_matched": _E.replace("with ", "with recursive ", 1) + _NEAR.format(" where gap = 0") + f""", wo as (select e.video, src_frame, src_idx, dst_frame, dst_idx, jump_d from e anti join near on near.video = e.video and near.frame = src_frame and near.spot_idx = src_idx
+  union select w.video, w.src_frame, w.src_idx, e.dst_frame, e.dst_idx, sqrt((v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y)) from wo w join near on near.video = w.video and near.frame = w.dst_frame and near.spot_idx = w.dst_idx
+  join e on e.video = w.video and e.src_frame = w.dst_frame and e.src_idx = w.dst_idx join loc u on u.video = w.video and u.frame = w.src_frame and u.spot_idx = w.src_idx
+  join loc v on v.video = e.video and v.frame = e.dst_frame and v.spot_idx = e.dst_idx where sqrt((v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y)) < {THRESHOLD})
+  select distinct video, src_frame, src_idx, dst_frame, dst_idx, round(jump_d, 4) as jump_d from wo anti join near on near.video = wo.video and near.frame = dst_frame and near.spot_idx = dst_idx""",
     "two_hop_bypass": _E + f""" select distinct a.video, a.src_frame, a.src_idx, b.dst_frame, b.dst_idx, round(sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2), 4) as jump_d
   from e a join e b on a.video = b.video and a.dst_frame = b.src_frame and a.dst_idx = b.src_idx
   join loc u on u.video = a.video and u.frame = a.src_frame and u.spot_idx = a.src_idx join loc v on v.video = b.video and v.frame = b.dst_frame and v.spot_idx = b.dst_idx
@@ -226,10 +240,10 @@ SQL = {
   select state, delta, round(max_by(h, ll), 4) as h, round(max(ll), 2) as ll, max(n) as n from ll where delta <= 2 group by 1, 2 having max(n) >= 5""",
     "snr_by_state": _TR + """, q as (select state, pow(lead(x) over w - x, 2) as x2, pow(lead(y) over w - y, 2) as y2 from tr window w as (partition by video, traj_idx order by frame))
   select state, round((avg(x2) + avg(y2)) / 2 + 1e-9, 3) as msd1, 0.08000000000000002::double as floor, round((avg(x2) + avg(y2)) / 2 / 0.08, 2) as snr from q where x2 is not null group by 1""",
-    "rho_gamma_table": _T + f" select h, delta, round({_sql_rho('h', 'delta::double')}, 6) as rho, round(sqrt(1 - pow({_sql_rho('h', 'delta::double')}, 2)), 6) as gamma, round(pow(2, 2 * h - 1) - 1, 6) as free from tb",
-    "crlb_table": _T + f" select h, delta, round({_SE}, 4) as se from tb",
-    "trust_bands": _T + f" select h, delta, round(abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r}, 4) as spread, {_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05 as trusted from tb",
-    "precision_map": _T.replace("1000 as n", "1 as one").replace("tb as (", "tb0 as (") + ", tb as (select h, delta, cast(i as integer) as i, pow(10::double, 1 + i * (4::double / 119)) as n from tb0, range(120) q(i))" + f" select h, delta, i, round(n, 3) as n_eff, round({_SE}, 4) as se from tb",
+    "rho_gamma_table": _TB + f" select state, h, delta, round({_sql_rho('h', 'delta::double')}, 6) as rho, round(sqrt(1 - pow({_sql_rho('h', 'delta::double')}, 2)), 6) as gamma, round(pow(2, 2 * h - 1) - 1, 6) as free from tb",
+    "crlb_table": _TB + f" select state, h, delta, round({_SE}, 4) as se from tb",
+    "trust_bands": _TB + f" select state, h, delta, round(abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r}, 4) as spread, {_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05 as trusted from tb",
+    "precision_map": _TB + ", pm as (select state, h, delta, cast(i as integer) as i, pow(10::double, 1 + i * (4::double / 119)) as n from tb, range(120) q(i))" + f" select state, h, delta, i, round(n, 3) as n_eff, round({_SE}, 4) as se from pm",
     "z_pairs": _ZP + " select state, d1, d2, round(z, 3) as z, round(p, 5) as p from zp",
     "bh_fdr": _ZP + """, r as (select *, row_number() over (partition by state order by p) as r, count(*) over (partition by state) as m from zp),
   c as (select *, coalesce(r <= max(case when p <= 0.05 * r / m then r end) over (partition by state), false) as rejected from r)
