@@ -29,11 +29,11 @@ def stride_ratios(traces: DataFrame, max_delta: int) -> DataFrame:
     return ahead.select(*TRAJ, "state", F.explode(F.array(*cells)).alias("p")).select(*TRAJ, "state", "p.*").where("ratio is not null")
 
 
-def ratio_counts(traces: DataFrame, max_delta: int) -> DataFrame:
-    """How many ratios there are positions for, by stride: from the lengths' histogram alone."""
-    lengths = traces.groupBy(*TRAJ).agg(F.count(F.lit(1)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m"))
-    d = lengths.select("t", "m", F.explode(F.sequence(F.lit(1), F.lit(max_delta))).alias("delta"))
-    return d.groupBy("delta").agg(F.sum(2 * F.col("m") * F.greatest(F.col("t") - 2 * F.col("delta"), F.lit(0))).alias("n"))
+def ratio_counts(traces: DataFrame, max_delta: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many ratios there are positions for, by stride (and group): from the lengths' histogram alone."""
+    lengths = traces.groupBy(*TRAJ, *by).agg(F.count(F.lit(1)).alias("t")).groupBy("t", *by).agg(F.count(F.lit(1)).alias("m"))
+    d = lengths.select("t", "m", *by, F.explode(F.sequence(F.lit(1), F.lit(max_delta))).alias("delta"))
+    return d.groupBy(*by, "delta").agg(F.sum(2 * F.col("m") * F.greatest(F.col("t") - 2 * F.col("delta"), F.lit(0))).alias("n"))
 
 
 def h_grid(ratios: DataFrame, r: float = 0.0, k: float = 1.0, sigma: float = 0.0, points: int = 49) -> DataFrame:
@@ -91,13 +91,15 @@ def invert_rho(target: float, d: float, r: float, k: float, sigma: float) -> flo
 def h_fit(ratios: DataFrame, r: float = 0.0, k: float = 1.0, sigma: float = 0.0, bins: int = 4001) -> DataFrame:
     """H by maximum likelihood with its standard error, by state and stride.
 
-    Ratios enter as counts in fine bins of their arc tangent, so a group is at most `bins` rows however many it holds.
+    Ratios enter as counts in fine bins of their arc tangent, so a group is at most `bins` rows however many it holds. A
+    column k of the ratios, the same throughout a state, goes before the number.
     """
     at = F.floor((F.atan("ratio") / np.pi + 0.5) * bins).cast("int")
-    n = ratios.groupBy("state", "delta", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.atan("ratio")).alias("a"))
+    with_k = ratios if "k" in ratios.columns else ratios.withColumn("k", F.lit(float(k)))
+    n = with_k.groupBy("state", "delta", "k", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.atan("ratio")).alias("a"))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        d, w, x = float(g.delta.iloc[0]), g.n.to_numpy(), np.tan(g.a.to_numpy())
+        d, w, x, k = float(g.delta.iloc[0]), g.n.to_numpy(), np.tan(g.a.to_numpy()), float(g.k.iloc[0])
         total = int(w.sum())
         if total < 5:
             h = se = p = float("nan")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.operators import diffusion
+from spotloom.operators import diffusion, graph
 from spotloom.operators import trajectory as T
 from spotloom.operators.quantiles import quantiles
 
@@ -95,6 +95,19 @@ def fit_k(traces: DataFrame, sigma: float = 0.0, r: float = 0.0, lags: int = 10)
     return fit_curve(np.array([x.lag for x in rows], float), np.array([x.msd for x in rows]), np.array([x.sem if x.sem is not None else x.msd for x in rows]), sigma, r)
 
 
+def fit_k_by_state(traces: DataFrame, sigma: float = 0.0, r: float = 0.0, lags: int = 10) -> DataFrame:
+    """state, K, H: fit_k for every state at once, of trajectories that each have one; null with less than two lags."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("lag")
+        found = (None, None)
+        if len(g) > 1:
+            found = fit_curve(g.lag.to_numpy(float), g.msd.to_numpy(), g["sem"].fillna(g["msd"]).to_numpy(), sigma, r)
+        return pd.DataFrame({"state": [g.state.iloc[0]], "K": [found[0]], "H": [found[1]]}).astype({"K": float, "H": float})
+
+    return T.pooled_msd(traces, lags, by=("state",)).groupBy("state").applyInPandas(run, "state int, K double, H double")
+
+
 def longest_stride(traces: DataFrame, most: int = 75, least: int = 30) -> int:
     """The greatest stride up to which all strides have places for at least `least` ratios."""
     n = {x.delta: x.n for x in diffusion.ratio_counts(traces, most).collect()}
@@ -111,6 +124,19 @@ def multi_delta_scan(traces: DataFrame, k: float = 1.0, sigma: float = 0.0, r: f
     return fits.where((F.col("n_ratios") >= least) & (F.col("delta") <= top)).withColumn("converged", ~F.isnan("H_estim"))
 
 
+def scan_by_state(traces: DataFrame, ks: DataFrame, sigma: float = 0.0, r: float = 0.0, most: int = 75, least: int = 30) -> DataFrame:
+    """multi_delta_scan of each state by its own K (ks: state, K), all in one pass, of trajectories that each have one state.
+
+    Places for ratios fall as strides grow, so a state's strides end where it has fewer than `least`.
+    """
+    places = diffusion.ratio_counts(traces.join(ks.select("state"), "state", "left_semi"), most, ("state",))
+    tops = graph.cut_lineage(places.where(F.col("n") >= least).groupBy("state").agg(F.max("delta").alias("top")))  # a row a state
+    longest = tops.agg(F.max("top")).first()[0]
+    own = ks.select("state", F.col("K").alias("k")).join(tops, "state")
+    ratios = diffusion.stride_ratios(traces, max(1, longest or 1)).join(own, "state").where(F.col("delta") <= F.col("top")).drop("top")
+    return diffusion.h_fit(ratios, r, sigma=sigma).where(F.col("n_ratios") >= least).withColumn("converged", ~F.isnan("H_estim"))
+
+
 def sensitivity(scan: DataFrame, k: float, sigma: float, r: float, factors: tuple[float, ...] = (0.1, 0.5, 1.0, 2.0, 10.0)) -> DataFrame:
     """H that a fitted location would mean if the noise variance were some multiple of what it was taken for."""
     rows = scan.select("state", "delta", "rho", F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor"))

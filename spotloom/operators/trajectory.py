@@ -142,13 +142,16 @@ def ta_ea_sd(runs: DataFrame, pixel_um: float = 1.0, max_lag: int | None = None)
     return each.groupBy("state", "lag").agg(F.avg("sd").alias("mean"), F.stddev_pop("sd").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
-def pooled_msd(traces: DataFrame, lags: int = 5, pixel_um: float = 1.0) -> DataFrame:
-    """Mean of squared one-dimensional displacements at lags of 1 to `lags` points, x and y pooled, and its standard error."""
+def pooled_msd(traces: DataFrame, lags: int = 5, pixel_um: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of squared one-dimensional displacements at lags of 1 to `lags` points, x and y pooled, and its standard error.
+
+    With by, a curve for each group; a point's displacements count to its own group.
+    """
     at = lambda c, n: (F.lead(c, n).over(by_frame()) - F.col(c)) * pixel_um
-    ahead = traces.select(*[(at(c, n) ** 2).alias(f"{c}{n}") for n in range(1, lags + 1) for c in ("x", "y")])
+    ahead = traces.select(*by, *[(at(c, n) ** 2).alias(f"{c}{n}") for n in range(1, lags + 1) for c in ("x", "y")])
     cells = F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"{c}{n}").alias("sd")) for n in range(1, lags + 1) for c in ("x", "y")])
-    p = ahead.select(F.explode(cells).alias("p")).select("p.lag", "p.sd").where("sd is not null")
-    return p.groupBy("lag").agg(F.avg("sd").alias("msd"), (F.stddev_samp("sd") / F.sqrt(F.count(F.lit(1)))).alias("sem"), F.count(F.lit(1)).alias("n"))
+    p = ahead.select(*by, F.explode(cells).alias("p")).select(*by, "p.lag", "p.sd").where("sd is not null")
+    return p.groupBy(*by, "lag").agg(F.avg("sd").alias("msd"), (F.stddev_samp("sd") / F.sqrt(F.count(F.lit(1)))).alias("sem"), F.count(F.lit(1)).alias("n"))
 
 
 def lag_pairs(traces: DataFrame, lags: int = 1, pixel_um: float = 1.0) -> DataFrame:

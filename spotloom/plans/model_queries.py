@@ -11,6 +11,7 @@ from spotloom.functions import lookup, tracking
 from spotloom.operators import estimators, graph, linking, localize, mixtures, postprocess
 from spotloom.operators import features as X
 from spotloom.operators import trajectory as T
+from spotloom.operators.quantiles import quantiles
 from spotloom.plans import adapters as A
 from spotloom.plans import feature_queries, spot_queries
 from spotloom.sources import pictures, tables
@@ -30,7 +31,9 @@ def _pairs(s, d):
 
 def _spread(s, d):
     """H of every trajectory and its ends rounded outwards to twentieths."""
-    return A.diffusion(s, d).agg((F.floor(F.min("H") * 20) / 20).alias("low"), (F.ceil(F.max("H") * 20) / 20).alias("high"), *[F.round(F.percentile("H", F.lit(q)), 6).alias(n) for q, n in ((0.025, "p2_5"), (0.975, "p97_5"))])
+    h = A.diffusion(s, d)
+    ends = h.agg((F.floor(F.min("H") * 20) / 20).alias("low"), (F.ceil(F.max("H") * 20) / 20).alias("high"))
+    return ends.join(F.broadcast(quantiles(h, "H", [], p2_5=0.025, p97_5=0.975))).select("low", "high", F.round("p2_5", 6).alias("p2_5"), F.round("p97_5", 6).alias("p97_5"))  # a row each
 
 
 def _roi(s, d):

@@ -103,32 +103,24 @@ def read_written(spark: SparkSession, path: str) -> DataFrame:
     return schemas.conform(loc.withColumn("spot_idx", spots), schemas.LOC)
 
 
-def statistics(traces: DataFrame, sigma: float, r: float = 0.0, cutoff: int = 3, states: int = 100) -> dict[str, DataFrame | dict]:
+def statistics(traces: DataFrame, sigma: float, r: float = 0.0, cutoff: int = 3) -> dict[str, DataFrame | dict]:
     """Advanced statistics by state, of trajectories of at least cutoff points.
 
     Curves and fits of all states; and for states with five trajectories whose K is above the least that a fit can
-    give, the signal over noise, K, and the scan over strides with what follows from it. States are few (the first
-    `states` by number).
+    give, the signal over noise, K, and the scan over strides with what follows from it. All states are fitted at once; a
+    row a state comes to the driver, its K.
     """
     kept = T.min_points(traces, cutoff)
     runs = T.state_runs(kept)
+    own = kept.withColumn("video", F.concat_ws("#", "video", "state"))  # what a trajectory does in a state is one of its own
+    many = own.groupBy("state").agg(F.countDistinct(*TRAJ).alias("n")).where("n >= 5")
+    ks = graph.cut_lineage(estimators.fit_k_by_state(own, sigma, r).join(many, "state", "left_semi").where("K > 1.01e-4"))
     out: dict = {
-        "time_averaged": T.ta_ea_sd(runs), "displacements": estimators.displacement_histogram_fit(runs), "ratios": estimators.ratio_histogram_fit(runs), "snr": diffusion.snr_by_state(kept, sigma), "k": {}, "scan": None,
+        "time_averaged": T.ta_ea_sd(runs), "displacements": estimators.displacement_histogram_fit(runs), "ratios": estimators.ratio_histogram_fit(runs), "snr": diffusion.snr_by_state(kept, sigma),
+        "k": {x.state: x.K for x in ks.collect()}, "scan": None,
     }
-    many = kept.groupBy("state").agg(F.countDistinct(*TRAJ).alias("n")).where("n >= 5").orderBy("state").limit(states).collect()
-    scans = []
-    for state in (x.state for x in many):
-        own = kept.where(F.col("state") == state)
-        fit = estimators.fit_k(own, sigma, r)
-        if fit is None or fit[0] <= 1.01e-4:
-            continue
-        out["k"][state] = fit[0]
-        scans.append(estimators.multi_delta_scan(own, fit[0], sigma, r))
-    if scans:
-        scan = scans[0]
-        for more in scans[1:]:
-            scan = scan.unionByName(more)
-        out["scan"] = scan = graph.cut_lineage(scan)
+    if out["k"]:
+        out["scan"] = scan = graph.cut_lineage(estimators.scan_by_state(own, ks, sigma, r))
         plain = scan.where("converged and H_std > 0").select("state", "delta", F.col("H_estim").alias("h"), F.col("H_std").alias("se"))
         out["pairs"] = diffusion.z_pairs(plain)
         out["significance"] = diffusion.z_summary(out["pairs"])

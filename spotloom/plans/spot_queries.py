@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spotloom.functions import cauchy as C
 from spotloom.operators import classify, diffusion, graph, image, linking
+from spotloom.operators.quantiles import quantiles
 from spotloom.plans import adapters as A
 
 SHAPES = [{"type": "rect", "x1": 60.0, "y1": 35.0, "x2": 90.0, "y2": 65.0, "angle": 15.0}, {"type": "ellipse", "cx": 100.0, "cy": 50.0, "rx": 40.0, "ry": 25.0, "angle": 30.0}]
@@ -16,7 +17,7 @@ RHO = (0.5, 0.1, 0.2)
 
 
 def _edges(s, d):
-    return graph.candidate_edges(A.loc(s, d), THRESHOLD, HORIZON, False)
+    return graph.candidate_edges(A.loc(s, d), THRESHOLD, HORIZON)
 
 
 def _norm(s, d):
@@ -33,6 +34,12 @@ def _table(s, d):
     return _scan(s, d).where("h between 0.05 and 0.95").select("state", "delta", "h", "n")
 
 
+def _medians(s, d):
+    ratios, by = diffusion.stride_ratios(A.traces(s, d), 3), ["delta", "axis", "state"]
+    n = ratios.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(quantiles(ratios, "ratio", by, median=0.5), by).select(*by, "n", F.round("median", 4).alias("median"))
+
+
 def _gauss(s, d):
     px = image.pixels(A.frames(s, d)).withColumn("v", F.exp("v"))
     peaks = image.local_maxima(px, 2, "v")
@@ -87,7 +94,7 @@ QUERIES = {
     "annulus_stats": lambda s, d: image.annulus_stats(image.pixels(A.frames(s, d)), _peaks(s, d)).select("frame", "spot_idx", F.round("bg_median", 5).alias("bg_median"), F.round("bg_var", 5).alias("bg_var"), F.round("integrated_flux", 4).alias("integrated_flux")),
     "density_raster": lambda s, d: image.density_raster(A.loc(s, d), 10.0).select("video", "r", "c", F.round("density", 4).alias("density")),
     "kde_log_k": lambda s, d: image.kde_1d(A.diffusion(s, d).where("K > 0").withColumn("lk", F.log10("K")), "lk").select("id", F.round("density", 5).alias("density")),
-    "ratio_multi_delta": lambda s, d: diffusion.stride_ratios(A.traces(s, d), 3).groupBy("delta", "axis", "state").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("ratio"), 4).alias("median")),
+    "ratio_multi_delta": _medians,
     "ratio_counts": lambda s, d: diffusion.ratio_counts(A.traces(s, d), 8),
     "h_grid_mle": lambda s, d: diffusion.h_grid(diffusion.stride_ratios(A.traces(s, d), 2)).select("state", "delta", F.round("h", 4).alias("h"), F.round("ll", 2).alias("ll"), "n"),
     "h_fit": lambda s, d: diffusion.h_fit(diffusion.stride_ratios(A.traces(s, d), 4)),

@@ -11,6 +11,7 @@ from spotloom import schemas
 from spotloom.functions import register
 from spotloom.operators import graph, image
 from spotloom.plans import run as plan
+from spotloom.operators import estimators
 from spotloom.sources import pictures, shapes, stacks, tables
 
 
@@ -223,4 +224,18 @@ def test_statistics_by_state(spark):
     got = plan.statistics(spark.createDataFrame(rows, schemas.TRACES), 0.1)
     assert set(got["k"]) == {0, 1} and all(0.2 < k < 1 for k in got["k"].values())
     assert {r.state for r in got["significance"].collect()} == {0, 1} == {r.state for r in got["drift"].collect()}
+    for state, k in got["k"].items():  # all at once gives what each state gives by itself
+        own = spark.createDataFrame([r for r in rows if r[6] == state], schemas.TRACES)
+        assert estimators.fit_k(own, 0.1) == pytest.approx((k, estimators.fit_k(own, 0.1)[1]))
+        alone = {r.delta: (r.H_estim, r.H_std, r.n_ratios) for r in estimators.multi_delta_scan(own, k, 0.1).collect()}
+        assert {r.delta: (r.H_estim, r.H_std, r.n_ratios) for r in got["scan"].where(F.col("state") == state).collect()} == {d: pytest.approx(v, rel=1e-5) for d, v in alone.items()}
     assert {r.state for r in got["snr"].collect()} == {0, 1, 7} and got["pairs"].where("p < 0 or p > 1").isEmpty()
+
+
+def test_statistics_of_more_than_a_hundred_states(spark):
+    from spotloom.plans import run as plan
+
+    rng = np.random.default_rng(4)
+    rows = [("v", 6 * s + t, f, *map(float, p), 0.0, s) for s in range(120) for t in range(6) for f, p in enumerate(np.cumsum(rng.normal(0, 1 + s % 3, (20, 2)), 0))]
+    got = plan.statistics(spark.createDataFrame(rows, schemas.TRACES), 0.1)
+    assert set(got["k"]) == set(range(120)) == {r.state for r in got["scan"].select("state").distinct().collect()}
