@@ -61,6 +61,12 @@ def sigma_crlb(fisher: Column, n: Column | float) -> Column:
     return 1 / F.sqrt(fisher * n)
 
 
+def n_eff_from_variance(variance: Column, h: Column, delta: Column | float, r: float, k: float, sigma: float) -> Column:
+    """How many independent ratios an estimate of H with this variance is worth; null without variance or information."""
+    info = fisher_h(h, delta, r, k, sigma)
+    return F.when((variance > 0) & (info > 0), 1 / (variance * info))
+
+
 def log_density(ratio: Column, rho_: Column) -> Column:
     """Log density of a ratio under a Cauchy law of location rho and scale sqrt(1 - rho^2)."""
     g2 = 1 - rho_ * rho_

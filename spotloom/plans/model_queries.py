@@ -85,6 +85,8 @@ QUERIES = {
     "k_fit": lambda s, d: s.createDataFrame([estimators.fit_k(A.traces(s, d), 0.5) or (None, None)], "K double, H double"),
     "localize": lambda s, d: localize.localize(A.rendered(s, d)),
     "localize_rounds": lambda s, d: localize.localize(A.rendered(s, d), localize.Options(deflations=1, smooth=2)),
+    "sigma_loc": lambda s, d: estimators.sigma_loc(localize.localize(A.rendered(s, d))).select("video", "frame", "spot_idx", "sigma_loc"),
+    "place_labels": lambda s, d: postprocess.place_labels(A.traces(s, d)).select("video", "traj_idx", "frame", "place"),
     "greedy_jump_threshold": lambda s, d: s.createDataFrame([(mixtures.gmm_jump_threshold(graph.cut_lineage(mixtures.trim_jumps(graph.cut_lineage(linking.greedy_matches_with_parts(A.loc(s, d)).select("dx", "dy"))))),)], "threshold double"),
     "displacement_fit": lambda s, d: estimators.displacement_histogram_fit(_runs(s, d)),
     "ratio_fit": lambda s, d: estimators.ratio_histogram_fit(_runs(s, d)),

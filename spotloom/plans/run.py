@@ -17,6 +17,7 @@ from spotloom.operators import diffusion, estimators, features, forecast, graph,
 from spotloom.operators import trajectory as T
 from spotloom.schemas import TRAJ
 from spotloom.sources import stacks, tables
+from spotloom.streaming import progress
 
 #: Columns of a file of spots, and the folder's.
 LOC_FILE = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*(f for f in schemas.LOC if f.name not in ("video", "spot_idx")), schemas.LOC[0]])
@@ -79,20 +80,20 @@ def diffusion_of(traces: DataFrame, options: Options) -> DataFrame:
 def run(spark: SparkSession, path: str, out: str, options: Options | None = None) -> dict[str, DataFrame]:
     """Everything from the pictures under a path to files under out: loc, traces, diffusion, and errors of files."""
     options = options or Options()
-    tell = options.progress
-    tell(0, "reading")
-    frames = stacks.read_images(spark, path)
-    tables.write_errors(frames, f"{out}/errors")
-    tell(10, "locating")
-    tables.write_localizations(locate(frames, options), f"{out}/loc")
-    loc = read_written(spark, f"{out}/loc")
-    tell(50, "tracking")
-    traces = track(loc, options)
-    tables.write_traces(traces, f"{out}/traces")
-    tell(80, "estimates")
-    found = diffusion_of(traces, options)
-    tables.write_csv(found.select("video", "traj_idx", "H", "K"), f"{out}/diffusion", "video")
-    tell(100, "done")
+    step = lambda low, high, label: progress.between(spark, options.progress, low, high, label)
+    with step(0, 10, "reading"):
+        frames = stacks.read_images(spark, path)
+        tables.write_errors(frames, f"{out}/errors")
+    with step(10, 50, "locating"):
+        tables.write_localizations(locate(frames, options), f"{out}/loc")
+        loc = read_written(spark, f"{out}/loc")
+    with step(50, 80, "tracking"):
+        traces = track(loc, options)
+        tables.write_traces(traces, f"{out}/traces")
+    with step(80, 100, "estimates"):
+        found = diffusion_of(traces, options)
+        tables.write_csv(found.select("video", "traj_idx", "H", "K"), f"{out}/diffusion", "video")
+    options.progress(100, "done")
     return {"loc": loc, "traces": traces, "diffusion": found}
 
 

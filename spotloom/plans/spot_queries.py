@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from spotloom import schemas
 from spotloom.functions import cauchy as C
 from spotloom.operators import classify, diffusion, graph, image, linking
 from spotloom.operators.quantiles import quantiles
@@ -52,6 +53,13 @@ def _peaks(s, d):
     return image.local_maxima(image.pixels(A.frames(s, d)), 1, "v").select("video", "frame", (F.col("r") * 8 + F.col("c")).alias("spot_idx"), "r", "c")
 
 
+def _recomputed(s, d):
+    """Background and flux of the greatest pixels, taken for spots without any, from the raw pictures."""
+    spots = schemas.conform(_peaks(s, d).select("video", "frame", "spot_idx", F.col("c").alias("x"), F.col("r").alias("y"), F.lit(5).alias("window_size")), schemas.LOC)
+    out = image.recomputed_background(A.frames(s, d), spots)
+    return out.select("frame", "spot_idx", F.round("bg_median", 5).alias("bg_median"), F.round("bg_var", 5).alias("bg_var"), F.round("integrated_flux", 4).alias("integrated_flux"))
+
+
 #: A plot of 100 by 50 pixels, and shapes drawn on it, which overlap.
 PLOT, BOUNDS = (100, 50), (0.0, 200.0, 0.0, 100.0)
 DRAWN = [{"type": "rect", "x1": 30.0, "y1": 17.0, "x2": 45.0, "y2": 33.0, "angle": 15.0}, {"type": "ellipse", "cx": 50.0, "cy": 25.0, "rx": 20.0, "ry": 12.0, "angle": 30.0}, {"type": "line", "p1": [0.0, 22.0], "p2": [99.0, 30.0]}]
@@ -92,6 +100,7 @@ QUERIES = {
     "nms_detect": lambda s, d: image.suppress(image.local_maxima(image.likelihood(_norm(s, d), image.background(_norm(s, d)), 3, 1.0)).where("score > 0.05")),
     "gaussian_fit": _gauss,
     "annulus_stats": lambda s, d: image.annulus_stats(image.pixels(A.frames(s, d)), _peaks(s, d)).select("frame", "spot_idx", F.round("bg_median", 5).alias("bg_median"), F.round("bg_var", 5).alias("bg_var"), F.round("integrated_flux", 4).alias("integrated_flux")),
+    "recomputed_background": _recomputed,
     "density_raster": lambda s, d: image.density_raster(A.loc(s, d), 10.0).select("video", "r", "c", F.round("density", 4).alias("density")),
     "kde_log_k": lambda s, d: image.kde_1d(A.diffusion(s, d).where("K > 0").withColumn("lk", F.log10("K")), "lk").select("id", F.round("density", 5).alias("density")),
     "ratio_multi_delta": _medians,
@@ -100,6 +109,7 @@ QUERIES = {
     "h_fit": lambda s, d: diffusion.h_fit(diffusion.stride_ratios(A.traces(s, d), 4)),
     "snr_by_state": lambda s, d: diffusion.snr_by_state(A.traces(s, d), 0.2).select("state", F.round(F.col("msd1") + 1e-9, 3).alias("msd1"), "floor", F.round("snr", 2).alias("snr")),
     "rho_gamma_table": lambda s, d: _table(s, d).select("state", "h", "delta", F.round(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO), 6).alias("rho"), F.round(C.gamma(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO)), 6).alias("gamma"), F.round(C.rho_free(F.col("h")), 6).alias("free")),
+    "n_eff_from_variance": lambda s, d: _scan(s, d).where("h between 0.05 and 0.95").select("state", "delta", F.round(C.n_eff_from_variance(F.col("se") ** 2, F.col("h"), F.col("delta").cast("double"), *RHO), 3).alias("n_eff")),
     "crlb_table": lambda s, d: _table(s, d).select("state", "h", "delta", F.round(C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), *RHO), F.col("n")), 4).alias("se")),
     "trust_bands": lambda s, d: diffusion.trust(_table(s, d), *RHO, 0.05).select("state", "h", "delta", F.round("spread", 4).alias("spread"), "trusted"),
     "precision_map": lambda s, d: diffusion.precision_map(_table(s, d).select("state", "h", "delta"), *RHO).select("state", "h", "delta", "i", F.round("n_eff", 3).alias("n_eff"), F.round("se", 4).alias("se")),
@@ -238,6 +248,10 @@ SQL = {
     "annulus_stats": _F + """, sp as (select a.frame, a.r * 8 + a.c as spot_idx, a.r as r0, a.c as c0 from px a join px b on a.frame = b.frame and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.frame, a.r, a.c, a.v having a.v = max(b.v)),
   m as (select frame, spot_idx, v, (r - r0) ** 2 + (c - c0) ** 2 > 9 as ring, abs(r - r0) <= 3 and abs(c - c0) <= 3 as core from px join sp using (frame) where abs(r - r0) <= 6 and abs(c - c0) <= 6)
   select frame, spot_idx, round(median(v) filter (ring), 5) as bg_median, round(var_pop(v) filter (ring), 5) as bg_var, round(sum(v) filter (core) - count(*) filter (core) * (median(v) filter (ring)), 4) as integrated_flux from m group by 1, 2 having count(*) filter (ring) >= 10""",
+    "recomputed_background": _F + """, sp as (select a.frame, a.r * 8 + a.c as spot_idx, a.r as r0, a.c as c0 from px a join px b on a.frame = b.frame and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.frame, a.r, a.c, a.v having a.v = max(b.v)),
+  m as (select frame, spot_idx, v, (r - r0) ** 2 + (c - c0) ** 2 > 9 as ring, abs(r - r0) <= 2 and abs(c - c0) <= 2 as core from px join sp using (frame) where abs(r - r0) <= 6 and abs(c - c0) <= 6),
+  st as (select frame, spot_idx, median(v) filter (ring) as mid, var_pop(v) filter (ring) as var, sum(v) filter (core) as s, count(*) filter (core) as n from m group by 1, 2 having count(*) filter (ring) >= 10)
+  select frame, spot_idx, round(mid, 5) as bg_median, round(var, 5) as bg_var, round(s - n * mid, 4) as integrated_flux from sp left join st using (frame, spot_idx)""",
     "density_raster": _L + ", o as (select unnest([-1, 0, 1]) as d) select video, cast(floor(y / 10) + a.d as bigint) as r, cast(floor(x / 10) + b.d as bigint) as c, round(sum(exp(-(a.d * a.d + b.d * b.d) / 2.0::double)), 4) as density from loc, o a, o b group by 1, 2, 3",
     "kde_log_k": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + """, l as (select log10(K) as lk from df where K > 0), s as (select stddev_samp(lk) * pow(count(*), -0.2) as bw, count(*) as n, min(lk) as lo, max(lk) as hi from l)
   select cast(i as integer) as id, round(sum(exp(-0.5 * pow((lo + i * ((hi - lo) / 199) - lk) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 5) as density from l, s, range(200) t(i) group by 1""",
@@ -248,6 +262,7 @@ SQL = {
     "snr_by_state": _TR + """, q as (select state, pow(lead(x) over w - x, 2) as x2, pow(lead(y) over w - y, 2) as y2 from tr window w as (partition by video, traj_idx order by frame))
   select state, round((avg(x2) + avg(y2)) / 2 + 1e-9, 3) as msd1, 0.08000000000000002::double as floor, round((avg(x2) + avg(y2)) / 2 / 0.08, 2) as snr from q where x2 is not null group by 1""",
     "rho_gamma_table": _TB + f" select state, h, delta, round({_sql_rho('h', 'delta::double')}, 6) as rho, round(sqrt(1 - pow({_sql_rho('h', 'delta::double')}, 2)), 6) as gamma, round(pow(2, 2 * h - 1) - 1, 6) as free from tb",
+    "n_eff_from_variance": _SC + f" select state, delta, round(1 / (se * se / ({_SE} * {_SE} * n)), 3) as n_eff from sc where h between 0.05 and 0.95",
     "crlb_table": _TB + f" select state, h, delta, round({_SE}, 4) as se from tb",
     "trust_bands": _TB + f" select state, h, delta, round(abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r}, 4) as spread, {_SE} <= 0.05 and abs({_NOISE} / {_SLOPE}) * {RHO[2] ** 2!r} <= 0.05 as trusted from tb",
     "precision_map": _TB + ", pm as (select state, h, delta, cast(i as integer) as i, pow(10::double, 1 + i * (4::double / 119)) as n from tb, range(120) q(i))" + f" select state, h, delta, i, round(n, 3) as n_eff, round({_SE}, 4) as se from pm",

@@ -213,7 +213,11 @@ def read_images(spark: SparkSession, path: str, glob: str = "*", others: bool =
     says why; with others=True, so do files of other kinds, which are left out otherwise. A file is a row of Spark's
     binaryFile source, so it has 2 GB at most.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path), others)
+
+
+def decoded(files: DataFrame, others: bool = False) -> DataFrame:
+    """Frames of files that are rows of path and content, at rest or as a stream."""
     if not others:
         files = files.where(F.lower("path").rlike(r"\.(tiff?|nd2)$"))
 

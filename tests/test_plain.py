@@ -223,3 +223,44 @@ def test_histogram_fits_are_least(spark, sf_dir, name):
             near = [(h, a) for h in np.linspace(0.02, 0.98, 49) for a in np.linspace(0.1, 1.5, 29)]
             mine = loss(r.h, r.alpha)
         assert mine <= min(loss(*p) for p in near) + 0.01
+
+
+def test_sigma_loc(spark, sf_dir):
+    """Information on a spot's place in each pixel, by differences of the pixels' expectations."""
+    spots = {(r.video, r.frame, r.spot_idx): r for r in localize.localize(A.rendered(spark, sf_dir)).collect()}
+    got = {(r.video, r.frame, r.spot_idx): r.sigma_loc for r in Q["sigma_loc"](spark, sf_dir).collect()}
+    assert set(got) == set(spots) and sum(v is not None for v in got.values()) > 50
+    for key in [k for k in sorted(got) if got[k] is not None][::7]:
+        s = spots[key]
+        half, k = s.window_size // 2, 1 - s.rho**2
+        sx, sy = math.sqrt(s.xvar), math.sqrt(s.yvar)
+        caught = min(1, max(0.5, math.erf(s.window_size / 2 / (sx * math.sqrt(2))) * math.erf(s.window_size / 2 / (sy * math.sqrt(2)))))
+
+        def expected(x, y, i, j):
+            u, v = (round(s.x) + i - x) / sx, (round(s.y) + j - y) / sy  # noqa: B023
+            return s.integrated_flux / caught / (2 * math.pi * sx * sy * math.sqrt(k)) * math.exp(-(u * u + v * v - 2 * s.rho * u * v) / (2 * k))  # noqa: B023
+
+        info = np.zeros((2, 2))
+        for i, j in itertools.product(range(-half, half + 1), repeat=2):
+            g = np.array([expected(s.x + 1e-5, s.y, i, j) - expected(s.x - 1e-5, s.y, i, j), expected(s.x, s.y + 1e-5, i, j) - expected(s.x, s.y - 1e-5, i, j)]) / 2e-5
+            info += np.outer(g, g) / s.bg_var
+        cov = np.linalg.inv(info)
+        assert got[key] == pytest.approx(0.5 * (math.sqrt(cov[0, 0]) + math.sqrt(cov[1, 1])), rel=1e-4)
+
+
+def test_place_labels(spark, sf_dir, traces):
+    """Each point has the label of the likeliest cluster; labels of a trajectory that are told apart lie apart."""
+    from spotloom.operators import postprocess
+
+    got = Q["place_labels"](spark, sf_dir).toPandas().merge(traces, on=["video", "traj_idx", "frame"])
+    assert len(got) == len(traces)
+    for _, g in got.groupby(["video", "traj_idx"]):
+        g = g.sort_values("frame")
+        xy, k = g[["x", "y"]].to_numpy(), min(postprocess.components_for(len(g)), len(g))
+        labels, centres = postprocess.spherical_mixture(xy, k)
+        assert g.place.nunique() <= k
+        for a, b in itertools.combinations(range(k), 2):
+            if np.hypot(*(centres[a] - centres[b])) < postprocess.MERGE:
+                assert len(set(g.place[(labels == a) | (labels == b)])) <= 1
+        same = {(p, q) for p, q in zip(labels, g.place)}
+        assert all(len({q for p, q in same if p == lab}) == 1 for lab in set(labels))  # clusters are joined, never cut
