@@ -44,6 +44,8 @@ ETA, STEP, AHEAD, NEAR, STEPS, ROUNDS = 4.0, 0.1, 0.25, 0.03, 100, 4
 #: Configurations tried for a sequence whose pieces are not all left, and the share of pieces (one in so many) that may be
 #: packed anew.
 TRIES, MEND = 8, 10
+#: Sequences that are packed anew a few at a time: of those that are, the emptiest; how many together, and how often.
+SPARE, EMPTIEST, FEW, TIMES = 2000, 500, 12, 300
 
 
 #: What pre-tokenizers of kind ByteLevel split a text by.
@@ -293,11 +295,46 @@ def mended(planned: list[tuple[dict[int, int], int]], capacity: int, most: int)
     return rest + again if sum(m for _, m in again) < sum(k for _, k in pool) else planned
 
 
+def repacked(planned: list[tuple[dict[int, int], int]], capacity: int, least: int) -> list[tuple[dict[int, int], int]]:
+    """planned, with a few sequences at a time packed anew, where that takes fewer or leaves its room in fewer places.
+
+    Room that is gathered in one sequence is what lets another go. The two emptiest of at most SPARE sequences and some
+    drawn from the others are filled by their longest piece and the fullest choice to go with it, or by best fit; all is
+    bounded, and seeded. As few sequences as `least` end it.
+    """
+    rng = np.random.default_rng(3)
+    room = lambda c: capacity - sum(x * times for x, times in c.items())
+    order = sorted(range(len(planned)), key=lambda i: -room(planned[i][0]))
+    order, drawn = order[:EMPTIEST], rng.permutation(order[EMPTIEST:]).tolist()
+    bins, taken = [], {}
+    for i in order + drawn:
+        taken[i] = min(planned[i][1], SPARE - len(bins))
+        bins += [planned[i][0]] * taken[i]
+        if len(bins) == SPARE:
+            break
+    rest = [(c, m - taken.get(i, 0)) for i, (c, m) in enumerate(planned) if m > taken.get(i, 0)]
+    others = sum(m for _, m in rest)
+    worth = lambda some: (len(some), -sum((capacity - room(c)) ** 2 for c in some))
+    for _ in range(TIMES):
+        if len(bins) + others <= least or len(bins) < 2:
+            break
+        empty = sorted(range(len(bins)), key=lambda i: -room(bins[i]))[:2]
+        pick = {*empty, *rng.choice(len(bins), min(FEW, len(bins)), replace=False).tolist()}
+        counts = np.zeros(capacity + 1, np.int64)
+        for i in pick:
+            for x, times in bins[i].items():
+                counts[x] += times
+        again = min(([c for c, m in new for _ in range(m)] for new in (rounded({}, counts, capacity), best_fit(counts, capacity))), key=worth)
+        if worth(again) < worth([bins[i] for i in pick]):
+            bins = [c for i, c in enumerate(bins) if i not in pick] + again
+    return rest + [(c, 1) for c in bins]
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Configurations (length: times) and multiplicities that use up counts exactly.
 
     The program is solved and rounded up to ROUNDS times with prices that differ slightly, and the fewest sequences are
-    taken; as few as there are full sequences of tokens end the search.
+    taken, some of which are packed anew; as few as there are full sequences of tokens end the search.
     """
     rest, whole = counts.astype(np.int64).copy(), int(counts[capacity])
     rest[capacity] = 0
@@ -305,6 +342,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     best: list[tuple[dict[int, int], int]] | None = None
     for seed in range(ROUNDS if least else 0):
         found = mended(rounded(configuration_program(rest, capacity, seed), rest, capacity), capacity, int(counts.sum()) // MEND)
+        found = repacked(found, capacity, least)
         if best is None or sum(m for _, m in found) < sum(m for _, m in best):
             best = found
         if sum(m for _, m in best) == least:

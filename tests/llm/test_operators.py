@@ -563,6 +563,41 @@ def test_other_tokenizers_are_left_to_the_library():
         assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_texts_take_no_more_sequences_than_best_fit(spark, sf):
+    from spotloom.llm.registry import tokenizer_path
+
+    pieces = packing.cut(table(spark, f"/root/testdata/{sf}", "documents"), "doc_id", "text", tokenizer_path(), 1024, 2)
+    counts = np.zeros(1025, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        counts[r.length] = r["count"]
+    planned = packing.plan(counts, 1024)
+    used = np.zeros(1025, np.int64)
+    for c, m in planned:
+        assert m > 0 and sum(x * times for x, times in c.items()) <= 1024
+        for x, times in c.items():
+            used[x] += times * m
+    assert (used == counts).all()
+    assert sum(m for _, m in planned) <= sum(m for _, m in packing.best_fit(counts, 1024))
+
+
+def test_packing_anew_is_bounded_and_never_takes_more(monkeypatch):
+    rng = np.random.default_rng(0)
+    counts = np.bincount(rng.integers(1, 60, 400), minlength=101)
+    poor = [({x: 1}, int(n)) for x, n in enumerate(counts) if n]
+    assert packing.repacked(poor, 100, 1 << 60) is not poor and sum(m for _, m in packing.repacked(poor, 100, 1 << 60)) == 400
+    for spare in (2000, 30, 1, 0):
+        monkeypatch.setattr(packing, "SPARE", spare)
+        new = packing.repacked(poor, 100, 0)
+        used = np.zeros(101, np.int64)
+        for c, m in new:
+            assert m > 0 and sum(x * k for x, k in c.items()) <= 100
+            for x, k in c.items():
+                used[x] += k * m
+        assert (used == counts).all() and sum(m for _, m in new) <= 400
+    assert packing.repacked([], 100, 0) == []
+
+
 # classifiers
 
 
