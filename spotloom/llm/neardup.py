@@ -35,6 +35,8 @@ from spotloom.llm.components import components
 BINS, BAND = 128, 4
 #: Rounds with one star a bucket before what is left is compared in full.
 STAR_ROUNDS = 2
+#: Parts that the texts of a group are dealt into where they get the group's name.
+NAME_PARTS = 16
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -240,8 +242,12 @@ def _sorted_out(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         named = named.withColumn("component", F.col("rep"))
     else:
         named = scratch.keep(named.join(labels.select(F.col("id").alias("node"), F.col("component").alias("top")).hint("merge"), "node", "left"), "named")
-        first = named.where("top is not null").groupBy("top").agg(F.min("rep").alias("least"))
-        named = named.join(first.hint("merge"), "top", "left").select("set", F.coalesce("least", "rep").alias("component"))
+        # Most texts are linked with none, and a group may hold a third of all: neither meets the groups' names in one task.
+        linked = named.where("top is not null")
+        first = linked.groupBy("top").agg(F.min("rep").alias("component"))
+        dealt = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))))
+        linked = linked.withColumn("_part", F.pmod(F.xxhash64("set"), F.lit(NAME_PARTS)).cast("int")).join(dealt.hint("merge"), ["top", "_part"])
+        named = named.where("top is null").select("set", F.col("rep").alias("component")).unionByName(linked.select("set", "component"))
     named = named.select(F.col("set").alias("s"), "component")
     found = signed.drop("keys").join(named.hint("merge"), F.col("set") == F.col("s"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
