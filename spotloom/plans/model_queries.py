@@ -70,6 +70,7 @@ QUERIES = {
     "trim_jumps": lambda s, d: mixtures.trim_jumps(_pairs(s, d)).groupBy("video").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.greatest(F.abs("dx"), F.abs("dy"))), 4).alias("most")),
     "jump_density_lookup": lambda s, d: _pairs(s, d).select("video", "frame", "src_idx", "dst_idx", F.round(lookup.log_jump_density(F.col("d"), F.array(*[F.lit(v) for v in LAW])), 4).alias("log_density")),
     "quantile_axis_lookup": lambda s, d: A.diffusion(s, d).select("video", "traj_idx", lookup.beyond(AXIS, F.col("K")).alias("at")),
+    "trajectory_colours": lambda s, d: A.traces(s, d).select("video", "traj_idx").distinct().withColumn("colour", tracking.colour(F.col("traj_idx"))),
     "segments": lambda s, d: pictures.segments(A.traces(s, d)).select("video", "traj_idx", "frame", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")]),
     "viz_range": _spread,
     "roi_stats": _roi,
@@ -137,6 +138,11 @@ SQL = {
     "trim_jumps": _PAIRS + ", " + _TRIM.format("ap", "a1") + ", " + _TRIM.format("a1", "a2") + " select video, count(*) as n, round(max(greatest(abs(dx), abs(dy))), 4) as most from a2 where abs(dx) < 10 and abs(dy) < 10 group by 1",
     "jump_density_lookup": _PAIRS + f" select video, frame, src_idx, dst_idx, round(ln(exp(-least(floor(sqrt(dx * dx + dy * dy) / 20 * 40), 38) / 8) / 4 + 1e-7), 4) as log_density from ap",
     "quantile_axis_lookup": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + " select video, traj_idx, cast(case when K < -1 then 0 when K < 0 then 1 when K < 0.5 then 2 when K < 1 then 3 else 4 end as integer) as at from df",
+    "trajectory_colours": _P + f""", m0 as (select distinct video, traj_idx, (traj_idx::uhugeint + {tracking.MIX_ADD}) % {1 << 64}::uhugeint as x from tr),
+  m1 as (select video, traj_idx, (xor(x, x >> {tracking.MIX_ROUNDS[0][0]}) * {tracking.MIX_ROUNDS[0][1]}::uhugeint) % {1 << 64}::uhugeint as x from m0),
+  m2 as (select video, traj_idx, (xor(x, x >> {tracking.MIX_ROUNDS[1][0]}) * {tracking.MIX_ROUNDS[1][1]}::uhugeint) % {1 << 64}::uhugeint as x from m1),
+  m3 as (select video, traj_idx, (xor(x, x >> {tracking.MIX_LAST}) % 16777216)::integer as b from m2)
+  select video, traj_idx, (b & 255) * 65536 + ((b >> 8) & 255) * 256 + ((b >> 16) & 255) as colour from m3""",
     "segments": _P + ", q as (select video, traj_idx, frame, x as x1, y as y1, lead(x) over w as x2, lead(y) over w as y2 from tr window w as (partition by video, traj_idx order by frame)) select video, traj_idx, frame, round(x1, 4) as x1, round(y1, 4) as y1, round(x2, 4) as x2, round(y2, 4) as y2 from q where x2 is not null",
     "viz_range": "with " + A.EVENTS_SQL + ", " + A.DIFFUSION_SQL + " select floor(min(H) * 20) / 20 as low, ceil(max(H) * 20) / 20 as high, round(quantile_cont(H, 0.025), 6) as p2_5, round(quantile_cont(H, 0.975), 6) as p97_5 from df",
     "roi_stats": f"select roi, count(*) as n, round(avg(H), 4) as mean_h, round(avg(K), 4) as mean_k from ({spot_queries.SQL['roi_classes_strict']}) left join (with {A.EVENTS_SQL}, {A.DIFFUSION_SQL} select * from df) using (video, traj_idx) group by 1",
