@@ -3,11 +3,13 @@
 Features are hashed n-grams of 1 to 3 lower-cased characters, weighted by the inverse document frequency over all
 rows that may be learned from, and divided by the text's length. Weights are trained by follow-the-regularised-leader
 (proximal) with an elastic-net penalty, which keeps them sparse, on at most `fit_per_class` rows of each language
-(those of the smallest hashes); a fifth of these rows is kept out and sets the temperature by which scores are calibrated.
+(those of the smallest hashes, equal rows once); a fifth of these rows is kept out and sets the temperature by which scores are calibrated.
 
 Defined cases: texts without any letter (also null and empty ones) are "und" with score 0; rows without a language
 teach nothing; without any labelled row all texts are "und". Whole texts are read, in pieces, however long. Rows are
-judged one by one, so repeated rows agree. Ties go to the language that sorts first.
+judged one by one, so repeated rows agree. Ties go to the language that sorts first. An empty table has no predictions.
+Other columns of the input, also ones that differ from the wanted only in case, do no
+harm.
 """
 
 from __future__ import annotations

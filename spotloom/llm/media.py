@@ -9,7 +9,8 @@ Samples of movie fragments (moof, traf, trun, with the defaults of trex) follow
 Defined cases: a null file has no tracks and error "empty"; a damaged file has error set and no tracks; boxes of unknown
 type are skipped; a box longer than what holds it is an error, and so are tables that name more bytes, samples or chunks
 than the file can hold, before anything is allocated for them. Files of any length are read in place, and nothing but
-the tables is copied. Equal files give equal rows, in any number.
+the tables is copied. Equal files give equal rows, in any number; an empty table has none. A null text is stored like an
+empty one. Other columns of the input, also ones that differ from the wanted only in case, do no harm.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@
 Defined cases: a null or empty text is the end id alone; rows are packed one by one, so repeated ids repeat pieces; an
 empty table gives no rows; texts of any length are encoded whole. Ids are those of `tokenizers` at its defaults, so added
 tokens of the file found in a text have their own ids. Byte-level files whose ids follow their merges are read into a faster
-engine; any other file is left to the library.
+engine; any other file is left to the library. Which of equally long pieces goes where is set by task and row, and says nothing.
+Other columns of the input, also ones that differ from the wanted only in case, do no
+harm.
 """
 
 from __future__ import annotations

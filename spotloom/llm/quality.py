@@ -7,7 +7,8 @@ and the score is a logistic function of the difference of the two log densities.
 
 Defined cases: null and empty texts have statistics too (those of no words); null labels teach nothing; if a class has
 fewer than two rows, the score is the share of label 1 for every text, one half if there is no label at all. Several
-labels of one id count each. Whole texts are read. Rows are judged one by one.
+labels of one id count each. Whole texts are read. Rows are judged one by one, so equal texts have equal scores; an empty
+table has none. Other columns of the input, also ones that differ from the wanted only in case, do no harm.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ that ends it; where another key begins before that or none comes, over the armou
 
 Defined cases: null and empty texts have no spans; texts are searched whole, whatever their length; offsets count code
 points, ends are exclusive. Matches of one kind do not overlap and are the leftmost; different kinds may overlap.
-Repeated rows are searched one by one. Other columns of the input are not read.
+Repeated rows are searched one by one; an empty table has no rows. Other columns of the input are not read, also those
+whose names differ from the wanted only in case.
 """
 
 from __future__ import annotations

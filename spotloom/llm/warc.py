@@ -10,7 +10,8 @@ others are revisits that refer to it and have no payload of their own.
 
 Defined cases: null html is an empty payload, null url leaves WARC-Target-URI out, a null id is written under a name
 of its own and read back as null (such rows never serve as the response others refer to); ids of any text are escaped. Rows that repeat an id with equal
-payloads are all responses if the id is the smallest. An empty table gives no archives. A damaged archive yields the
+payloads are all responses if the id is the smallest. An empty table gives no archives. Other columns, also ones that differ
+from the wanted only in case, do no harm. A damaged archive yields the
 records before the damage and one row whose error says what is wrong.
 """
 

@@ -563,6 +563,13 @@ def test_other_tokenizers_are_left_to_the_library():
         assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_archives_take_exact_names_among_clashing_ones(spark):
+    rows = [(1, "u", "x" * 200, "no", -1, "w"), (2, "v", "x" * 200, "no", -1, "w"), (3, None, None, "no", -1, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, HTML string, Page_Id int, refers_to string")
+    got = {r.record_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(warc.plan_records(pages, "page_id", "url", "html"))).collect()}
+    assert got == {"1": (200, "response", None), "2": (200, "revisit", "1"), "3": (0, "response", None)}
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_given_texts_take_no_more_sequences_than_best_fit(spark, sf):
     from spotloom.llm.registry import tokenizer_path
