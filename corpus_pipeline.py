@@ -3,6 +3,8 @@
 Toxic documents go, one document of each near-duplicate group stays, documents that hold a passage of the benchmark
 go, secrets are cut out of what is left, and the rest is packed. A stage gets what the one before it kept, and all but
 the last return the columns of documents. Each stage writes its result as Parquet, which the next one reads.
+
+Every stage takes an empty table, and columns of any other names, of which those of documents are found by exact name first.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score under TOXIC_FROM by a model of the labels at hand. Rows of equal texts go or stay together; a null text
+    is scored as one without terms; null ids teach nothing but are judged."""
     docs = _columns(docs)
     labels = frames.table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(frames.crc_mod(F.col("doc_id"), 4) != 2))
@@ -30,18 +34,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest id of each group, one where it repeats. Texts without words (also null ones) are linked with
+    none, and rows with a null id all stay."""
     return neardup.keep_one_of_each(_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no window of the benchmark occurs, each by its own text; null texts have no words and stay."""
     return decontaminate.keep_clean(_columns(docs), frames.table(spark, sf_dir, "benchmark"))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the secrets in their texts replaced; null texts stay null."""
     return secrets.redact_columns(_columns(docs)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row; a null or empty text is the end id alone."""
     return packing.pack(docs, tokenizer=tokenizer_path())
 
 
