@@ -32,7 +32,7 @@ def found(traces):
     return sorted((r.video, r.traj_idx, r.frame, r.x, r.y) for r in traces.collect())
 
 
-def crowd(seed, frames=24, spots=7, side=20.0, videos=2, gaps=True):
+def crowd(seed, frames=18, spots=7, side=20.0, videos=2, gaps=True):
     """Walks in a small field, so that all spots of a video hang together; some frames have none."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -47,7 +47,7 @@ def crowd(seed, frames=24, spots=7, side=20.0, videos=2, gaps=True):
     return rows
 
 
-@pytest.mark.parametrize("seed, horizon, gaps, piece, windows", [(0, 3, True, 60, 64), (0, 3, True, 1, 4), (1, 2, False, 50, 8), (2, 1, True, 50_000, 64), (3, 3, False, 50, 2)])
+@pytest.mark.parametrize("seed, horizon, gaps, piece, windows", [(0, 3, True, 60, 64), (0, 3, True, 1, 4), (2, 1, True, 50_000, 64), (3, 2, False, 30, 4)])
 def test_pieces_and_ranges_change_nothing(spark, seed, horizon, gaps, piece, windows):
     rows = crowd(seed, gaps=gaps)
     law = forecast.law(6.0, horizon, 4, bent)
