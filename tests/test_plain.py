@@ -264,3 +264,9 @@ def test_place_labels(spark, sf_dir, traces):
                 assert len(set(g.place[(labels == a) | (labels == b)])) <= 1
         same = {(p, q) for p, q in zip(labels, g.place)}
         assert all(len({q for p, q in same if p == lab}) == 1 for lab in set(labels))  # clusters are joined, never cut
+
+
+def test_no_query_is_without_sql_and_without_a_test_here():
+    with open(__file__) as f:
+        said = f.read()
+    assert set(catalogue.SQL) <= set(Q) and all(f'"{name}"' in said for name in set(Q) - set(catalogue.SQL))
