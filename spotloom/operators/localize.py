@@ -15,10 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotloom.operators import graph
 from spotloom.operators.image import gauss_psf
 from spotloom.schemas import LOC
 
 
+#: Videos whose ranges, some tens of bytes each, are broadcast.
+FEW_VIDEOS = 200_000
+
+
 @dataclass(frozen=True)
 class Options:
     """Window of detection, factor of the threshold, reach of maxima, rounds with spots taken out, and border seed.
@@ -273,6 +278,9 @@ def localize(frames: DataFrame, options: Options | None = None) -> DataFrame:
     """
     options = options or Options()
     ends = frames.groupBy("video").agg(F.min(F.array_min("pixels")).alias("lo"), F.max(F.array_max("pixels")).alias("hi"))
+    ends = graph.cut_lineage(ends)  # found once, and counted: with so few videos no picture is shuffled
+    if ends.count() <= FEW_VIDEOS:
+        ends = F.broadcast(ends)
     rows = frames.select("video", "frame", "height", "width", "pixels").where(F.size("pixels") > 0).join(ends, "video")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -38,6 +38,13 @@ def test_pictures_become_spots(spark):
         assert near.yvar.between(1.5, 2.5).all() and near.bg_median.between(90, 112).all() and (near.integrated_flux > 6000).all()
     assert len(found) == 12
     assert found.equals(inorder(pictures(spark).repartition(3)))
+    plan = localize.localize(pictures(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    few, localize.FEW_VIDEOS = localize.FEW_VIDEOS, 0
+    try:
+        assert found.equals(inorder(pictures(spark)))
+    finally:
+        localize.FEW_VIDEOS = few
 
 
 def test_later_rounds_find_what_a_brighter_spot_hid():
