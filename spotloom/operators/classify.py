@@ -150,6 +150,16 @@ def plot_bounds(traces: DataFrame) -> tuple[float, float, float, float]:
     return tuple(v for c in "xy" for v in ((r["lo" + c] + r["hi" + c]) / 2 - half, (r["lo" + c] + r["hi" + c]) / 2 + half))
 
 
+def on_plot(traces: DataFrame, side: int = 1000) -> DataFrame:
+    """traces with px and py, their places on a plot of `side` by `side` pixels that all of them share (plot_bounds)."""
+    lo, hi = ({c: f(c).alias(f"_{n}{c}") for c in "xy"} for n, f in (("lo", F.min), ("hi", F.max)))
+    ends = traces.agg(*lo.values(), *hi.values())  # one row
+    wide = lambda c: F.col(f"_hi{c}") - F.col(f"_lo{c}") + 2 * F.greatest((F.col(f"_hi{c}") - F.col(f"_lo{c}")) * 0.05, F.lit(1.0))
+    half = F.greatest(wide("x"), wide("y")) / 2
+    place = lambda c: (F.col(c) - ((F.col(f"_lo{c}") + F.col(f"_hi{c}")) / 2 - half)) / (2 * half) * side
+    return traces.join(F.broadcast(ends)).withColumns({"px": place("x"), "py": place("y")}).select(*traces.columns, "px", "py")
+
+
 def gate(points: DataFrame, x: Column, y: Column, labels: np.ndarray, order_by: str) -> DataFrame:
     """points with region: the label of the grid cell (x, y), renumbered by the ascending mean of order_by.
 

@@ -269,6 +269,18 @@ def empirical_pdf(distances: DataFrame, column: str = "d", bins: int = 39, top:
     return n.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy(F.lit(0))) * width))  # a row a bin
 
 
+def jump_law(distances: DataFrame, column: str = "d", bins: int = 39, top: float = 20.0, least: int = 1000) -> DataFrame:
+    """bin, density: the density of jumps by every bin of [0, top]; of fewer than `least` jumps, that of an exponential law of mean one."""
+    width = top / bins
+    every = distances.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    measured = empirical_pdf(distances, column, bins, top).select("bin", "density")
+    n = distances.agg(F.count(column).alias("_n"))  # one row
+    at = F.col("bin") * width
+    law = (F.exp(-at) - F.exp(-(at + width))) / width
+    out = every.join(measured, "bin", "left").join(F.broadcast(n))
+    return out.select("bin", F.when(F.col("_n") < least, law).otherwise(F.coalesce("density", F.lit(0.0))).alias("density"))
+
+
 def jump_threshold(distances: DataFrame, column: str = "d") -> DataFrame:
     """Two and a half standard deviations of distances between their 2.5 and 97.5 percentiles, five at least."""
     ends = quantiles(distances, column, [], lo=0.025, hi=0.975)

@@ -87,6 +87,9 @@ QUERIES = {
     "without_matched": lambda s, d: graph.without(_edges(s, d), graph.nearest_successors(_edges(s, d).where("gap = 0")), A.loc(s, d), THRESHOLD).withColumn("jump_d", F.round("jump_d", 4)),
     "two_hop_bypass": lambda s, d: graph.bypass_edges(_edges(s, d), A.loc(s, d).select("video", "frame", "spot_idx"), A.loc(s, d), THRESHOLD).select("video", "src_frame", "src_idx", "dst_frame", "dst_idx", F.round("jump_d", 4).alias("jump_d")),
     "components": lambda s, d: graph.components(A.loc(s, d), _edges(s, d)),
+    "jump_law": lambda s, d: graph.jump_law(graph.adjacent_pairs(A.loc(s, d))).select("bin", F.round("density", 6).alias("density")),
+    "jump_law_few": lambda s, d: graph.jump_law(_edges(s, d), "jump_d").select("bin", F.round("density", 6).alias("density")),
+    "on_plot": lambda s, d: classify.on_plot(A.traces(s, d)).select("video", "traj_idx", "frame", F.round("px", 4).alias("px"), F.round("py", 4).alias("py")),
     "emp_pdf": lambda s, d: graph.empirical_pdf(graph.adjacent_pairs(A.loc(s, d))).select("bin", "n", F.round("density", 6).alias("density")),
     "jump_threshold": lambda s, d: graph.jump_threshold(graph.adjacent_pairs(A.loc(s, d)), "dx").select(F.round("threshold", 3).alias("threshold")),
     "greedy_matches": lambda s, d: linking.greedy_matches(A.loc(s, d)),
@@ -133,6 +136,9 @@ _PAIRS = _NEXT + """, ap as (select a.video, a.frame, a.spot_idx as src_idx, b.f
 _E = _L + f""", e as (select a.video, a.frame as src_frame, a.spot_idx as src_idx, b.frame as dst_frame, b.spot_idx as dst_idx, b.frame - a.frame - 1 as gap, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as jump_d
   from loc a join loc b on a.video = b.video and b.frame between a.frame + 1 and a.frame + {1 + HORIZON} and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) < {THRESHOLD})"""
 _NEAR = """, near as (select distinct video, dst_frame as frame, dst_idx as spot_idx from (select * from e{} qualify row_number() over (partition by video, src_frame, src_idx order by round(jump_d, 6), dst_frame, dst_idx) = 1))"""
+_LAW = """, h as (select cast(least(floor({1} / (20.0::double / 39)), 38) as integer) as bin, count(*) as n from {0} where {1} between 0 and 20 group by 1), k as (select count({1}) as k from {0}),
+  dn as (select bin, n / (sum(n) over () * (20.0::double / 39)) as density from h), b as (select cast(i as integer) as bin from range(39) t(i))
+  select bin, round(case when k < 1000 then (exp(-bin * (20.0::double / 39)) - exp(-(bin + 1) * (20.0::double / 39))) / (20.0::double / 39) else coalesce(density, 0) end, 6) as density from b left join dn using (bin), k"""
 _F = "with " + A.FRAMES_SQL + ", px as (select frame, pos // 8 as r, pos % 8 as c, v from fr)"
 _N = _F + """, en as (select min(v) as lo, max(v) as hi from px), g as (select frame, r, c, (v - lo) / (hi - lo) as g from px, en), nm as (select frame, r, c, g / max(g) over (partition by frame) as v from g)"""
 _Q = _N + ", qu as (select frame, r, c, cast(floor(round(v / max(v) over (partition by frame) * 100, 9)) as integer) as ival from nm)"
@@ -235,6 +241,10 @@ SQL = {
   bo as (select * from n2 union select video, v, u from n2), re as (select video, u, v from bo union select re.video, re.u, bo.v from re join bo on re.video = bo.video and re.v = bo.u)
   select loc.video, loc.frame, spot_idx, least(loc.frame::bigint * 2147483648 + spot_idx, coalesce(m, loc.frame::bigint * 2147483648 + spot_idx)) as component
   from loc left join (select video, u, min(v) as m from re group by 1, 2) q on q.video = loc.video and q.u = loc.frame::bigint * 2147483648 + spot_idx""",
+    "jump_law": _PAIRS + _LAW.format("ap", "d"),
+    "jump_law_few": _E + _LAW.format("e", "jump_d"),
+    "on_plot": _TR + """, en as (select min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from tr), w as (select *, greatest(hx - lx + 2 * greatest((hx - lx) * 0.05::double, 1), hy - ly + 2 * greatest((hy - ly) * 0.05::double, 1)) / 2 as h from en)
+  select video, traj_idx, frame, round((x - ((lx + hx) / 2 - h)) / (2 * h) * 1000, 4) as px, round((y - ((ly + hy) / 2 - h)) / (2 * h) * 1000, 4) as py from tr, w""",
     "emp_pdf": _PAIRS + ", h as (select cast(least(floor(d / (20.0::double / 39)), 38) as integer) as bin, count(*) as n from ap where d between 0 and 20 group by 1) select bin, n, round(n / (sum(n) over () * (20.0::double / 39)), 6) as density from h",
     "jump_threshold": _PAIRS + ", q as (select quantile_cont(dx, 0.025) as lo, quantile_cont(dx, 0.975) as hi from ap) select round(greatest(5.0, 2.5 * stddev_pop(dx)), 3) as threshold from ap, q where dx between lo and hi",
     "frame_minmax_norm": _N + " select frame, r, c, round(v, 5) as v from nm",
