@@ -54,3 +54,22 @@ def test_terminal_spots_among_the_free(spark, dense):
     assert {tuple(r) for r in graph.nearest_successors(table).collect()} == nearest
     got = {tuple(r) for r in graph.terminal_among_free(loc, table, graph.nearest_successors(table)).collect()}
     assert got == {n for n in at if not any(a == n and b not in nearest for a, b in edges)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spots_are_merged_and_never_broadcast(spark, dense):
+    at, loc, edges, table = dense
+    near = graph.candidate_edges(loc, 4.0, 2)
+    for df in (near, graph.orphans(loc, near), graph.terminal_among_free(loc, near, graph.nearest_successors(near)), graph.bypass_edges(near, loc, loc, 4.0), graph.adjacent_pairs(loc)):
+        assert "BroadcastHashJoin" not in _plan(df) and "SortMergeJoin" in _plan(df)
+
+
+def test_edges_by_blocks_of_frames_and_cells_meet_once(spark, dense):
+    at, loc, edges, table = dense
+    for grid in (True, False):
+        got = [tuple(r) for r in graph.candidate_edges(loc, 4.0, 2, grid).select("video", "src_frame", "src_idx", "dst_frame", "dst_idx").collect()]
+        assert sorted(got) == sorted((*a, *b[1:]) for a, b in edges)
+    assert "gx" in _plan(graph.candidate_edges(loc, 4.0, 2)) and "block" in _plan(graph.candidate_edges(loc, 4.0, 2))
