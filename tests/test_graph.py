@@ -73,3 +73,10 @@ def test_edges_by_blocks_of_frames_and_cells_meet_once(spark, dense):
         got = [tuple(r) for r in graph.candidate_edges(loc, 4.0, 2, grid).select("video", "src_frame", "src_idx", "dst_frame", "dst_idx").collect()]
         assert sorted(got) == sorted((*a, *b[1:]) for a, b in edges)
     assert "gx" in _plan(graph.candidate_edges(loc, 4.0, 2)) and "block" in _plan(graph.candidate_edges(loc, 4.0, 2))
+
+
+def test_ancestors_take_equal_edges_once(spark):
+    edges = spark.createDataFrame([("v", 1, 0, 3, 0), ("v", 1, 0, 3, 0), ("v", 2, 0, 3, 0), ("v", 2, 0, 3, 0), ("v", 0, 5, 1, 0)], "video string, src_frame int, src_idx int, dst_frame int, dst_idx int")
+    nodes = spark.createDataFrame([("v", 3, 0)], "video string, frame int, spot_idx int")
+    got = sorted((r.a_frame, r.a_idx, r["rank"]) for r in graph.ancestors(edges, nodes, 3).collect())
+    assert got == [(0, 5, 3), (1, 0, 2), (2, 0, 1)]
