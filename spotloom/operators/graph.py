@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -325,3 +327,101 @@ def jump_threshold(distances: DataFrame, column: str = "d") -> DataFrame:
     ends = quantiles(distances, column, [], lo=0.025, hi=0.975)
     inner = distances.join(F.broadcast(ends)).where(F.col(column).between(F.col("lo"), F.col("hi")))  # a single row
     return inner.agg(F.greatest(F.lit(5.0), 2.5 * F.stddev_pop(column)).alias("threshold"))
+
+
+def adjacent_values(loc: DataFrame, column: str) -> DataFrame:
+    """A row a frame that another follows: the distinct values of a column there (a) and in that other (b), with how many spots have each."""
+    n = loc.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy("video", "frame", F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    own = n.groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("of"))
+    part = lambda c: [F.col(f"{c}.v").alias(c), F.col(f"{c}.n").alias(f"{c}_n")]
+    a = own.join(next_available_frame(loc).where("next_frame is not null").hint("merge"), ["video", "frame"]).select("video", F.col("next_frame").alias("frame"), F.col("of").alias("a"))
+    return a.join(own.withColumnRenamed("of", "b").hint("merge"), ["video", "frame"]).select(*part("a"), *part("b"))
+
+
+def _upto(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of v and of a, how many of b (sorted) have a rounded difference b - a of at most v."""
+    v = np.asarray(v, float)[..., None]
+    at = np.searchsorted(b, a + v, "right")
+    while (back := (at > 0) & (b[np.maximum(at - 1, 0)] - a > v)).any():
+        at[back] -= 1
+    while (on := (at < len(b)) & (b[np.minimum(at, len(b) - 1)] - a <= v)).any():
+        at[on] += 1
+    return at
+
+
+#: Places at which differences are counted in a round, and rounds: a bracket of doubles is 2^64 wide at most, and 65^11 is more.
+PROBES, ROUNDS = 64, 11
+
+
+def _ordinal(x: float) -> int:
+    """The place of a double among all, so that halving a bracket halves the numbers in it."""
+    i = int(np.float64(x).view(np.int64))
+    return i if i >= 0 else -(i & 0x7FFFFFFFFFFFFFFF)
+
+
+def _double(i: int) -> float:
+    return float(np.int64(i).view(np.float64)) if i >= 0 else -float(np.int64(-i).view(np.float64))
+
+
+def jump_threshold_of(loc: DataFrame, column: str = "x") -> DataFrame:
+    """jump_threshold of the differences of a column between all spots of a frame and the next, without a row a pair.
+
+    A frame's values are sorted, so that those of its differences up to a number are counted by searches. Ranks are
+    enclosed by counting at some places in each round, exactly; only counts come to the driver. Sums between the
+    percentiles are running sums over the sorted values.
+    """
+    spark = loc.sparkSession
+    # Values are few bytes and searches many, so the number of tasks is set by cores.
+    pairs = written(adjacent_values(loc, column).repartition(4 * spark.sparkContext.defaultParallelism))
+    ends = pairs.agg(F.min(F.element_at("b", 1) - F.element_at("a", -1)).alias("lo"), F.max(F.element_at("b", -1) - F.element_at("a", 1)).alias("hi")).first()
+    total_of = F.aggregate("a_n", F.lit(0.0), lambda s, x: s + x) * F.aggregate("b_n", F.lit(0.0), lambda s, x: s + x)
+    total = int(pairs.agg(F.sum(total_of.cast("decimal(38,0)"))).first()[0] or 0)
+    if not total:
+        return spark.createDataFrame([(None,)], "threshold double")
+
+    def counts(places: list[float]) -> dict[float, int]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                n = np.zeros(len(places), np.int64)
+                for a, a_n, b, b_n in zip(batch.a, batch.a_n, batch.b, batch.b_n, strict=True):
+                    upto = np.append(0.0, np.cumsum(b_n))
+                    for i in range(0, len(places), PROBES):
+                        n[i : i + PROBES] += (upto[_upto(a, b, places[i : i + PROBES])] @ a_n).astype(np.int64)
+                yield pd.DataFrame({"at": range(len(places)), "n": n})
+
+        rows = pairs.mapInPandas(run, "at int, n bigint").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
+        return {places[r["at"]]: int(r.n) for r in rows}
+
+    ranks = [(q, f(q * (total - 1))) for q in (0.025, 0.975) for f in (math.floor, math.ceil)]
+    # The value of a rank is the least with more differences up to it than the rank: above low, and at most high.
+    low = {k: _ordinal(ends.lo) - 1 for _, k in ranks}
+    high = {k: _ordinal(ends.hi) for _, k in ranks}
+    for _ in range(ROUNDS):
+        probes = {k: [low[k] + (high[k] - low[k]) * i // (PROBES + 1) for i in range(1, PROBES + 1)] for k in low if high[k] - low[k] > 1}
+        if not probes:
+            break
+        found = counts(sorted({_double(p) for places in probes.values() for p in places}))
+        for k, places in probes.items():
+            for p in places:
+                if found[_double(p)] > k:
+                    high[k] = min(high[k], p)
+                else:
+                    low[k] = max(low[k], p)
+    value = [_double(high[k]) for _, k in ranks]
+    share = [q * (total - 1) - k for q, k in ranks[::2]]
+    lo, hi = (value[2 * i] + (value[2 * i + 1] - value[2 * i]) * share[i] for i in range(2))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        below = math.nextafter(lo, -math.inf)
+        for batch in batches:
+            n = s = q = 0.0
+            for a, a_n, b, b_n in zip(batch.a, batch.a_n, batch.b, batch.b_n, strict=True):
+                start, stop = _upto(a, b, below), _upto(a, b, hi)
+                of = [np.append(0.0, np.cumsum(b_n * b**p)) for p in range(3)]
+                n0, n1, n2 = (c[stop] - c[start] for c in of)
+                n, s, q = n + (a_n * n0).sum(), s + (a_n * (n1 - a * n0)).sum(), q + (a_n * (n2 - 2 * a * n1 + a * a * n0)).sum()
+            yield pd.DataFrame({"n": [n], "s": [s], "q": [q]})
+
+    out = pairs.mapInPandas(sums, "n double, s double, q double").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    return out.select(F.greatest(F.lit(5.0), 2.5 * F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))).alias("threshold"))

@@ -91,7 +91,7 @@ QUERIES = {
     "jump_law_few": lambda s, d: graph.jump_law(_edges(s, d), "jump_d").select("bin", F.round("density", 6).alias("density")),
     "on_plot": lambda s, d: classify.on_plot(A.traces(s, d)).select("video", "traj_idx", "frame", F.round("px", 4).alias("px"), F.round("py", 4).alias("py")),
     "emp_pdf": lambda s, d: graph.empirical_pdf(graph.adjacent_pairs(A.loc(s, d))).select("bin", "n", F.round("density", 6).alias("density")),
-    "jump_threshold": lambda s, d: graph.jump_threshold(graph.adjacent_pairs(A.loc(s, d)), "dx").select(F.round("threshold", 3).alias("threshold")),
+    "jump_threshold": lambda s, d: graph.jump_threshold_of(A.loc(s, d), "x").select(F.round("threshold", 3).alias("threshold")),
     "greedy_matches": lambda s, d: linking.greedy_matches(A.loc(s, d)),
     "link_trajectories": lambda s, d: linking.link(A.loc(s, d), THRESHOLD, HORIZON),
     "frame_minmax_norm": lambda s, d: _norm(s, d).select("frame", "r", "c", F.round("v", 5).alias("v")),

@@ -75,6 +75,17 @@ def test_edges_by_blocks_of_frames_and_cells_meet_once(spark, dense):
     assert "gx" in _plan(graph.candidate_edges(loc, 4.0, 2)) and "block" in _plan(graph.candidate_edges(loc, 4.0, 2))
 
 
+@pytest.mark.parametrize("kind", ["plain", "ties", "one place"])
+def test_threshold_without_pairs_equals_that_of_all_pairs(spark, kind):
+    rng = np.random.default_rng(3)
+    value = {"plain": lambda: float(rng.normal(0, 40)), "ties": lambda: round(float(rng.exponential(50)), 0), "one place": lambda: 7.0}[kind]
+    rows = [("v", f, i, value(), 0.0, 0.0) for f in (1, 2, 4, 9) for i in range(30)] + [("w", 3, 0, 1e6, 0.0, 0.0), ("v", 2, 30, None, 0.0, 0.0)]
+    loc = spark.createDataFrame(rows, "video string, frame int, spot_idx int, x double, y double, z double")
+    want = graph.jump_threshold(graph.adjacent_pairs(loc), "dx").first().threshold
+    assert graph.jump_threshold_of(loc, "x").first().threshold == pytest.approx(want, rel=1e-9)
+    assert graph.jump_threshold_of(loc.where("frame = 1"), "x").first().threshold is None
+
+
 def test_ancestors_take_equal_edges_once(spark):
     edges = spark.createDataFrame([("v", 1, 0, 3, 0), ("v", 1, 0, 3, 0), ("v", 2, 0, 3, 0), ("v", 2, 0, 3, 0), ("v", 0, 5, 1, 0)], "video string, src_frame int, src_idx int, dst_frame int, dst_idx int")
     nodes = spark.createDataFrame([("v", 3, 0)], "video string, frame int, spot_idx int")
