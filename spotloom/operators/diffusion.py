@@ -36,12 +36,21 @@ def ratio_counts(traces: DataFrame, max_delta: int, by: tuple[str, ...] = ()) ->
     return d.groupBy(*by, "delta").agg(F.sum(2 * F.col("m") * F.greatest(F.col("t") - 2 * F.col("delta"), F.lit(0))).alias("n"))
 
 
-def h_grid(ratios: DataFrame, r: float = 0.0, k: float = 1.0, sigma: float = 0.0, points: int = 49) -> DataFrame:
-    """H of highest likelihood on a grid of (0.02, 0.98), by state and stride; at least five ratios."""
-    grid = ratios.sparkSession.range(points).select((F.lit(0.02) + F.col("id") * (0.96 / (points - 1))).alias("h"))
-    # Sixty-four quantised log terms would be as many rows; the grid is tiny and is broadcast.
-    each = ratios.join(F.broadcast(grid)).withColumn("ll", C.log_density(F.col("ratio"), C.rho(F.col("h"), F.col("delta").cast("double"), r, k, sigma)))
-    total = each.groupBy("state", "delta", "h").agg(F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n"))
+def h_grid(ratios: DataFrame, r: float = 0.0, k: float = 1.0, sigma: float = 0.0, points: int = 49, most: int | None = None) -> DataFrame:
+    """H of highest likelihood on a grid of (0.02, 0.98), by state and stride; at least five ratios.
+
+    What depends on stride and H alone is found once for each, for strides up to `most` (those that occur, unless given),
+    and equal ratios are counted first, so that a distinct ratio costs a logarithm for each H.
+    """
+    spark = ratios.sparkSession
+    strides = ratios.select("delta").distinct() if most is None else spark.range(1, most + 1).select(F.col("id").cast("int").alias("delta"))
+    grid = strides.crossJoin(F.broadcast(spark.range(points).select((F.lit(0.02) + F.col("id") * (0.96 / (points - 1))).alias("h"))))
+    grid = grid.withColumn("rho", C.rho(F.col("h"), F.col("delta").cast("double"), r, k, sigma)).withColumn("g2", 1 - F.col("rho") * F.col("rho"))
+    grid = grid.withColumn("head", 0.5 * F.log("g2") - math.log(math.pi))
+    counted = ratios.groupBy("state", "delta", "ratio").agg(F.count(F.lit(1)).alias("m"))
+    off = F.col("ratio") - F.col("rho")
+    each = counted.join(F.broadcast(grid), "delta").withColumn("ll", F.col("m") * (F.col("head") - F.log(off * off + F.col("g2"))))
+    total = each.groupBy("state", "delta", "h").agg(F.sum("ll").alias("ll"), F.sum("m").alias("n"))
     return total.groupBy("state", "delta").agg(F.max_by("h", "ll").alias("h"), F.max("ll").alias("ll"), F.max("n").alias("n")).where("n >= 5")
 
 
@@ -131,7 +140,7 @@ def snr_by_state(traces: DataFrame, sigma: float) -> DataFrame:
 
 def grid_scan(traces: DataFrame, most: int = 75, least: int = 30, points: int = 49) -> DataFrame:
     """h, se and n by state and stride without noise: the likeliest of a grid, and the least error any estimate can have."""
-    h = h_grid(stride_ratios(traces, most), points=points).where(F.col("n") >= least)
+    h = h_grid(stride_ratios(traces, most), points=points, most=most).where(F.col("n") >= least)
     return h.select("state", "delta", "h", C.sigma_crlb(C.fisher_h(F.col("h"), F.col("delta").cast("double"), 0.0, 1.0, 0.0), F.col("n")).alias("se"), "n")
 
 

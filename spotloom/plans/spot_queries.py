@@ -108,7 +108,7 @@ QUERIES = {
     "kde_log_k": lambda s, d: image.kde_1d(A.diffusion(s, d).where("K > 0").withColumn("lk", F.log10("K")), "lk").select("id", F.round("density", 5).alias("density")),
     "ratio_multi_delta": _medians,
     "ratio_counts": lambda s, d: diffusion.ratio_counts(A.traces(s, d), 8),
-    "h_grid_mle": lambda s, d: diffusion.h_grid(diffusion.stride_ratios(A.traces(s, d), 2)).select("state", "delta", F.round("h", 4).alias("h"), F.round("ll", 2).alias("ll"), "n"),
+    "h_grid_mle": lambda s, d: diffusion.h_grid(diffusion.stride_ratios(A.traces(s, d), 2), most=2).select("state", "delta", F.round("h", 4).alias("h"), F.round("ll", 2).alias("ll"), "n"),
     "h_fit": lambda s, d: diffusion.h_fit(diffusion.stride_ratios(A.traces(s, d), 4)),
     "snr_by_state": lambda s, d: diffusion.snr_by_state(A.traces(s, d), 0.2).select("state", F.round(F.col("msd1") + 1e-9, 3).alias("msd1"), "floor", F.round("snr", 2).alias("snr")),
     "rho_gamma_table": lambda s, d: _table(s, d).select("state", "h", "delta", F.round(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO), 6).alias("rho"), F.round(C.gamma(C.rho(F.col("h"), F.col("delta").cast("double"), *RHO)), 6).alias("gamma"), F.round(C.rho_free(F.col("h")), 6).alias("free")),
