@@ -6,6 +6,8 @@ rows of one picture, so work spreads over pictures and their size bounds every g
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,14 +48,15 @@ def background(norm: DataFrame, rounds: int = 3, clip: float = 3.0) -> DataFrame
     cur = hist.withColumn("on", F.lit(True))
     top = F.greatest(F.max("ival").over(w), F.lit(1))
     cur = cur.withColumn("bin", F.least("ival", top - 1))
+    whole = lambda c, digits: c.cast(f"decimal({digits},0)")
     for _ in range(rounds):
-        n = F.when(F.col("on"), F.col("n")).otherwise(0)
-        v = F.col("ival") / 100
+        n, i = F.when(F.col("on"), F.col("n")).otherwise(0), F.col("ival").cast("bigint")
         cur = cur.withColumn("bn", F.sum(n).over(Window.partitionBy(*FRAME, "bin")))
-        cur = cur.withColumn("mode", F.max(F.struct(F.col("bn"), (-F.col("bin")).alias("b"))).over(w)).withColumn("mode", -F.col("mode.b") * 0.01 + 0.005)
-        mean, square = F.sum(n * v).over(w) / F.sum(n).over(w), F.sum(n * v * v).over(w) / F.sum(n).over(w)
-        cur = cur.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)))
-        cur = cur.withColumn("on", (v > F.col("mode") - clip * F.col("sd")) & (v < F.col("mode") + clip * F.col("sd")))
+        cur = cur.withColumn("mode", -F.max(F.struct(F.col("bn"), (-F.col("bin")).alias("b"))).over(w)["b"])
+        total, first, second = whole(F.sum(n).over(w), 10), whole(F.sum(n * i).over(w), 12), whole(F.sum(n * i * i).over(w), 14)
+        # Within clip deviations of the middle of the mode, squared and times (200 total)^2: whole numbers, so that a value just as far is never within.
+        off = 2 * F.col("ival") - 2 * F.col("mode") - 1
+        cur = cur.withColumn("on", total * total * whole(off * off, 6) < F.lit(Decimal((2 * clip) ** 2)) * (total * second - first * first))
     kept = cur.where("on")
     i = F.col("ival").cast("bigint")
     out = kept.groupBy(*FRAME).agg(F.sum("n").alias("n"), F.sum(F.col("n") * i).alias("s1"), F.sum(F.col("n") * i * i).alias("s2"))
