@@ -121,18 +121,29 @@ def suppress(peaks: DataFrame, k: int = 2) -> DataFrame:
     return peaks.groupBy("video", F.floor(F.col("frame") / 64)).applyInPandas(run, peaks.schema)
 
 
+#: Rows and columns of a tile of pixels.
+TILE = 32
+
+
 def annulus_stats(px: DataFrame, spots: DataFrame, inner: float = 3.0, outer: int = 6, window: int = 7, least: int = 10, even: bool = False) -> DataFrame:
     """Median and variance of the pixels around each spot (r, c), and its flux above the median.
 
     Spots with a window_size have one of their own. Halves are rounded away from zero or, if even, to the even neighbour.
+    A spot meets the pixels of its tile, to which those around the tile go too, and is summed up there: nothing that was
+    met is shuffled.
     """
-    offs = _offsets(px, [(i, j, i * i + j * j > inner * inner, max(abs(i), abs(j))) for i in range(-outer, outer + 1) for j in range(-outer, outer + 1)], "dr int, dc int, ring boolean, far int")
     near = F.rint if even else F.round
     half = F.floor(F.coalesce(F.col("window_size"), F.lit(window)) / 2) if "window_size" in spots.columns else F.lit(window // 2)
-    around = spots.select(*FRAME, "spot_idx", near("r").cast("int").alias("r0"), near("c").cast("int").alias("c0"), half.alias("half")).join(offs).withColumn("core", F.col("far") <= F.col("half"))
-    met = around.withColumn("r", F.col("r0") + F.col("dr")).withColumn("c", F.col("c0") + F.col("dc")).join(px, PIXEL)
+    tile = lambda c: F.floor((c + outer) / TILE)
+    touched = lambda c: F.explode(F.sequence(tile(F.col(c) - outer), tile(F.col(c) + outer)))
+    own = spots.select(*FRAME, "spot_idx", near("r").cast("int").alias("r0"), near("c").cast("int").alias("c0"), half.alias("half")).withColumn("tr", tile(F.col("r0"))).withColumn("tc", tile(F.col("c0")))
+    spread = px.select(*PIXEL, "v").withColumn("tr", touched("r")).withColumn("tc", touched("c"))
+    met = own.hint("merge").join(spread.hint("merge"), [*FRAME, "tr", "tc"])
+    dr, dc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")
+    far = F.greatest(F.abs(dr), F.abs(dc))
+    met = met.where(far <= outer).withColumn("ring", dr * dr + dc * dc > inner * inner).withColumn("core", far <= F.col("half"))
     ring = F.when(F.col("ring"), F.col("v"))
-    out = met.groupBy(*FRAME, "spot_idx").agg(F.median(ring).alias("bg_median"), F.var_pop(ring).alias("bg_var"), F.count(ring).alias("n"), F.sum(F.when(F.col("core"), F.col("v"))).alias("s"), F.count(F.when(F.col("core"), 1)).alias("m")).where(F.col("n") >= least)
+    out = met.groupBy(*FRAME, "tr", "tc", "spot_idx").agg(F.median(ring).alias("bg_median"), F.var_pop(ring).alias("bg_var"), F.count(ring).alias("n"), F.sum(F.when(F.col("core"), F.col("v"))).alias("s"), F.count(F.when(F.col("core"), 1)).alias("m")).where(F.col("n") >= least)
     return out.select(*FRAME, "spot_idx", "bg_median", "bg_var", (F.col("s") - F.col("m") * F.col("bg_median")).alias("integrated_flux"))
 
 

@@ -1,5 +1,8 @@
 """Backgrounds at the very edge of clipping, rings around spots across tiles, and pictures of crowded frames."""
 
+import numpy as np
+import pytest
+
 from spotloom.operators import image
 
 # A frame's histogram in per cent: 28 is just three deviations from the middle of the mode, so it is not within them.
@@ -10,3 +13,24 @@ def test_a_value_just_at_the_clip_is_left_out(spark):
     values = [i / 100 for i, n in EDGE.items() for _ in range(n)]
     px = spark.createDataFrame([("v", f, p // 8, p % 8, values[(p * 7 + f) % 64]) for f in range(20) for p in range(64)], "video string, frame int, r int, c int, v double")
     assert {(r.n, r.s1, r.s2) for r in image.background(px).collect()} == {(63, 4436, 324036)}
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_rings_across_tiles_equal_plain_ones(spark, even):
+    rng = np.random.default_rng(4)
+    p = rng.uniform(0, 9, (90, 70))
+    px = spark.createDataFrame([("v", 1, r, c, float(p[r, c])) for r in range(90) for c in range(70)], "video string, frame int, r int, c int, v double")
+    at = [(i, float(r), float(c)) for i, (r, c) in enumerate([(0, 0), (25.5, 26), (26, 25), (31, 32), (57.5, 58.5), (89, 69), (-4, 3), (40, 66)])]
+    spots = spark.createDataFrame([("v", 1, *s) for s in at], "video string, frame int, spot_idx int, r double, c double")
+    df = image.annulus_stats(px, spots, even=even)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2  # pixels and spots, and nothing that was met
+    got = {r.spot_idx: r for r in df.collect()}
+    near = np.rint if even else lambda x: np.sign(x) * np.floor(abs(x) + 0.5)
+    y, x = np.mgrid[:90, :70]
+    for i, r, c in at:
+        dy, dx = y - near(r), x - near(c)
+        ring = p[(np.maximum(abs(dy), abs(dx)) <= 6) & (dy**2 + dx**2 > 9)]
+        core = p[np.maximum(abs(dy), abs(dx)) <= 3]
+        assert (got[i].bg_median, got[i].bg_var) == pytest.approx((np.median(ring), ring.var()))
+        assert got[i].integrated_flux == (pytest.approx(core.sum() - core.size * np.median(ring)) if core.size else None)
