@@ -47,15 +47,16 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered(spark: SparkSession, sf_dir: str, side: int = 48) -> DataFrame:
     """A picture of each frame with spots: a bell for each spot, wrapped into the picture, over an even background."""
-    spots = loc(spark, sf_dir).groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.array("x", "y"))).alias("at"))
+    spots = loc(spark, sf_dir).groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("at"))
+    spots = spots.select("video", "frame", F.col("at.x").alias("us"), F.col("at.y").alias("vs"))  # flat, as in Python each nested array is an object
 
     def run(batches):
         y, x = np.mgrid[:side, :side]
         for b in batches:
             out = []
-            for at in b["at"]:
+            for us, vs in zip(b.us, b.vs, strict=True):
                 p = 100 + 5 * np.sin(1.7 * x + 2.3 * y)
-                for u, v in at:
+                for u, v in zip(us, vs, strict=True):
                     p = p + 900 * np.exp(-((x - 4 - u % (side - 8)) ** 2 + (y - 4 - v % (side - 8)) ** 2) / 4)
                 out.append(p.ravel().astype(np.float32))
             yield pd.DataFrame({"video": b.video, "frame": b.frame, "height": side, "width": side, "pixels": out})

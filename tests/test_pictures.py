@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotloom.operators import image
+from spotloom.plans import adapters
 
 # A frame's histogram in per cent: 28 is just three deviations from the middle of the mode, so it is not within them.
 EDGE = {28: 1, 42: 1, 43: 1, 47: 2, 51: 1, 52: 1, 53: 1, 55: 3, 56: 1, 57: 1, 58: 1, 59: 3, 62: 1, 63: 2, 64: 1, 65: 2, 66: 2, 67: 4, 69: 1, 70: 3, 71: 5, 72: 1, 74: 3, 76: 1, 77: 2, 78: 1, 79: 2, 81: 3, 84: 1, 85: 4, 88: 1, 90: 2, 91: 1, 93: 1, 94: 1, 99: 1, 100: 1}
@@ -34,3 +36,15 @@ def test_rings_across_tiles_equal_plain_ones(spark, even):
         core = p[np.maximum(abs(dy), abs(dx)) <= 3]
         assert (got[i].bg_median, got[i].bg_var) == pytest.approx((np.median(ring), ring.var()))
         assert got[i].integrated_flux == (pytest.approx(core.sum() - core.size * np.median(ring)) if core.size else None)
+
+
+def test_places_of_spots_come_to_python_flat(spark, sf_dir):
+    frames = adapters.rendered(spark, sf_dir)
+    plan = frames._jdf.queryExecution().analyzed().toString()
+    assert "us#" in plan and "vs#" in plan
+    one = frames.orderBy("video", "frame").first()
+    y, x = np.mgrid[:48, :48]
+    p = 100 + 5 * np.sin(1.7 * x + 2.3 * y)
+    for s in adapters.loc(spark, sf_dir).where((F.col("video") == one.video) & (F.col("frame") == one.frame)).collect():
+        p = p + 900 * np.exp(-((x - 4 - s.x % 40) ** 2 + (y - 4 - s.y % 40) ** 2) / 4)
+    assert np.allclose(np.reshape(one.pixels, (48, 48)), p, rtol=1e-5)
