@@ -5,7 +5,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from spotloom.functions import geometry as G
 from spotloom.operators import graph
 
 
@@ -91,3 +93,37 @@ def test_ancestors_take_equal_edges_once(spark):
     nodes = spark.createDataFrame([("v", 3, 0)], "video string, frame int, spot_idx int")
     got = sorted((r.a_frame, r.a_idx, r["rank"]) for r in graph.ancestors(edges, nodes, 3).collect())
     assert got == [(0, 5, 3), (1, 0, 2), (2, 0, 1)]
+
+
+SPOTS = "video string, frame int, spot_idx int, x double, y double, z double"
+
+
+def test_pairs_by_tiles_equal_all_pairs_and_a_crowded_frame_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 4)
+    monkeypatch.setattr(graph, "TILES", 2)
+    rng = np.random.default_rng(4)
+    sizes = {("v", 1): 3, ("v", 2): 8, ("v", 5): 9, ("v", 6): 33, ("v", 7): 4, ("w", 2): 1, ("w", 9): 17, ("one", 1): 5}
+    rows = [(v, f, i, *rng.integers(0, 4, 2).astype(float).tolist(), 0.0) for (v, f), n in sizes.items() for i in range(n)]
+    rows += [("v", 5, 0, 1.0, 1.0, 1.0), ("v", 5, 99, None, 1.0, None), ("v", None, 0, 1.0, 1.0, 1.0), (None, 3, 0, 1.0, 1.0, 1.0), (None, 4, 0, 1.0, 1.0, 1.0)]
+    nxt = {("v", 1): 2, ("v", 2): 5, ("v", 5): 6, ("v", 6): 7, ("w", 2): 9}
+    want = [(a[0], a[1], a[2], b[1], b[2], *((None, None) if None in (a[3], b[3]) else (b[3] - a[3], round(math.dist(a[3:], b[3:]), 9)))) for a in rows for b in rows if a[0] == b[0] and b[1] is not None and nxt.get(a[:2]) == b[1]]
+    pairs = graph.adjacent_pairs(spark.createDataFrame(rows, SPOTS)).withColumn("task", F.spark_partition_id())
+    got = [(*r[:5], r.dx, None if r.d is None else round(r.d, 9), r.task) for r in pairs.collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r[1:])
+    assert sorted((r[:-1] for r in got), key=lambda r: (r[0], key(r))) == sorted(want, key=lambda r: (r[0], key(r)))
+    assert len({r[-1] for r in got if r[:2] == ("v", 5)}) > 1
+
+
+def test_pairs_take_few_bytes_in_files(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    spots = [("v", f, i, float(rng.integers(0, 8)), float(rng.integers(0, 8)), 0.0) for f in (1, 2) for i in range(1501)]
+    graph.adjacent_pairs(spark.createDataFrame(spots, SPOTS)).drop("dx", "dy").write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 1501**2
+
+
+def test_lengths_are_rounded_as_doubles(spark):
+    values = [0.0, 0.00005, 0.00015, 0.12344999, 1.5, 29.27, 12345.67895, 0.49999999999999994e-4, 1e13, math.inf, math.nan, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").select(G.rounded(F.col("d"), 4)).collect()]
+    half_up = lambda p: math.floor(p) + (p - math.floor(p) >= 0.5)
+    assert got[:9] == [half_up(v * 1e4) / 1e4 for v in values[:9]]
+    assert got[9] == math.inf and math.isnan(got[10]) and got[11] is None
