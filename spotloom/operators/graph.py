@@ -253,48 +253,52 @@ def node_code(frame: str, spot: str) -> Column:
     return F.col(frame).cast("bigint") * (1 << SPOT_BITS) + F.col(spot)
 
 
-#: Edges that a task joins into stars at a time.
-EDGES_TOGETHER = 100_000
+#: Edges that a task joins into stars at a time, and frames whose edges it gets together.
+EDGES_TOGETHER, SLAB = 1_000_000, 32
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges from each node to the least that the edges at hand connect it to."""
-    parent: dict = {}
-
-    def find(n):
-        while parent.setdefault(n, n) != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least that the edges a, b connect it to."""
+    label = np.arange(n)
+    while True:
+        a, b = label[a], label[b]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        a, b = low[low < high], high[low < high]
+        if not len(a):
+            return label
+        np.minimum.at(label, b, a)
+        while (label[label] != label).any():
+            label = label[label]
 
-    def out() -> pd.DataFrame:
-        stars = [(video, n, root) for video, n in parent if (root := find((video, n))[1]) != n]
-        return pd.DataFrame(stars, columns=["video", "u", "v"])
 
-    taken = 0
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each node the least that the edges at hand connect it to, itself for the least."""
+
+    def out(edges: pd.DataFrame) -> pd.DataFrame:
+        of, names = pd.factorize(edges.video)
+        of, code = np.tile(of, 2), np.concatenate([edges.u.to_numpy(), edges.v.to_numpy()])
+        order = np.lexsort((code, of))
+        of, code = of[order], code[order]
+        first = np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(first) - 1
+        of, code = of[first], code[first]
+        return pd.DataFrame({"video": names[of], "n": code, "root": code[_least(*np.split(place, 2), len(code))]})
+
+    held, taken = [], 0
     for batch in batches:
-        for video, u, v in zip(batch.video, batch.u, batch.v, strict=True):
-            a, b = find((video, u)), find((video, v))
-            parent[max(a, b)] = min(a, b)
-        taken += len(batch)
+        held, taken = [*held, batch], taken + len(batch)
         if taken >= EDGES_TOGETHER:
-            yield out()
-            parent, taken = {}, 0
-    yield out()
+            yield out(pd.concat(held, ignore_index=True))
+            held, taken = [], 0
+    if taken:
+        yield out(pd.concat(held, ignore_index=True))
 
 
-def components(loc: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each spot with the smallest node, as frame * 2^31 + spot_idx, it is connected to.
-
-    Edges are sorted by frame and joined into stars, some at a time, so that long paths become short. Then labels take the
-    minimum around them and that of their label's label, so the rounds follow the logarithm of what is left of the longest
-    path. Each round is checkpointed. Only spots with an edge take part; the others are their own component.
-    """
-    e = edges.select("video", node_code("src_frame", "src_idx").alias("u"), node_code("dst_frame", "dst_idx").alias("v"))
-    e = e.repartitionByRange("video", "u").mapInPandas(_stars, e.schema)
-    both = cut_lineage(e.unionByName(e.select("video", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("video", F.col("u").alias("n")).agg(F.least(F.col("u"), F.min("v")).alias("c"))
-    labels = cut_lineage(labels)
+def _labels(edges: DataFrame) -> DataFrame:
+    """video, n, c: nodes of edges u, v with the least they are connected to, found in rounds that follow the logarithm of the longest path."""
+    both = cut_lineage(edges.unionByName(edges.select("video", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut_lineage(both.groupBy("video", F.col("u").alias("n")).agg(F.least(F.col("u"), F.min("v")).alias("c")))
     while True:
         around = both.join(labels.select("video", F.col("n").alias("v"), F.col("c").alias("vc")).hint("merge"), ["video", "v"]).groupBy("video", F.col("u").alias("n")).agg(F.min("vc").alias("m"))
         near = labels.join(around.hint("merge"), ["video", "n"]).select("video", "n", "c", F.least("c", "m").alias("l"))
@@ -303,7 +307,42 @@ def components(loc: DataFrame, edges: DataFrame) -> DataFrame:
         same = new.where("k <> c").isEmpty()
         labels = new.select("video", "n", F.col("k").alias("c"))
         if same:
+            return labels
+
+
+def components(loc: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each spot with the smallest node, as frame * 2^31 + spot_idx, it is connected to.
+
+    Edges of some frames are joined into stars by a task, so what is left is a graph of the stars' roots, with a link for
+    each node that two tasks have. It is far smaller and goes the same way, at last in one task; where it does not
+    shrink, labels spread in rounds. Only spots with an edge take part; the others are their own component.
+    """
+    tasks = 4 * loc.sparkSession.sparkContext.defaultParallelism
+    left = edges.select("video", node_code("src_frame", "src_idx").alias("u"), node_code("dst_frame", "dst_idx").alias("v"))
+    homes, before = [], math.inf
+    while True:
+        if before > EDGES_TOGETHER:
+            left = left.repartition(tasks, "video", F.floor(F.col("u") / (SLAB << SPOT_BITS))).sortWithinPartitions("video", "u")
+        else:
+            left = left.coalesce(1)
+        roots = left.mapInPandas(_stars, "video string, n bigint, root bigint").groupBy("video", "n").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+        roots = written(roots.select("video", "n", F.col("roots")[0].alias("c"), F.slice("roots", 2, 1 << 30).alias("others")))
+        homes.append(roots.select("video", "n", "c"))
+        left = roots.where("size(others) > 0").select("video", F.col("c").alias("u"), F.explode("others").alias("v")).distinct()
+        if before <= EDGES_TOGETHER:
+            break
+        left = written(left)
+        size = left.count()
+        if not size:
+            break
+        if EDGES_TOGETHER < size and size > before / 2:
+            homes.append(_labels(left))
             break
+        before = size
+    labels = homes.pop()
+    while homes:
+        higher = labels.select("video", F.col("n").alias("c"), F.col("c").alias("higher"))
+        labels = homes.pop().join(higher.hint("merge"), ["video", "c"], "left").select("video", "n", F.coalesce("higher", "c").alias("c"))
     nodes = loc.select("video", "frame", "spot_idx", node_code("frame", "spot_idx").alias("n"))
     return nodes.join(labels.hint("merge"), ["video", "n"], "left").select("video", "frame", "spot_idx", F.coalesce("c", "n").alias("component"))
 

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,35 @@ def test_lengths_are_rounded_as_doubles(spark):
     half_up = lambda p: math.floor(p) + (p - math.floor(p) >= 0.5)
     assert got[:9] == [half_up(v * 1e4) / 1e4 for v in values[:9]]
     assert got[9] == math.inf and math.isnan(got[10]) and got[11] is None
+
+
+@pytest.mark.parametrize("limit, by_rounds", [(1 << 30, False), (40, False), (2, True)])
+def test_components_contract_slabs_and_need_no_rounds(spark, monkeypatch, limit, by_rounds):
+    rng = np.random.default_rng(7)
+    at = [(v, f, i) for v in "ab" for f in range(100) for i in range(4)]
+    edges = [(v, f, int(rng.integers(4)), f + int(rng.integers(1, 4)), int(rng.integers(4))) for v in "ab" for f in range(96) for _ in range(2) if f != 50]
+    parent = {n: n for n in at}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for v, f, i, g, j in edges:
+        a, b = find((v, f, i)), find((v, g, j))
+        parent[max(a, b)] = min(a, b)
+    monkeypatch.setattr(graph, "EDGES_TOGETHER", limit)
+    monkeypatch.setattr(graph, "SLAB", 8)
+    rounds, labels = [], graph._labels
+    monkeypatch.setattr(graph, "_labels", lambda e: rounds.append(e) or labels(e))
+    table = spark.createDataFrame(edges, "video string, src_frame int, src_idx int, dst_frame int, dst_idx int")
+    got = {tuple(r)[:3]: r.component for r in graph.components(spark.createDataFrame(at, "video string, frame int, spot_idx int"), table).collect()}
+    assert got == {n: find(n)[1] * (1 << graph.SPOT_BITS) + find(n)[2] for n in at}
+    assert by_rounds or not rounds
+
+
+def test_stars_are_found_at_once_whatever_the_order():
+    order = np.random.default_rng(8).permutation(5000)
+    edges = [pd.DataFrame({"video": v, "u": order, "v": order + 1}) for v in ("a", "b")]
+    got = pd.concat(graph._stars(iter(edges)))
+    assert len(got) == 2 * 5001 and set(got.root) == {0} and set(got.video) == {"a", "b"}
