@@ -160,3 +160,32 @@ def test_stars_are_found_at_once_whatever_the_order():
     edges = [pd.DataFrame({"video": v, "u": order, "v": order + 1}) for v in ("a", "b")]
     got = pd.concat(graph._stars(iter(edges)))
     assert len(got) == 2 * 5001 and set(got.root) == {0} and set(got.video) == {"a", "b"}
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_all_ancestors_are_found_by_blocks(spark, dense, monkeypatch, block):
+    monkeypatch.setattr(graph, "ANCESTORS", block)
+    at, loc, edges, table = dense
+    before = {n: {a for a, b in edges if b == n} for n in at}
+    want = set()
+    for n in at:
+        seen, todo = set(), [n]
+        while todo:
+            for a in before[todo.pop()] - seen:
+                seen.add(a)
+                todo.append(a)
+        want |= {(*n, a[1], a[2], i) for i, a in enumerate(sorted(seen, key=lambda a: (-a[1], -a[2])), 1)}
+    assert max(w[-1] for w in want) > 13
+    got = [tuple(r) for r in graph.ancestors(table.unionByName(table.limit(5)), loc).select("video", "frame", "spot_idx", "a_frame", "a_idx", "rank").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = [tuple(r)[:3] for r in graph.ancestors(table, loc.where("spot_idx = 1")).collect()]
+    assert sorted(some) == sorted(w[:3] for w in want if w[2] == 1)
+
+
+def test_query_of_ancestors_keeps_them_all(spark, tmp_path):
+    from spotloom.plans import spot_queries
+
+    n = 16  # spots of one place, an hour apart, so that the last has 15 ancestors
+    spark.range(n).selectExpr("id as event_id", "timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, cast(id as int)) as ts", "0L as user_id", "'view' as event_type", "1.0D as value", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    got = spot_queries.QUERIES["ancestors"](spark, str(tmp_path))
+    assert got.count() == n * (n - 1) // 2 and got.agg(F.max("rank")).first()[0] == n - 1
