@@ -189,3 +189,23 @@ def test_query_of_ancestors_keeps_them_all(spark, tmp_path):
     spark.range(n).selectExpr("id as event_id", "timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, cast(id as int)) as ts", "0L as user_id", "'view' as event_type", "1.0D as value", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
     got = spot_queries.QUERIES["ancestors"](spark, str(tmp_path))
     assert got.count() == n * (n - 1) // 2 and got.agg(F.max("rank")).first()[0] == n - 1
+
+
+@pytest.mark.parametrize("steps", [1, 1 << 30])
+def test_bypasses_of_crowded_spots_are_told_apart_where_they_meet(spark, dense, monkeypatch, steps):
+    monkeypatch.setattr(graph, "STEPS", steps)
+    at, loc, edges, table = dense
+    want = {(a, d) for a, b in edges for c, d in edges if b == c and b[2] != 1}
+    gone = loc.where("spot_idx <> 1")
+    got = [tuple(r)[:5] for r in graph.bypass_edges(table, gone.unionByName(gone), loc, 4.0).collect()]
+    assert sorted(got) == sorted((*a, *d[1:]) for a, d in want if math.dist(at[a], at[d]) < 4.0)
+
+
+@pytest.mark.parametrize("paths", [3, 1 << 30])
+def test_no_row_leaves_a_group_for_each_path(monkeypatch, paths):
+    monkeypatch.setattr(graph, "PATHS", paths)
+    into = pd.DataFrame([("v", u, m) for u in (1, 2, 3) for m in range(10, 40)] + [("w", 1, 10), ("w", 1, 99)], columns=["video", "u", "m"])
+    onward = pd.DataFrame([("v", m, v) for m in range(10, 40) for v in (50, 60)] + [("w", 11, 50)], columns=["video", "m", "v"])
+    got = list(graph._met(into, onward).itertuples(index=False, name=None))
+    assert sorted(got) == [("v", u, v) for u in (1, 2, 3) for v in (50, 60)]
+    assert not len(graph._met(into[:0], onward)) and not len(graph._met(into, onward[:0]))
