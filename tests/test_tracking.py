@@ -77,6 +77,16 @@ def test_components_are_dealt_into_pieces(spark, monkeypatch):
     assert len(dealt) == 1 and sum(sizes) == 300 and len(sizes) >= 5 and max(sizes) <= 3 * 50
 
 
+def test_components_of_too_few_frames_are_not_planned(spark, monkeypatch):
+    """Crowds of one or two frames can have no track of three spots, but three in a row can."""
+    rows = [("v", f, 10 * i + j, 50.0 * i + 0.1 * j, 0.0, 0.0) for i in range(20) for j in range(4) for f in range(1, 2 + i % 2)] + [("v", f, 500, -90.0, 0.3 * f, 0.0) for f in (1, 2, 3)]
+    loc = spark.createDataFrame(rows, LOC)
+    dealt, whole = [], forecast._dealt
+    monkeypatch.setattr(forecast, "_dealt", lambda rows, parts, *how: dealt.append(parts.count()) or whole(rows, parts, *how))
+    want = plain(pd.DataFrame(rows, columns=[c.split()[0] for c in LOC.split(", ")]), forecast.law(6.0), 3)
+    assert found(forecast.track(loc, 6.0, 3, 3)) == want and len(want) == 3 and dealt == [3]
+
+
 @pytest.fixture
 def rocks(spark):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
